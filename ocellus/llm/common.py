@@ -167,3 +167,38 @@ def text_batches(batches):
     """(batch, its text column with nulls as empty) of an Arrow iterator."""
     for b in batches:
         yield b, pc.fill_null(b.column("text").cast(pa.large_string()), "")
+
+
+def batch_shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of many texts at once: hashes and the offsets of each text's shingles."""
+    n = np.diff(offsets)
+    count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    out_offsets = np.concatenate(([0], np.cumsum(count)))
+    # the word at which each shingle starts
+    at = np.arange(out_offsets[-1]) - np.repeat(out_offsets[:-1] - offsets[:-1], count)
+    size = np.repeat(np.minimum(n, width), count)
+    out = size.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            inside = size > i
+            if inside.all():
+                out = out * _BASE + words[at + i]
+            else:
+                out[inside] = out[inside] * _BASE + words[at[inside] + i]
+    return mix(out), out_offsets
+
+
+def chunks(batches, text: str = "text", limit: int = 1 << 20):
+    """Slices of Arrow batches with about ``limit`` bytes of text each (a longer text stands alone)."""
+    for b in batches:
+        column = b.column(text)
+        if not b.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        ends = np.cumsum(sizes)
+        while lo < b.num_rows:
+            base = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi

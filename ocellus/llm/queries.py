@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import content_sort, mixing, packing, secrets
+from ocellus.llm import content_sort, minhash, mixing, ngram_join, packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_links(docs, width=3, num=90, den=100)
+
+
 def op4_secret_scan(spark, sf_dir):
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -31,6 +36,10 @@ def op7_exact_dedup(spark, sf_dir):
     return content_sort.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op8_fingerprints(spark, sf_dir):
+    return minhash.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_pack(spark, sf_dir):
     import public_tokenizers
 
@@ -38,7 +47,7 @@ def op9_pack(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_mix_sources, op7_exact_dedup, op9_pack)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_secret_scan, op5_mix_sources, op7_exact_dedup, op8_fingerprints, op9_pack)}
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
