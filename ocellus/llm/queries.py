@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import content_sort, minhash, mixing, ngram_join, packing, secrets
+from ocellus.llm import content_sort, minhash, mixing, ngram_join, packing, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,12 @@ def op9_pack(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_secret_scan, op5_mix_sources, op7_exact_dedup, op8_fingerprints, op9_pack)}
+def op10_suffix_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_secret_scan, op5_mix_sources, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
