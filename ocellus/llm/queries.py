@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import content_sort, minhash, mixing, ngram_join, packing, secrets, suffixes
+from ocellus.llm import bloom_lm, content_sort, minhash, mixing, ngram_join, packing, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op5_mix_sources(spark, sf_dir):
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return bloom_lm.score_texts(docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return content_sort.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
@@ -52,7 +58,7 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(docs).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_secret_scan, op5_mix_sources, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_secret_scan, op5_mix_sources, op6_lm_scores, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
