@@ -63,7 +63,7 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
+def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000, digest: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, passes, from_1, to_1, to_2.
 
     The mix takes ``passes`` whole copies of a document, its words [from_1, to_1)
@@ -76,11 +76,14 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
 
     The per-source totals are the mixing plan and come to the driver; more than
     ``max_sources`` sources raise an error. An empty table gives no rows; a source
-    whose texts are all empty has target and taken 0.
+    whose texts are all empty has target and taken 0. With ``digest`` each row also
+    carries the 64-bit hash of its text.
     """
+    extra = ["digest"] if digest else []
     sized = written(df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
+        *[F.xxhash64(text_or_empty(text_col)).alias(c) for c in extra],
     ))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -117,7 +120,7 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
     rows = placed.select(
         "doc_id", "d.source", "size", "source_size", "target", F.col("end"), total,
         F.least(F.col("quota") * block, total * most).alias("words"),
-        (draw(F.col("d.source"), F.col("d.shard")) % count * block).alias("start"),
+        (draw(F.col("d.source"), F.col("d.shard")) % count * block).alias("start"), *extra,
     )
     rows = rows.withColumns({
         "passes": F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long"),
@@ -132,5 +135,55 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
     return rows.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("to_1") - F.col("from_1") + F.col("to_2")).alias("taken"),
-        "passes", "from_1", "to_1", "to_2",
+        "passes", "from_1", "to_1", "to_2", *extra,
     )
+
+
+def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+    """The rows of the mix with all columns of ``df``: whole copies, and texts cut to the words taken.
+
+    Rows that repeat an id and text are matched one to one. Documents of which no
+    word is taken, those without words included, do not appear.
+    """
+    import re
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    digest = F.xxhash64(text_or_empty(text_col))
+    picked = mixed(df, id_col=id_col, text_col=text_col, source_col=source_col, digest=True, **plan)
+    plans = picked.filter("taken > 0").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("passes", "size", "from_1", "to_1", "to_2")).alias("plans"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(id_col).cast("long").alias("id"), digest.alias("digest")).withColumn(
+        "turn", F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
+    )
+    both = rows.join(plans, rows.id.eqNullSafe(plans.doc_id) & (rows.digest == plans.digest)).filter(F.col("turn") <= F.size("plans"))
+    p = F.element_at("plans", F.col("turn"))
+    piece = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), p["size"].alias("size"))
+    pieces = F.filter(
+        F.concat(F.array_repeat(piece(F.lit(0), p["size"]), p["passes"].cast("int")), F.array(piece(p["from_1"], p["to_1"]), piece(F.lit(0), p["to_2"]))),
+        lambda x: x["hi"] > x["lo"],
+    )
+    out = both.select("row.*", F.explode(pieces).alias("_piece"))
+    schema = T.StructType(out.schema.fields[:-1])
+    word = re.compile(WORD)
+
+    def cut(batches):
+        for b in batches:
+            texts, changed = b.column(text_col).to_pylist(), False
+            for i, x in enumerate(b.column("_piece").to_pylist()):
+                if x["lo"] == 0 and x["hi"] == x["size"]:
+                    continue
+                changed = True
+                start = end = 0
+                for k, m in enumerate(word.finditer(texts[i])):
+                    if k == x["lo"]:
+                        start = m.start()
+                    if k == x["hi"] - 1:
+                        end = m.end()
+                        break
+                texts[i] = texts[i][start:end]
+            cols = [pa.array(texts, c.type) if n == text_col and changed else c for n, c in zip(b.schema.names[:-1], b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+
+    return out.mapInArrow(cut, schema)
