@@ -389,27 +389,56 @@ def _suffix_slice(span: int):
     return sorted_out
 
 
-def _cut_contexts(span: int, hot: bool):
-    """From (oid, text, open runs): the bytes of runs, or for hot anchors the hashes of single windows."""
+def _cut_contexts(span: int):
+    """From (oid, text, open runs): the bytes of the runs."""
 
     def cut(batches):
-        prefix = Prefix(span)
         for b in batches:
             rows: list[tuple] = []
+            for oid, text, opened in zip(b.column("oid").to_pylist(), b.column("text"), b.column("open").to_pylist()):
+                body = text.as_py()
+                rows += [(o["h"], oid, o["start"], o["anchor"], body[o["start"] : o["last"] + span]) for o in opened]
+            kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["h", "oid", "start", "anchor", "context"])
+
+    return cut
+
+
+def _cut_windows(span: int):
+    """From (oid, text, runs of hot anchors): each window's two hashes, once per task; later ones are settled as repeated stretches (``stop`` set)."""
+
+    def cut(batches):
+        prefix = Prefix(span)
+        held: list[tuple] = []
+        count = 0
+
+        def flush():
+            nonlocal held, count
+            one, two, oid, start = (np.concatenate(c) for c in zip(*held))
+            held, count = [], 0
+            order, first = _first_of(one, two, oid, start)
+            again, keep = order[~first], order[first]
+            again = again[np.lexsort((start[again], oid[again]))]
+            a, s = oid[again], start[again]
+            head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] > s[:-1] + 1))[: len(a)]))
+            tail = np.append(head[1:], len(a)) - 1 if len(head) else head
+            zero = np.zeros(len(head), np.int64)
+            cols = [np.concatenate(c) for c in ((one[keep].view(np.int64), zero), (two[keep].view(np.int64), zero), (oid[keep], a[head]), (start[keep], s[head]))]
+            stop = pa.array(np.concatenate((np.zeros(len(keep), np.int64), s[tail] + span)), mask=np.arange(len(keep) + len(head)) < len(keep))
+            return pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], stop], ["w1", "w2", "oid", "start", "stop"])
+
+        for b in batches:
             for oid, text, opened in zip(b.column("oid").to_pylist(), b.column("text"), b.column("open").to_pylist()):
                 body = text.as_py()
                 for o in opened:
-                    piece = body[o["start"] : o["last"] + span]
-                    if not hot:
-                        rows.append((o["h"], oid, o["start"], o["anchor"], piece))
-                        continue
-                    part = np.frombuffer(piece, np.uint8)
+                    part = np.frombuffer(body, np.uint8)[o["start"] : o["last"] + span]
                     at = np.arange(len(part) - span + 1)
-                    one, two = (prefix.stretch(prefix.table(part, k), at, at + span, k).view(np.int64).tolist() for k in (0, 1))
-                    rows += [(x, y, oid, o["start"] + i) for i, (x, y) in enumerate(zip(one, two))]
-            names = ("w1", "w2", "oid", "start") if hot else ("h", "oid", "start", "anchor", "context")
-            kinds = (pa.int64(),) * 4 if hot else (pa.int64(),) * 3 + (pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], list(names))
+                    held.append((*[prefix.stretch(prefix.table(part, k), at, at + span, k) for k in (0, 1)], np.full(len(at), oid, np.int64), at + o["start"]))
+                    count += len(at)
+                if count >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
 
     return cut
 
@@ -469,12 +498,14 @@ def repeated_strings(df: DataFrame, span: int = 100, id_col: str = "doc_id", tex
         *[F.collect_list(F.when(F.col("kind") == k, F.struct("h", "start", "last", "anchor"))).alias(n) for k, n in ((OPEN, "open"), (OPEN_HOT, "hot"))]
     )
     around = docs.join(opened, "oid")
-    contexts = around.filter(F.size("open") > 0).select("oid", "text", "open").mapInArrow(_cut_contexts(span, False), "h long, oid long, start long, anchor int, context binary")
+    contexts = around.filter(F.size("open") > 0).select("oid", "text", "open").mapInArrow(_cut_contexts(span), "h long, oid long, start long, anchor int, context binary")
     by_suffix = contexts.withColumn("slice", F.pmod(F.col("h"), F.lit(slices))).groupBy("slice").applyInArrow(_suffix_slice(span), "oid long, start long, stop long")
     found.append(by_suffix)
-    windows = written(around.filter(F.size("hot") > 0).select("oid", "text", F.col("hot").alias("open")).mapInArrow(_cut_contexts(span, True), "w1 long, w2 long, oid long, start long"))
-    firsts = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("oid", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    later = windows.join(firsts, ["w1", "w2"]).filter(F.struct("oid", "start") > F.col("least")).select("oid", "start", (F.col("start") + span).alias("stop"))
+    windows = written(around.filter(F.size("hot") > 0).select("oid", "text", F.col("hot").alias("open")).mapInArrow(_cut_windows(span), "w1 long, w2 long, oid long, start long, stop long"))
+    found.append(windows.filter("stop is not null").select("oid", "start", "stop"))
+    single = windows.filter("stop is null").drop("stop")
+    firsts = written(single.groupBy("w1", "w2").agg(F.min(F.struct("oid", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1"))
+    later = single.join(firsts, ["w1", "w2"]).filter(F.struct("oid", "start") > F.col("least")).select("oid", "start", (F.col("start") + span).alias("stop"))
     found.append(later)
     out = found[0]
     for x in found[1:]:
