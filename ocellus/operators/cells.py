@@ -113,22 +113,36 @@ def convex_area(points: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def outline(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Solidity (area over hull of pixel squares) and perimeter (unit edges towards the outside) of disjoint runs; a cell's runs bound the group."""
+def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id", tile: int = 64) -> DataFrame:
+    """Solidity (area over hull of pixel squares) and perimeter (unit edges towards the outside) of cells from disjoint runs.
+
+    Cells are dealt to ``tile`` groups per slide, so that a Python call handles many cells and no slide needs one task.
+    """
 
     def shape(part: pd.DataFrame) -> pd.DataFrame:
-        r, a, b = (part[c].to_numpy(np.int64) for c in ("row", "c0", "c1"))
-        corners = np.concatenate([np.stack((x, y), 1) for x in (a, b) for y in (r, r + 1)])
-        rows = {}
-        for y, lo, hi in zip(r, a, b):
-            rows.setdefault(int(y), []).append((int(lo), int(hi)))
-        area = int((b - a).sum())
-        shared = sum(max(0, min(h1, h2) - max(l1, l2)) for y in rows for l1, h1 in rows[y] for l2, h2 in rows.get(y + 1, ()))
-        joined = sum(1 for y in rows for i, (_, h1) in enumerate(rows[y]) for l2, _ in rows[y] if h1 == l2)
-        edges = 2 * area + 2 * len(r) - 2 * shared - 2 * joined
-        out = part[by].iloc[:1].copy()
-        out["solidity"], out["perimeter"] = area / convex_area(corners), float(edges)
-        return out
-
-    keys = ", ".join(f"{c} {dict(runs.dtypes)[c]}" for c in by)
-    return runs.select(*by, "row", "c0", "c1").groupBy(*by).applyInPandas(shape, f"{keys}, solidity double, perimeter double")
+        part = part.sort_values([key, "row", "c0"], kind="stable")
+        k, r, a, b = (part[c].to_numpy(np.int64) for c in (key, "row", "c0", "c1"))
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+        out = []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            y, c0, c1 = r[lo:hi], a[lo:hi], b[lo:hi]
+            area = int((c1 - c0).sum())
+            # only a row's outermost ends can be corners of the hull
+            ends = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1], [True])))
+            left, right, rows = c0[ends[:-1]], c1[ends[1:] - 1], y[ends[:-1]]
+            corners = np.concatenate([np.stack((x, h), 1) for x in (left, right) for h in (rows, rows + 1)])
+            joined = int(((y[1:] == y[:-1]) & (c0[1:] == c1[:-1])).sum())
+            if len(rows) == len(y):  # one run a row: neighbours in order are neighbours in space
+                over = np.minimum(c1[1:], c1[:-1]) - np.maximum(c0[1:], c0[:-1])
+                shared = int(over[(over > 0) & (y[1:] == y[:-1] + 1)].sum())
+            else:
+                shared = 0
+                for i in np.flatnonzero(rows[1:] == rows[:-1] + 1):
+                    u, v = slice(ends[i], ends[i + 1]), slice(ends[i + 1], ends[i + 2])
+                    over = np.minimum(c1[u][:, None], c1[v]) - np.maximum(c0[u][:, None], c0[v])
+                    shared += int(over[over > 0].sum())
+            out.append((part[on].iloc[0], int(k[lo]), area / convex_area(corners), float(2 * area + 2 * len(y) - 2 * joined - 2 * shared)))
+        return pd.DataFrame(out, columns=[on, key, "solidity", "perimeter"])
+
+    slim = runs.select(on, key, "row", "c0", "c1").withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tile)))
+    return slim.groupBy(on, "tile").applyInPandas(shape, f"{on} long, {key} long, solidity double, perimeter double")

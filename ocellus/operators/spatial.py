@@ -114,17 +114,22 @@ def prefix_sum_2d(pixels: DataFrame, on: str, value: str) -> DataFrame:
     return pixels.withColumn("_row", F.sum(value).over(along)).withColumn("total", F.sum("_row").over(down)).drop("_row")
 
 
+def _around(pixels: DataFrame, on: str, radius: int) -> DataFrame:
+    """Each pixel's square of ``radius``, a row per pixel of the square."""
+    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    spread = pixels.select(on, "px", "py").withColumn("_i", step).withColumn("_j", step)
+    return spread.select(on, (F.col("px") + F.col("_i")).alias("px"), (F.col("py") + F.col("_j")).alias("py"))
+
+
 def dilate(pixels: DataFrame, on: str, radius: int = 1) -> DataFrame:
     """Pixels within a square of ``radius`` of a set pixel."""
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    return pixels.select(on, (F.col("px") + F.explode(around)).alias("px"), "py").select(on, "px", (F.col("py") + F.explode(around)).alias("py")).distinct()
+    return _around(pixels, on, radius).distinct()
 
 
 def erode(pixels: DataFrame, on: str, radius: int = 1) -> DataFrame:
     """Pixels whose whole square of ``radius`` is set."""
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    votes = pixels.select(on, (F.col("px") + F.explode(around)).alias("px"), "py").select(on, "px", (F.col("py") + F.explode(around)).alias("py"))
-    return votes.groupBy(on, "px", "py").agg(F.count("*").alias("_n")).filter(F.col("_n") == (2 * radius + 1) ** 2).drop("_n")
+    votes = _around(pixels, on, radius).groupBy(on, "px", "py").agg(F.count("*").alias("_n"))
+    return votes.filter(F.col("_n") == (2 * radius + 1) ** 2).drop("_n")
 
 
 def run_adjacency(runs: DataFrame, on: str) -> DataFrame:

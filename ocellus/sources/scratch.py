@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read back, which cuts its lineage for good."""
-    spark = df.sparkSession
+def _root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='ocellus-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ocellus-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage for good."""
+    path = f"{_root(df.sparkSession)}/ocellus-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
