@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm.common import _BASE, chunks, mix, partitions, text_or_empty, word_hashes, written
 
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
-FLUSH = 3_000_000  # tokens that a task holds before it deals its counts out
+FLUSH = 1_000_000  # tokens that a task holds before it deals its counts out
 
 
 class Quantiser:
@@ -179,8 +180,11 @@ def _merge(bloom: LogBloom, base: float):
 
 
 _MODEL = "slice int, n_words long, n_tokens long, words binary, field binary, bytes long, top int"
-_PART = "doc_id long, digest long, seen long, n_tokens long, known long, log_sum double, score double"
-_SENT = "slice int, n_docs long, n long, docs binary, entries binary, part array<struct<doc_id:long,digest:long,n_tokens:long,known:long,log_sum:double,score:double>>"
+_DOC = "struct<doc_id:long,n_tokens:long,known:long,log_sum:double,score:double>"
+#: ``piece`` numbers the stretch of texts that a task scored at once; its rows meet again to be summed.
+_SENT = f"slice int, piece long, n long, entries binary, docs array<{_DOC}>"
+_FOUND = f"piece long, n long, hits binary, docs array<{_DOC}>"
+_PART = "doc_id long, n_tokens long, known long, log_sum double, score double"
 
 
 def corpus_counts(docs: DataFrame, slices: int, bloom: LogBloom, base: float) -> DataFrame:
@@ -188,7 +192,7 @@ def corpus_counts(docs: DataFrame, slices: int, bloom: LogBloom, base: float) ->
     return written(docs.mapInArrow(_count(slices), "slice int, kind int, n long, grams binary").groupBy("slice").applyInArrow(_merge(bloom, base), _MODEL))
 
 
-def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int = 4, prior: float = 20.0, common_words: int = 1 << 20, max_filter_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int = 4, prior: float = 20.0, common_words: int = 1 << 20, max_filter_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score sums log10((c + 1) / (N + V + 1)) with exact counts c. score sums
@@ -235,28 +239,30 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
             room = max_filter_bytes
         groups[-1].append(s)
         room -= size
-    state = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.lit(None).cast("binary").alias("uni"), F.lit(None).cast("binary").alias("bi"))
+    state = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("uni"), F.lit(None).cast("binary").alias("bi"))
     for group in groups:
         fields = model.filter(F.col("slice").isin(group)).select("slice", "field").collect() if group else []
         start, bits, at = np.zeros(slices, np.int64), np.zeros(slices, np.int64), 0
         for r in fields:
             start[r["slice"]], bits[r["slice"]] = at, 8 * len(r["field"])
             at += len(r["field"])
-        part = spark.sparkContext.broadcast((b"".join(bytes(r["field"]) for r in fields), start, bits))
+        joined = b"".join(r["field"] for r in fields)
+        del fields
+        part = spark.sparkContext.broadcast((joined, start, bits))
+        del joined
         last = group is groups[-1]
         state = state.mapInArrow(_probe(bloom, part, top), state.schema) if not last else state
         if not last:
             state = written(state)
     value = Quantiser(order_base).value
     sent = state.mapInArrow(_score(bloom, part, top, heavy, value, n, v, prior, slices), _SENT)
-    parts = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words").groupBy("slice")).applyInArrow(_look_up, _PART)
-    whole = parts.groupBy("doc_id", "digest").agg(F.sum("seen").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("log_sum").alias("log_sum"), F.min("score").alias("score"))
+    found = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words").groupBy("slice")).applyInArrow(_look_up, _FOUND)
+    whole = found.groupBy("piece").applyInArrow(_sum_up, _PART)
     log_all = float(np.log10(n + v + 1))
     return whole.select(
-        "doc_id", "n_tokens", F.floor(F.col("known") / F.col("rows")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_sum") / F.col("rows") - F.col("n_tokens") * log_all).alias("base_score"), "score",
-        F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"),  # rows that repeat an id and text
-    ).drop("row")
+        "doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("log_sum") - F.col("n_tokens") * log_all).alias("base_score"), "score",
+    )
 
 
 def _levels(bloom: LogBloom, part, top: int, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +272,7 @@ def _levels(bloom: LogBloom, part, top: int, t: np.ndarray, c: np.ndarray) -> tu
     return bloom.levels(distinct, field, start, bits, top)[back], bloom.levels(pair(c, t), field, start, bits, top)
 
 
-def _with(state: pa.RecordBatch, offsets: np.ndarray, name: str, found: np.ndarray) -> np.ndarray:
+def _with(state: pa.RecordBatch, name: str, found: np.ndarray) -> np.ndarray:
     """Levels found in this pass joined with those that came along."""
     before = state.column(name)
     if before.null_count == len(before):
@@ -280,25 +286,28 @@ def _probe(bloom: LogBloom, part, top: int):
             t, c, offsets = tokens(b.column("text"))
             cols = dict(zip(b.schema.names, b.columns))
             for name, found in zip(("uni", "bi"), _levels(bloom, part, top, t, c)):
-                levels = _with(b, offsets, name, found)
+                levels = _with(b, name, found)
                 cols[name] = pa.array([levels[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return probed
 
 
+_STRUCT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
+
+
 def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, n: int, v: int, prior: float, slices: int):
-    """Per document its score and the sums over common words; other words are packed per slice for the look-up."""
-    struct = pa.struct([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
+    """Per piece its documents' scores and sums over common words; other words are packed per slice for the look-up."""
 
     def scored(batches):
         keys, counts = heavy.value
         starts = bloom.levels(np.array([BEGIN]), np.frombuffer(part.value[0], np.uint8), part.value[1], part.value[2], top)
+        piece = TaskContext.get().partitionId() << 32
         for b in chunks(batches):
             t, c, offsets = tokens(b.column("text"))
             size = np.diff(offsets)
             doc = np.repeat(np.arange(len(size)), size)
-            uni, bi = (_with(b, offsets, k, x) for k, x in zip(("uni", "bi"), _levels(bloom, part, top, t, c)))
+            uni, bi = (_with(b, k, x) for k, x in zip(("uni", "bi"), _levels(bloom, part, top, t, c)))
             q, joint = value[uni], value[bi]
             context = np.empty_like(q)
             context[1:] = q[:-1]
@@ -309,57 +318,55 @@ def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, n: int, v:
             at = np.minimum(np.searchsorted(keys, t), max(0, len(keys) - 1))
             common = keys[at] == t if len(keys) else np.zeros(len(t), bool)
             known = np.add.reduceat(common.astype(np.int64), offsets[:-1])
-            logs = np.where(common, np.log10(counts[at] + 1.0) if len(keys) else 0.0, 0.0)
-            log_sum = np.add.reduceat(logs, offsets[:-1])
-            ids, digests = b.column("doc_id").to_pylist(), b.column("digest").to_numpy()
-            rows = [{"doc_id": i, "digest": int(d), "n_tokens": int(k), "known": int(w), "log_sum": float(x), "score": float(y)} for i, d, k, w, x, y in zip(ids, digests, size, known, log_sum, score)]
+            log_sum = np.add.reduceat(np.where(common, np.log10(counts[at] + 1.0) if len(keys) else 0.0, 0.0), offsets[:-1])
+            fields = [b.column("doc_id"), pa.array(size), pa.array(known), pa.array(log_sum), pa.array(score)]
+            docs = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_STRUCT)))
             rare = np.flatnonzero(~common)
             where = (t[rare] % np.uint64(slices)).astype(np.int64)
-            order = np.lexsort((doc[rare], where))
+            order = np.argsort(where, kind="stable")
             rare, where = rare[order], where[order]
             cut = np.searchsorted(where, np.arange(slices + 1))
-            out = []
-            own = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            for s in np.flatnonzero(np.diff(cut)):
-                pick = rare[cut[s] : cut[s + 1]]
-                docs, back = np.unique(doc[pick], return_inverse=True)
-                out.append((int(s), len(docs), len(pick), _zip(own[docs], digests[docs], np.array([ids[i] is None for i in docs], "u1")), _zip(t[pick], back.astype("<u4")), None))
-            out.append((int(digests[0] % slices), 0, 0, None, None, rows))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(struct))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["slice", "n_docs", "n", "docs", "entries", "part"])
+            some = np.flatnonzero(np.diff(cut))
+            out = [[int(s) for s in some], [piece] * len(some), [int(cut[s + 1] - cut[s]) for s in some], [_zip(t[rare[cut[s] : cut[s + 1]]], doc[rare[cut[s] : cut[s + 1]]].astype("<u4")) for s in some]]
+            for column, x in zip(out, (piece % slices, piece, 0, None)):
+                column.append(x)
+            listed = pa.concat_arrays([pa.nulls(len(some), docs.type), docs])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], listed], ["slice", "piece", "n", "entries", "docs"])
+            piece += 1
 
     return scored
 
 
 def _look_up(sent: pa.Table, words: pa.Table) -> pa.Table:
-    """Known tokens and sums of log10(c + 1) of the words that were sent to this slice, by document."""
-    out = {k: [] for k in ("doc_id", "digest", "seen", "n_tokens", "known", "log_sum", "score")}
+    """Of the words that were sent to this slice the known ones, summed by document within each piece."""
     if words.num_rows:
         keys, counts = _unzip(words.column("words")[0].as_py(), words.column("n_words")[0].as_py(), "<u8", "<i8")
     else:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    logs = np.log10(counts + 1.0)
-    for n_docs, n, docs, entries, part in zip(*(sent.column(c).to_pylist() for c in ("n_docs", "n", "docs", "entries", "part"))):
-        for r in part or ():
-            for k in out:
-                out[k].append(1 if k == "seen" else r[k])
-        if docs is None:
-            continue
-        ids, digests, null = _unzip(docs, n_docs, "<i8", "<i8", "u1")
-        t, doc = _unzip(entries, n, "<u8", "<u4")
-        if not len(keys):
+    n, hits = [], []
+    for size, entries in zip(sent.column("n").to_pylist(), sent.column("entries").to_pylist()):
+        if entries is None or not len(keys):
+            n.append(0)
+            hits.append(None)
             continue
+        t, doc = _unzip(entries, size, "<u8", "<u4")
         at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
         hit = keys[at] == t
-        known = np.bincount(doc[hit], minlength=n_docs)
-        sums = np.bincount(doc[hit], weights=logs[at[hit]], minlength=n_docs)
+        known = np.bincount(doc[hit])
         some = np.flatnonzero(known)
-        out["doc_id"] += [None if null[i] else int(ids[i]) for i in some]
-        out["digest"] += digests[some].tolist()
-        out["known"] += known[some].tolist()
-        out["log_sum"] += sums[some].tolist()
-        for k in ("seen", "n_tokens"):
-            out[k] += [0] * len(some)
-        out["score"] += [None] * len(some)
-    kinds = {"log_sum": pa.float64(), "score": pa.float64()}
-    return pa.table({k: pa.array(x, kinds.get(k, pa.int64())) for k, x in out.items()})
+        sums = np.bincount(doc[hit], weights=np.log10(counts[at[hit]] + 1.0))[some]
+        n.append(len(some))
+        hits.append(_zip(some.astype("<u4"), known[some].astype("<u4"), sums))
+    return pa.table({"piece": sent.column("piece"), "n": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.binary()), "docs": sent.column("docs")})
+
+
+def _sum_up(found: pa.Table) -> pa.Table:
+    """The documents of one piece with what the slices found."""
+    docs = next(x for x in found.column("docs") if x.is_valid).values
+    known, sums = (np.array(docs.field(k)) for k in ("known", "log_sum"))
+    for n, hits in zip(found.column("n").to_pylist(), found.column("hits").to_pylist()):
+        if n:
+            doc, more, extra = _unzip(hits, n, "<u4", "<u4", "<f8")
+            known[doc] += more
+            sums[doc] += extra
+    return pa.table({"doc_id": docs.field("doc_id"), "n_tokens": docs.field("n_tokens"), "known": pa.array(known), "log_sum": pa.array(sums), "score": docs.field("score")})
