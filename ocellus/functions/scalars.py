@@ -122,6 +122,11 @@ def tumor_color(tumor_id: Column) -> Column:
     return F.element_at(palette, (F.pmod(F.greatest(F.lit(1), tumor_id) - 1, F.lit(len(PALETTE))) + 1).cast("int"))
 
 
+def seeded_color(label: Column, seed: int = 42) -> Column:
+    """A colour drawn from a label and a seed, the same in every run."""
+    return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(label, F.lit(seed)), F.lit(1 << 24))), 6, "0")))
+
+
 def opacity(x: Column, default: float = 0.35) -> Column:
     v = x.try_cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), default).otherwise(v)))

@@ -131,6 +131,11 @@ def fallback_color_index(t):
     return t.detections.select("det_id", (i % 10).alias("color"))
 
 
+@query("seeded_colors")
+def seeded_colors(t):
+    return t.detections.select("det_id", S.seeded_color(F.col("det_id")).alias("color"))
+
+
 @query("opacity_clamp", "SELECT s_suppkey, greatest(0.0, least(1.0, s_acctbal / 5000.0)) AS alpha FROM supplier")
 def opacity_clamp(t):
     return t.supplier.select("s_suppkey", S.opacity(F.col("s_acctbal") / 5000.0).alias("alpha"))
@@ -243,7 +248,6 @@ def isodistance_band(t):
 
 @query("elapsed_seconds", "SELECT event_id, CAST(date_diff('second', TIMESTAMP '2020-01-01', ts) AS BIGINT) AS s, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
 def elapsed_seconds(t):
-    start = F.lit("2020-01-01").cast("timestamp_ntz")
     return t.events.select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'2020-01-01', date_trunc('SECOND', ts))").cast("long").alias("s"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 

@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 from ocellus.plans.registry import query
 from ocellus.streaming import logs as L
 
-#: Events carry no zone; windows are cut in UTC, the session's zone.
-_AS_TS = F.col("ts").cast("timestamp")
 #: Files written together may be read in any order; nothing is late until the closing mark.
 _PATIENT = "60 days"
 
 
 def _events(t):
-    """The event log as a stream of four files in order of time, and a closing mark far ahead that lets all windows end."""
-    e = t.events.select("event_id", _AS_TS.alias("ts"), "user_id", "event_type", "value")
+    """The event log (times in the session's zone) as a stream of four files in order of time, and a closing mark far ahead that lets all windows end."""
+    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     path = L.in_slices(e, F.col("ts"))
     end = e.select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).limit(1)
     end.coalesce(1).write.mode("append").parquet(path)
@@ -56,7 +54,7 @@ def stream_status_latest(t):
 @query("stream_late_drop", """WITH e AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS late FROM events) SELECT event_type, count(*) AS n FROM e WHERE late = 0 GROUP BY event_type""")
 def stream_late_drop(t):
     """Events that come after the watermark has passed their window are dropped: every tenth event arrives in a last file."""
-    e = t.events.select("event_id", _AS_TS.alias("ts"), "event_type", F.lit(0.0).alias("value"))
+    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.lit(0.0).alias("value"))
     path = L.in_slices(e.filter("event_id % 10 <> 0"), F.col("ts"))
     mark = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
     # a batch judges lateness by the watermark of the batch before the last one: two marks pass before the late events

@@ -194,3 +194,35 @@ def test_predict_isolates_failures(spark):
 def test_column_aliases(spark):
     df = spark.createDataFrame([(1, 2)], ["Total Cells", "other"])
     assert R.resolve_columns(df, {"cells": ["cells", "Total Cells"], "absent": ["nope"]}).columns == ["cells"]
+
+
+def test_pixel_filters(spark):
+    from ocellus.operators import pixels as P
+
+    step = np.zeros((5, 6), np.uint8)
+    step[:, 3:] = 200
+    assert P.sobel(step, "clip")[2, 2] == 255 and P.sobel(step)[2, 2] == 800 % 256 and P.sobel(step)[2, 0] == 0
+    assert (P.invert(step)[:, 0] == 255).all() and (P.gaussian(np.full((5, 5), 9, np.uint8)) == 9).all() and P.laplacian(step)[2, 2] == 200
+    spot = np.zeros((5, 5), np.uint8)
+    spot[2, 2] = 255
+    assert P.median(spot).max() == 0
+    rows = [(1, 0, 0, 5, 6, bytearray(step.tobytes())), (1, 4, 0, 5, 6, bytearray(P.invert(step).tobytes())), (1, 9, 9, 5, 6, bytearray(30))]
+    w = spark.createDataFrame(rows, "slide_id long, x long, y long, h int, w int, pixels binary")
+    assert P.apply_filters(w, ["invert"]).count() == 2
+    seen = {(r.y, r.x): r.value for r in P.stitch(w.filter("x < 9")).collect()}
+    assert seen[0, 3] == 200 and seen[0, 4] == 255 and seen[0, 9] == 55
+
+
+def test_command_line_settings():
+    from ocellus.__main__ import config_of, parser
+
+    a = parser().parse_args(["--slides", "a", "--detections", "b", "--tumors", "c", "--output", "d", "--min_area_um2", "10", "--retry_failed"])
+    assert config_of(a).min_area_um2 == 10 and config_of(a).retry_failed
+
+
+def test_retries_function_is_registered(spark, tmp_path):
+    from ocellus.streaming import logs as L
+
+    spark.createDataFrame([(1, 1, "processing"), (2, 2, "completed")], "seq long, image_id long, status string").write.parquet(str(tmp_path / "log"))
+    out = L.retries(L.file_stream(spark, str(tmp_path / "log"), "seq long, image_id long, status string"))
+    assert out.isStreaming and out.columns == ["image_id", "status"]
