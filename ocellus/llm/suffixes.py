@@ -155,11 +155,16 @@ def _unpack(blob: bytes, size: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _first_of(h: np.ndarray, r: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, r, doc, start), and in that order whether the entry is the first of its (h, r)."""
+def _first_of(h: np.ndarray, r: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (h, r, doc, start), and in that order which entries are the first of their (h, r) and which repeat it.
+
+    An entry at the first's own document and place (of a row that is there twice) is neither.
+    """
     order = np.lexsort((start, doc, r, h))
-    a, b = h[order], r[order]
-    return order, np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]
+    a, b, d, s = h[order], r[order], doc[order], start[order]
+    first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]
+    head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
+    return order, first, (d != d[head]) | (s != s[head])
 
 
 _OUT = "kind int, oid long, start long, last long, anchor int, h long"
@@ -194,7 +199,8 @@ def _deal(slices: int, span: int):
             nonlocal held, count, turn
             h, r, doc, start, last, anchor = (np.concatenate(c) for c in zip(*held))
             held, count = [], 0
-            order, first = _first_of(h, r, doc, start)
+            order, first, again = _first_of(h, r, doc, start)
+            order, first = order[first | again], first[first | again]
             h, r, doc, start, last, anchor = (x[order] for x in (h, r, doc, start, last, anchor))
             head = np.concatenate(([True], h[1:] != h[:-1]))
             group = np.cumsum(head) - 1
@@ -250,9 +256,9 @@ def _settle(table: pa.Table) -> pa.Table:
     emit(OPEN_HOT, np.flatnonzero(state == 1))
     marked = np.unique(cols["h"][state == 2])
     rest = np.flatnonzero(state == 0)
-    order, first = _first_of(cols["h"][rest], cols["r"][rest], cols["doc"][rest], cols["start"][rest])
+    order, first, again = _first_of(cols["h"][rest], cols["r"][rest], cols["doc"][rest], cols["start"][rest])
     rest = rest[order]
-    emit(REPEAT, rest[~first])
+    emit(REPEAT, rest[again])
     rest = rest[first]
     if len(rest):
         h = cols["h"][rest]
@@ -416,8 +422,8 @@ def _cut_windows(span: int):
             nonlocal held, count
             one, two, oid, start = (np.concatenate(c) for c in zip(*held))
             held, count = [], 0
-            order, first = _first_of(one, two, oid, start)
-            again, keep = order[~first], order[first]
+            order, first, later = _first_of(one, two, oid, start)
+            again, keep = order[later], order[first]
             again = again[np.lexsort((start[again], oid[again]))]
             a, s = oid[again], start[again]
             head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] > s[:-1] + 1))[: len(a)]))
