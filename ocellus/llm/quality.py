@@ -149,8 +149,8 @@ class GatedAttention:
 def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", width: int = 48) -> GatedAttention:
     """Fit on labelled rows for which ``usable`` holds, at most ``max_docs`` of them (those of least hashed id).
 
-    Rows without a label or id are not used. With no label at all, or labels of
-    one kind only, the model still gives a constant-like score of that kind.
+    Rows without a label or id are not used; of repeated labels the larger counts.
+    Without any label every score is 0.5.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & usable(F.col("id")))
     sample = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, id_c
     got = rows.select("id", "label", "text").mapInArrow(encoded, "id long, label int, x binary").toPandas().sort_values(["id", "x"])
     model = GatedAttention()
     if not len(got):
+        model.p["c"][:] = 0
         return model
     x = [np.frombuffer(r, np.float32).reshape(-1, FEATURES) for r in got.x]
     at = np.concatenate(([0], np.cumsum([len(r) for r in x])))
