@@ -31,12 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, whatever executor is lost later."""
+_MADE: list[str] = []
+
+
+def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, whatever executor is lost later.
+
+    The table stays until it is dropped by ``drop`` or, without ``keep``, by ``drop_all``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ocellus-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not keep:
+        _MADE.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch_path)
+        if t.scratch_path in _MADE:
+            _MADE.remove(t.scratch_path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all written tables: for a driver that has stored its last result elsewhere."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def partitions(spark: SparkSession) -> int:

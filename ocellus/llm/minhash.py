@@ -159,5 +159,5 @@ def near_duplicates(df: DataFrame, width: int = 5, num: int = 8, den: int = 10,
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     marks = written(signatures(docs, width, lambda: Bands(bands, rows)))
-    linked = link_classes(marks, lambda ids: element_sets(restrict(docs, ids), width).dropDuplicates(["id"]), num, den)
+    linked = link_classes(marks, lambda ids: element_sets(restrict(docs, ids), width), num, den)
     return linked.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
