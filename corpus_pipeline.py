@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm import content_sort, mixing, ngram_join, packing, quality
-from ocellus.llm.common import written
+from ocellus.llm.common import drop_all, written
 from ocellus.llm.queries import held_out
 
 
@@ -19,22 +19,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document of smallest id."""
+    drop_all(spark)  # the stage before is stored
     return content_sort.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (Jaccard of five-word shingles 0.8 or more, transitively) the document of smallest id."""
+    drop_all(spark)  # the stage before is stored
     return ngram_join.distinct_near_documents(docs, width=5, num=8, den=10)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as long, as the mix takes them; n_chars follows a cut text."""
+    drop_all(spark)  # the stage before is stored
     out = mixing.mixture(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most 1024."""
+    drop_all(spark)  # the stage before is stored
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -56,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs)
+            docs = written(docs, keep=True)
     return docs
