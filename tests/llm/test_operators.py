@@ -1,0 +1,427 @@
+"""Each operator against a brute-force version on a small table with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ocellus.llm import bloom_lm, common, content_sort, linking, minhash, mixing, ngram_join, packing, quality, secrets, suffixes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, lang string, kept boolean, size string, score string, target int, id string, key string, row int"
+LOW = str.maketrans(common.UPPER, common.UPPER.lower())
+
+
+def texts():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passage = prose(150), prose(40)
+    out = [None, "", "   \n\t ", "one", "ONE", "two words", "Two Words", base, base.upper().replace("É", "é"), base]
+    for k in range(12):  # near copies: few words changed
+        w = base.split()
+        for _ in range(k % 4 + 1):
+            w[rng.randrange(len(w))] = f"x{k}"
+        out.append(" ".join(w))
+    out += [prose(30) + " " + passage + " " + prose(20) for _ in range(6)]
+    out += [prose(n) for n in (3, 9, 10, 19, 20, 21, 22, 40, 90)]
+    for n in (9, 10, 18, 19, 20, 21):  # small sets that differ by one shingle
+        w = [f"s{n}_{i}" for i in range(n + 2)]
+        out += [" ".join(w), " ".join([*w, "more"])]
+    out += ["a" * 400, "ab " * 300, "<|endoftext|> in text <|endoftext|>", "tabs\t\tand   spaces \n  x  ", prose(9000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, t, None if i % 7 == 0 else f"s{i % 3}", "en", True, "x", "y", 1, "i", "k", 2) for i, t in enumerate(texts())]
+    out.append(out[7])  # a repeated row
+    out.append((None, "one", "s1", None, None, None, None, None, None, None, None))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_set(text, width):
+    w = WORD.findall((text or "").translate(LOW))
+    return frozenset() if not w else frozenset([tuple(w)] if len(w) < width else [tuple(w[i : i + width]) for i in range(len(w) - width + 1)])
+
+
+def brute_components(rows, width, num, den):
+    sets = {}
+    for r in rows:
+        if r[0] is not None:
+            sets[r[0]] = shingle_set(r[1], width)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            n = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and den * n >= num * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 8, 10)])
+def test_ngram_join(docs, rows, nothing, width, num, den):
+    got = ngram_join.ngram_links(docs, width, num, den).collect()
+    assert len(got) == len(rows)
+    want = brute_components(rows, width, num, den)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert ngram_join.ngram_links(nothing, width, num, den).count() == 0
+    stay = [r.doc_id for r in ngram_join.distinct_near_documents(docs, width, num, den).collect() if r.doc_id is not None]
+    assert set(stay) == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_linking_verifies_lists_that_the_hub_does_not_settle(spark):
+    """A chain under one key: neighbours link, ends do not, and the hub links with its neighbour only."""
+    sets = {i: list(range(i * 5, i * 5 + 100)) for i in range(40)}
+    marks = [(i, 100, i, i, linking.sketch(np.array(s, np.uint64)).tolist(), [7]) for i, s in sets.items()]
+    frame = spark.createDataFrame(marks, "id long, n long, sig1 long, sig2 long, sketch array<smallint>, keys array<long>")
+    table = spark.createDataFrame(list(sets.items()), "id long, elements array<long>")
+    got = linking.link_classes(frame, lambda ids: table.join(ids, "id", "left_semi"), 90, 100).collect()
+    assert {r.component for r in got} == {0} and len(got) == 40
+
+
+def test_scheme_keys_lose_no_link():
+    rng = np.random.default_rng(3)
+    scheme = ngram_join.Scheme(90, 100)
+    for n in (1, 5, 9, 10, 12, 18, 19, 20, 21, 22, 29, 30, 44, 60, 100, 101, 400):
+        for _ in range(20):
+            a = np.unique(common.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64)))
+            drop = rng.integers(0, n // 10 + 1)
+            add = rng.integers(0, n // 10 + 2)
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], common.mix(rng.integers(0, 1 << 62, add, dtype=np.uint64)))))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
+
+
+def test_exact_dedup(docs, rows, nothing):
+    norm = lambda t: (t or "").translate(LOW)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append(r[0])
+    for keep, pick in (("largest", max), ("smallest", min)):
+        got = content_sort.exact_dedup(docs, keep=keep).collect()
+        by_sha = collections.defaultdict(list)
+        for r in got:
+            by_sha[r.text_sha256].append(r)
+        assert len(got) == len(rows) and len(by_sha) == len(groups)
+        for text, ids in groups.items():
+            mine = by_sha[hashlib.sha256(text.encode()).hexdigest()]
+            best = pick(i for i in ids if i is not None)
+            assert sorted(str(r.doc_id) for r in mine) == sorted(map(str, ids))
+            assert {r.keep_id for r in mine} == {best} and {r.group_size for r in mine} == {len(ids)}
+            assert [r.doc_id for r in mine if r.kept] == [best]
+    out = content_sort.distinct_documents(docs)
+    assert out.columns == docs.columns and out.count() == len(groups)
+    assert content_sort.exact_dedup(nothing).count() == 0
+
+
+def test_exact_dedup_of_one_group_over_partitions(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), "id")).otherwise("same TEXT").alias("text"))
+    got = content_sort.exact_dedup(df, keep="largest").filter("group_size > 1").agg(F.count("*"), F.count_if("kept"), F.max("keep_id"), F.min("keep_id"), F.max("group_size")).first()
+    assert tuple(got) == (4500, 1, 4999, 4999, 4500)
+
+
+def test_packing(docs, rows, nothing):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = 64
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size).collect()
+    want = collections.Counter()
+    ids = {}
+    for r in rows:
+        ids[r[0]] = np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4")
+        want[r[0]] += len(ids[r[0]])
+    have = collections.Counter()
+    fill = collections.defaultdict(list)
+    for p in got:
+        have[p.doc_id] += p.length
+        assert p.doc_tokens == len(ids[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
+        fill[p.sequence_id].append((p.offset, p.length))
+    assert have == want
+    pad = 0
+    for pieces in fill.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= size
+        pad += 0 if at & (at - 1) == 0 else size - at
+    assert pad <= 0.01 * sum(want.values())
+    assert packing.pack(nothing, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_encoder_equals_tokenizer():
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.token_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, cache_size=50)
+    rng = random.Random(2)
+    alphabet = ["a", "B", "é", "1", " ", "  ", "\n", "\t", "'s", "'", ".", " ", "　", "漢", "\x1c", "\x85", "<|endoftext|>", "😀", "\r\n"]
+    for _ in range(1500):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_sum_of_squares_prefers_the_level_that_evens_counts():
+    s = packing.SumOfSquares(10, 0)
+    for k in range(3):
+        s.add(k, b"\0" * 4 * 4)  # level 4 or 8
+    levels = np.flatnonzero(s.counts)
+    assert s.counts[1:10].sum() == len(s.open) and set(levels) <= {4, 8}
+    s.add(9, b"\0" * 4 * 2)
+    assert any(sum(len(x[2]) // 4 for x in [p for p in s.done if p[4] == w]) == 10 for w in {p[4] for p in s.done}) or s.counts[6] or s.counts[2]
+
+
+def test_sainte_lague_is_highest_quotients():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        votes = rng.integers(0, 1000, rng.integers(1, 12)).astype(float)
+        seats = int(rng.integers(0, 80))
+        want = np.zeros(len(votes), int)
+        if votes.sum() > 0:
+            for _ in range(seats):
+                q = votes / (2 * want + 1)
+                want[int(np.argmax(q))] += 1
+        assert mixing.sainte_lague(votes, seats).tolist() == want.tolist()
+
+
+def test_targets_reshare_the_excess():
+    assert mixing.targets([10, 10], [5, 2]) == [20.0, 10.0]
+    t = mixing.targets([100, 50, 10], [5, 2, 1])
+    assert abs(sum(t) - 240) < 1e-9 and all(x <= 2 * s for x, s in zip(t, (100, 50, 10)))
+
+
+def test_mixing(docs, rows, nothing):
+    got = mixing.mixed(docs, shard_docs=10).collect()
+    again = mixing.mixed(docs.repartition(3), shard_docs=10).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    taken = collections.Counter()
+    for r in got:
+        assert r.size == len(WORD.findall(dict((x[0], x[1]) for x in rows)[r.doc_id] or "")) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for source, target, size in {(r.source, r.target, r.source_size) for r in got}:
+        assert abs(taken[source] - target) <= 8 * 8 and target <= 2 * size
+    out = mixing.mixture(docs, shard_docs=10)
+    assert out.columns == docs.columns
+    words = sum(len(WORD.findall(r.text or "")) for r in out.collect())
+    assert words == sum(taken.values())
+    assert mixing.mixed(nothing).count() == 0 and mixing.mixture(nothing).count() == 0
+
+
+def test_lm_scores(docs, rows, nothing):
+    learn = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 != 2
+    trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    tokens = [((r[1] or "").translate(LOW).encode().split() + [None], r[0]) for r in rows]
+    c = collections.Counter(x for t, i in tokens if learn(i) for x in t)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), len(t), sum(c[x] > 0 for x in t), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 6)) for t, i in tokens)
+    whole = bloom_lm.score_texts(docs, trains).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in whole) == want
+    assert {r.train_tokens for r in whole} == {n}
+    parts = bloom_lm.score_texts(docs, trains, max_filter_bytes=256, common_words=3).collect()  # several passes, hardly any common word
+    assert sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in whole) == sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in parts)
+    known = [r for r in whole if r.doc_id is not None and learn(r.doc_id) and r.n_tokens > 30]
+    assert all(r.score > r.base_score for r in known)
+    assert bloom_lm.score_texts(nothing, trains).count() == 0
+    assert all(r.base_score == 0 for r in bloom_lm.score_texts(docs, F.lit(False)).collect())
+
+
+def test_filter_never_underestimates():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 62, 3000, dtype=np.uint64))
+    keys = keys[keys % np.uint64(2) == 0]
+    q = bloom_lm.Quantiser(1.5)
+    counts = rng.integers(1, 5000, len(keys))
+    bloom = bloom_lm.LogBloom(2, 4)
+    field = bloom.build(keys, q.level(counts))
+    start, bits = np.array([0, 0]), np.array([8 * len(field), 0])
+    got = bloom.levels(keys, np.frombuffer(field, np.uint8), start, bits, 40)
+    assert (got >= q.level(counts)).all() and (got == q.level(counts)).mean() > 0.9
+    other = np.unique(rng.integers(0, 1 << 62, 4000, dtype=np.uint64))
+    other = np.setdiff1d(other[other % np.uint64(2) == 0], keys)
+    assert (bloom.levels(other, np.frombuffer(field, np.uint8), start, bits, 40) > 0).mean() < 0.12
+
+
+def test_repeated_strings(docs, rows, nothing):
+    by_id = {(-(1 << 63) if r[0] is None else r[0]): (r[1] or "").encode() for r in rows}
+    seen, want = set(), {}
+    for i in sorted(by_id):
+        b = by_id[i]
+        cover = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                cover[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[i] = (len(b), int(cover.sum()), int((np.diff(np.concatenate(([0], cover.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest())
+    got = suffixes.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = -(1 << 63) if r.doc_id is None else r.doc_id
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[key], r.doc_id
+    assert suffixes.remove_repeats(nothing).count() == 0
+
+
+def test_hot_passage(spark, monkeypatch):
+    """A passage in many documents: its edges have more contexts than the suffix sort takes."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))]) for _ in range(150)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        cover = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            cover[p : p + 100] |= t[p : p + 100] in seen
+            seen.add(t[p : p + 100])
+        want[i] = int(cover.sum())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.n_removed for r in suffixes.remove_repeats(df).collect()} == want
+
+
+def test_suffix_order_is_lexicographic():
+    rng = np.random.default_rng(8)
+    body = rng.integers(97, 99, 3000).astype(np.uint8)
+    at = rng.permutation(2900)[:500]
+    group = np.sort(rng.integers(0, 7, 500))
+    right = np.full(500, 90)
+    prefix = suffixes.Prefix(200, block=3200)
+    got = suffixes.suffix_order(prefix, prefix.table(body), body, group, at, right)
+    keys = [(group[i], body[at[i] : at[i] + 90].tobytes()) for i in got]
+    assert keys == sorted(keys)
+
+
+def test_fingerprints(docs, rows, nothing):
+    got = minhash.edited_fingerprints(docs).collect()
+    order = sorted(((-(1 << 63) if r[0] is None else r[0]), r[1] or "", r[0]) for r in rows)
+    want = []
+    for k, (_, text, i) in enumerate(order):
+        half = len(text) // 2
+        want.append((str(i), len(text), hashlib.sha256((text[: len(text) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[dict((x[0], x[1] or "") for x in rows)[r.doc_id]].add(r.fingerprint)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert all(len(x) == 1 for x in by.values())
+    assert minhash.edited_fingerprints(nothing).count() == 0
+
+
+def test_minhash_estimates_jaccard_and_bands_find_near_copies(docs, rows):
+    a, b = [r[1] for r in rows if r[1] and len(r[1]) > 500][:2]
+    mine = minhash.minhashes(pa.array([a, b], pa.large_string()), 5, 256)
+    x, y = shingle_set(a, 5), shingle_set(b, 5)
+    assert abs(minhash.likeness(mine[:1], mine[1:])[0] - len(x & y) / len(x | y)) < 0.12
+    want = brute_components(rows, 5, 8, 10)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def rsa_key():
+    def element(tag, body):
+        n = len(body)
+        size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+        return bytes([tag]) + size + body
+
+    number = lambda v: element(2, v.to_bytes(v.bit_length() // 8 + 1, "big"))
+    return element(0x30, number(0) + b"".join(number(3 ** (40 * k)) for k in range(1, 9)))
+
+
+def test_secrets(spark, docs, rows, nothing):
+    key = base64.b64encode(rsa_key()).decode()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(key[i : i + 64] for i in range(0, len(key), 64)) + "\n-----END RSA PRIVATE KEY-----"
+    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    jwt = part('{"alg":"HS256","typ":"JWT"}') + "." + part('{"sub":"1"}') + ".abcDEF123"
+    kinds = lambda t: [k for k, _, _ in secrets.find_secrets(t)]
+    assert kinds(pem) == ["pem"] and kinds(f"é {key} x") == ["der"] and kinds("x " + rsa_key().hex()) == ["hex", "der"]
+    assert kinds(jwt) == ["jwt"] and kinds(pem.replace(key[40:50], "AAAAAAAAAA")) == [] and kinds("eyJhbGciOi.broken.x") == []
+    assert kinds("secret=token: abcdefgh") == [] and kinds('PassWord" : "abcdef') == ["assign"] and kinds("token=abcde") == []
+    assert secrets.find_secrets("éé AKIA" + "Q" * 16) == [("access", 3, 23)] and kinds("AKIA" + "Q" * 15) == [] and kinds("f" * 23) == []
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert len(secrets.scan_secrets(docs).collect()) == len(rows) and found[36 if 36 in found else 0] is not None
+    assert secrets.scan_secrets(nothing).count() == 0
+    one = secrets.scan_secrets(spark.createDataFrame([(1, "x token = abcdefg y")], "doc_id long, text string")).first().spans[0]
+    assert (one.kind, one.start, one.end, one.secret) == ("assign", 2, 17, "token = abcdefg")
+
+
+def test_quality(spark, nothing, docs):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(300):
+        w = [rng.choice(words) for _ in range(rng.randint(40, 300))]
+        bad = i % 3 == 0
+        if bad:
+            k = rng.randrange(max(1, len(w) - 48))
+            w[k : k + 48] = [x + "$$$" for x in w[k : k + 48]]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0 if bad else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
+    model = quality.train(df, lab, lambda i: i % 2 == 0)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    right = [(got[i] >= 0.5) == bool(y) for i, y in labels if i % 2]
+    assert sum(right) / len(right) > 0.95
+    assert quality.score(docs, model).filter("score is null or score < 0 or score > 1").count() == 0
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns
+    assert quality.score(nothing, model).count() == 0 and quality.accepted(nothing, model).count() == 0
+    blank = quality.train(df, lab.limit(0), lambda i: i == i)
+    assert {r.score for r in quality.score(df, blank).collect()} == {0.5}
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(2)
+    m = quality.GatedAttention(5, 4)
+    x, at, y = rng.standard_normal((9, quality.FEATURES)), np.array([0, 2, 6, 9]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        s = m.forward(x, at)[-1]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    grad = m._gradient(x, at, y)
+    for k in ("W", "V", "U", "w", "c", "d", "b"):
+        flat = m.p[k].reshape(-1)
+        for i in rng.integers(0, len(flat), 4):
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-6 - grad[k].reshape(-1)[i]) < 1e-5
+
+
+def test_word_hashes_of_long_words_and_blocks():
+    t = ["a" * 3_000_000 + " b", "b " * 700_000, "", " \t\n", "x"]
+    hashes, at = common.word_hashes(pa.array(t, pa.large_string()))
+    assert np.diff(at).tolist() == [2, 700_000, 0, 0, 1]
+    assert hashes[1] == hashes[2] and len(set(hashes.tolist())) == 3
