@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm import bloom_lm, content_sort, minhash, mixing, ngram_join, packing, quality, secrets, suffixes
+from ocellus.llm import bloom_lm, content_sort, licenses, minhash, mixing, ngram_join, packing, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.ngram_links(docs, width=3, num=90, den=100)
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(doc_id):
     """Rows whose labels are never learned from: crc32 of the id as text, mod 3, is 1."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
@@ -69,7 +73,7 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(docs).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_quality, op4_secret_scan, op5_mix_sources, op6_lm_scores, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_quality, op4_secret_scan, op5_mix_sources, op6_lm_scores, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
