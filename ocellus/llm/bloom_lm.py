@@ -230,6 +230,18 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
     order = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[order], common.column("c").to_numpy()[order]))
 
+    def start_level(batches):
+        for b in batches:
+            for s, blob in zip(b.column("slice").to_pylist(), b.column("field")):
+                field = np.frombuffer(blob.as_buffer(), np.uint8)
+                bits = np.zeros(slices, np.int64)
+                bits[s] = 8 * len(field)
+                yield pa.RecordBatch.from_arrays([pa.array(bloom.levels(np.array([BEGIN]), field, np.zeros(slices, np.int64), bits, top).astype(np.int32))], ["level"])
+
+    # the context of first words: its slice may be in any pass
+    begin = model.filter(F.col("slice") == int(BEGIN % np.uint64(slices))).select("slice", "field").mapInArrow(start_level, "level int").first()
+    begin = begin["level"] if begin else 0
+
     sizes = sorted((r["slice"], r["bytes"]) for r in model.select("slice", "bytes").collect())
     groups: list[list[int]] = [[]]
     room = max_filter_bytes
@@ -255,7 +267,7 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
         if not last:
             state = written(state)
     value = Quantiser(order_base).value
-    sent = state.mapInArrow(_score(bloom, part, top, heavy, value, n, v, prior, slices), _SENT)
+    sent = state.mapInArrow(_score(bloom, part, top, heavy, value, begin, n, v, prior, slices), _SENT)
     found = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words").groupBy("slice")).applyInArrow(_look_up, _FOUND)
     whole = found.groupBy("piece").applyInArrow(_sum_up, _PART)
     log_all = float(np.log10(n + v + 1))
@@ -296,12 +308,11 @@ def _probe(bloom: LogBloom, part, top: int):
 _STRUCT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
 
 
-def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, n: int, v: int, prior: float, slices: int):
+def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, begin: int, n: int, v: int, prior: float, slices: int):
     """Per piece its documents' scores and sums over common words; other words are packed per slice for the look-up."""
 
     def scored(batches):
         keys, counts = heavy.value
-        starts = bloom.levels(np.array([BEGIN]), np.frombuffer(part.value[0], np.uint8), part.value[1], part.value[2], top)
         piece = TaskContext.get().partitionId() << 32
         for b in chunks(batches):
             t, c, offsets = tokens(b.column("text"))
@@ -311,7 +322,7 @@ def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, n: int, v:
             q, joint = value[uni], value[bi]
             context = np.empty_like(q)
             context[1:] = q[:-1]
-            context[offsets[:-1]] = value[starts[0]] if starts[0] else max(1, n // max(1, v))
+            context[offsets[:-1]] = value[begin]
             p = (q + 1) / (n + v + 1)
             score = np.log10((np.minimum(joint, context) + prior * p) / (context + prior)) if n else np.zeros(len(t))
             score = np.add.reduceat(score, offsets[:-1])

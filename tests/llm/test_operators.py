@@ -255,6 +255,18 @@ def test_lm_scores(docs, rows, nothing):
     assert all(r.base_score == 0 for r in bloom_lm.score_texts(docs, F.lit(False)).collect())
 
 
+@pytest.mark.parametrize("slices", [3, 6])
+def test_lm_scores_of_first_words_in_any_pass(spark, docs, slices):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        assert int(bloom_lm.BEGIN) % slices < slices - 1  # not in the last pass
+        whole, parts = ({str(r.doc_id): round(r.score, 6) for r in bloom_lm.score_texts(docs, F.lit(True), max_filter_bytes=m).collect()} for m in (1 << 27, 256))
+        assert whole == parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_filter_never_underestimates():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 62, 3000, dtype=np.uint64))
