@@ -175,6 +175,11 @@ def union_distinct_labels(t):
     return t.detections.filter("slide_id < 50").select("det_id").union(t.window_detections.filter("win_x = 0").select("det_id")).distinct()
 
 
+@query("union_all_labels", "SELECT det_id FROM {detections} UNION SELECT det_id FROM {window_detections}")
+def union_all_labels(t):
+    return t.detections.select("det_id").union(t.window_detections.select("det_id")).distinct()
+
+
 _MASKS = """a AS (SELECT DISTINCT slide_id, p.v AS px, q.v AS py FROM {tissue} t, (SELECT unnest(range(0, 40)) AS v) p, (SELECT unnest(range(0, 40)) AS v) q WHERE p.v * 50 >= x1 AND p.v * 50 < x2 AND q.v * 50 >= y1 AND q.v * 50 < y2),
     b AS (SELECT DISTINCT slide_id, p.v AS px, q.v AS py FROM {tumors} t, (SELECT unnest(range(0, 40)) AS v) p, (SELECT unnest(range(0, 40)) AS v) q WHERE p.v * 50 >= x1 AND p.v * 50 < x2 AND q.v * 50 >= y1 AND q.v * 50 < y2)"""
 

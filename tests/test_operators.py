@@ -1,6 +1,7 @@
 """Known answers, invariants and differential checks."""
 
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from ocellus.operators.components import components, components_by_slide, union_
 from ocellus.operators.nms import greedy
 from ocellus.operators.tumors import distances, instances
 from ocellus.operators.windows import sliding_windows
+from ocellus.plans import cells as QUERY_CELLS
 from ocellus.sources import readers as R
 from ocellus.sources.adapters import Tables
 
@@ -226,3 +228,9 @@ def test_retries_function_is_registered(spark, tmp_path):
     spark.createDataFrame([(1, 1, "processing"), (2, 2, "completed")], "seq long, image_id long, status string").write.parquet(str(tmp_path / "log"))
     out = L.retries(L.file_stream(spark, str(tmp_path / "log"), "seq long, image_id long, status string"))
     assert out.isStreaming and out.columns == ["image_id", "status"]
+
+
+def test_all_labels_are_united(spark):
+    d = spark.createDataFrame([(1, 1), (60, 2)], "slide_id long, det_id long")
+    w = spark.createDataFrame([(1, 1, 0), (60, 2, 500), (70, 3, 500)], "slide_id long, det_id long, win_x long")
+    assert sorted(r.det_id for r in QUERY_CELLS.union_all_labels(SimpleNamespace(detections=d, window_detections=w)).collect()) == [1, 2, 3]
