@@ -97,6 +97,13 @@ def exclusion_sets(t):
     return pick("status = 'failed'").union(pick("error_message <> ''")).union(pick("status = 'completed' AND image_id % 2 = 0")).distinct()
 
 
+@query("exclusion_sets_all", "SELECT image_id FROM {batch_log} WHERE status = 'failed' UNION SELECT image_id FROM {batch_log} WHERE error_message <> '' UNION SELECT image_id FROM {batch_log} WHERE status = 'completed'")
+def exclusion_sets_all(t):
+    log = t.batch_log
+    pick = lambda c: log.filter(c).select("image_id")
+    return pick("status = 'failed'").union(pick("error_message <> ''")).union(pick("status = 'completed'")).distinct()
+
+
 @query("sort_by_resolution", "SELECT slide_id, row_number() OVER (ORDER BY CASE WHEN slide_id % 9 = 0 THEN NULL ELSE width * (1 + slide_id % 13) * height END DESC NULLS LAST, slide_id) AS rank FROM {slides}")
 def sort_by_resolution(t):
     """Slides by pixel area, unknown ones last. The slide list is the smallest table: one row per image file."""

@@ -71,6 +71,15 @@ def windows_or_all(t):
     return W.or_all(W.on_regions(every, t.tissue.filter("tissue_id % 50 = 0")), every)
 
 
+@query("windows_or_all_tissue", """
+    WITH k AS (SELECT w.* FROM """ + _WIN + """ w WHERE EXISTS (SELECT 1 FROM {tissue} t WHERE t.slide_id = w.slide_id AND w.x1 < t.x2 AND t.x1 < w.x2 AND w.y1 < t.y2 AND t.y1 < w.y2))
+    SELECT * FROM k UNION ALL SELECT w.* FROM """ + _WIN + """ w WHERE w.slide_id NOT IN (SELECT slide_id FROM k)""")
+def windows_or_all_tissue(t):
+    """As ``windows_or_all``, guided by every tissue region."""
+    every = _windows(t)
+    return W.or_all(W.on_regions(every, t.tissue), every)
+
+
 _COV = """
     WITH m AS (SELECT DISTINCT t.slide_id, a.v AS px, b.v AS py FROM {tissue} t, (SELECT unnest(range(0, 40)) AS v) a, (SELECT unnest(range(0, 40)) AS v) b
                WHERE a.v * 50 >= t.x1 AND a.v * 50 < t.x2 AND b.v * 50 >= t.y1 AND b.v * 50 < t.y2),

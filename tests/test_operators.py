@@ -18,6 +18,7 @@ from ocellus.operators.components import components, components_by_slide, union_
 from ocellus.operators.nms import greedy
 from ocellus.operators.tumors import distances, instances
 from ocellus.operators.windows import sliding_windows
+from ocellus.plans import batch, guidance
 from ocellus.plans import cells as QUERY_CELLS
 from ocellus.sources import readers as R
 from ocellus.sources.adapters import Tables
@@ -234,3 +235,15 @@ def test_all_labels_are_united(spark):
     d = spark.createDataFrame([(1, 1), (60, 2)], "slide_id long, det_id long")
     w = spark.createDataFrame([(1, 1, 0), (60, 2, 500), (70, 3, 500)], "slide_id long, det_id long, win_x long")
     assert sorted(r.det_id for r in QUERY_CELLS.union_all_labels(SimpleNamespace(detections=d, window_detections=w)).collect()) == [1, 2, 3]
+
+
+def test_whole_tissue_guides_and_slides_without_fall_back(spark):
+    slides = spark.createDataFrame([(1, 2000, 2000), (2, 2000, 2000)], "slide_id long, width long, height long")
+    tissue = spark.createDataFrame([(1, 7, 0, 0, 50, 50)], "slide_id long, tissue_id long, x1 long, y1 long, x2 long, y2 long")
+    got = [(r.slide_id, r.x1, r.y1) for r in guidance.windows_or_all_tissue(SimpleNamespace(slides=slides, tissue=tissue)).collect()]
+    assert [g for g in got if g[0] == 1] == [(1, 0, 0)] and sum(g[0] == 2 for g in got) == 25
+
+
+def test_all_completed_images_are_excluded(spark):
+    log = spark.createDataFrame([(1, "completed", ""), (2, "completed", ""), (3, "pending", ""), (4, "failed", "x")], "image_id long, status string, error_message string")
+    assert sorted(r.image_id for r in batch.exclusion_sets_all(SimpleNamespace(batch_log=log)).collect()) == [1, 2, 4]
