@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _BASE, chunks, mix, partitions, text_or_empty, word_hashes, written
+from ocellus.llm.common import _BASE, chunks, mix, partitions, text_or_empty, unzipped, word_hashes, written, zipped
 
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
 FLUSH = 1_000_000  # tokens that a task holds before it deals its counts out
@@ -96,19 +96,6 @@ def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
         return mix(context * _BASE + token * np.uint64(0xE7037ED1A0B428DB))
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
-
-
-def _unzip(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    size = sum(np.dtype(k).itemsize for k in kinds) * n
-    raw, at, out = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += out[-1].nbytes
-    return out
-
-
 def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -140,7 +127,7 @@ def _count(slices: int):
                     part = order[cut[s] : cut[s + 1]]
                     if len(part):
                         sorted_keys = k[part]
-                        rows.append((s, kind, len(part), _zip(np.diff(sorted_keys, prepend=np.uint64(0)), m[part].astype("<u4"))))
+                        rows.append((s, kind, len(part), zipped(np.diff(sorted_keys, prepend=np.uint64(0)), m[part].astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["slice", "kind", "n", "grams"])
 
         for b in chunks(batches):
@@ -163,7 +150,7 @@ def _merge(bloom: LogBloom, base: float):
         got = {}
         kinds, sizes, blobs = (table.column(c).to_pylist() for c in ("kind", "n", "grams"))
         for kind in (1, 2):
-            parts = [_unzip(b, n, "<u8", "<u4") for k, n, b in zip(kinds, sizes, blobs) if k == kind]
+            parts = [unzipped(b, n, "<u8", "<u4") for k, n, b in zip(kinds, sizes, blobs) if k == kind]
             if parts:
                 got[kind] = _sum_by(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
             else:
@@ -173,7 +160,7 @@ def _merge(bloom: LogBloom, base: float):
         field = bloom.build(np.concatenate([got[k][0] for k in (1, 2)]), levels)
         return pa.table({
             "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "n_words": pa.array([len(words)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()),
-            "words": pa.array([_zip(words, counts)], pa.binary()), "field": pa.array([field], pa.binary()), "bytes": pa.array([len(field)], pa.int64()), "top": pa.array([int(levels.max(initial=0))], pa.int32()),
+            "words": pa.array([zipped(words, counts)], pa.binary()), "field": pa.array([field], pa.binary()), "bytes": pa.array([len(field)], pa.int64()), "top": pa.array([int(levels.max(initial=0))], pa.int32()),
         })
 
     return merged
@@ -219,7 +206,7 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
         for b in batches:
             keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for blob, size in zip(b.column("words").to_pylist(), b.column("n_words").to_pylist()):
-                k, c = _unzip(blob, size, "<u8", "<i8")
+                k, c = unzipped(blob, size, "<u8", "<i8")
                 pick = c * common_words >= n
                 keys.append(k[pick])
                 counts.append(c[pick])
@@ -338,7 +325,7 @@ def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, begin: int
             rare, where = rare[order], where[order]
             cut = np.searchsorted(where, np.arange(slices + 1))
             some = np.flatnonzero(np.diff(cut))
-            out = [[int(s) for s in some], [piece] * len(some), [int(cut[s + 1] - cut[s]) for s in some], [_zip(t[rare[cut[s] : cut[s + 1]]], doc[rare[cut[s] : cut[s + 1]]].astype("<u4")) for s in some]]
+            out = [[int(s) for s in some], [piece] * len(some), [int(cut[s + 1] - cut[s]) for s in some], [zipped(t[rare[cut[s] : cut[s + 1]]], doc[rare[cut[s] : cut[s + 1]]].astype("<u4")) for s in some]]
             for column, x in zip(out, (piece % slices, piece, 0, None)):
                 column.append(x)
             listed = pa.concat_arrays([pa.nulls(len(some), docs.type), docs])
@@ -351,7 +338,7 @@ def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, begin: int
 def _look_up(sent: pa.Table, words: pa.Table) -> pa.Table:
     """Of the words that were sent to this slice the known ones, summed by document within each piece."""
     if words.num_rows:
-        keys, counts = _unzip(words.column("words")[0].as_py(), words.column("n_words")[0].as_py(), "<u8", "<i8")
+        keys, counts = unzipped(words.column("words")[0].as_py(), words.column("n_words")[0].as_py(), "<u8", "<i8")
     else:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n, hits = [], []
@@ -360,14 +347,14 @@ def _look_up(sent: pa.Table, words: pa.Table) -> pa.Table:
             n.append(0)
             hits.append(None)
             continue
-        t, doc = _unzip(entries, size, "<u8", "<u4")
+        t, doc = unzipped(entries, size, "<u8", "<u4")
         at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
         hit = keys[at] == t
         known = np.bincount(doc[hit])
         some = np.flatnonzero(known)
         sums = np.bincount(doc[hit], weights=np.log10(counts[at[hit]] + 1.0))[some]
         n.append(len(some))
-        hits.append(_zip(some.astype("<u4"), known[some].astype("<u4"), sums))
+        hits.append(zipped(some.astype("<u4"), known[some].astype("<u4"), sums))
     return pa.table({"piece": sent.column("piece"), "n": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.binary()), "docs": sent.column("docs")})
 
 
@@ -377,7 +364,7 @@ def _sum_up(found: pa.Table) -> pa.Table:
     known, sums = (np.array(docs.field(k)) for k in ("known", "log_sum"))
     for n, hits in zip(found.column("n").to_pylist(), found.column("hits").to_pylist()):
         if n:
-            doc, more, extra = _unzip(hits, n, "<u4", "<u4", "<f8")
+            doc, more, extra = unzipped(hits, n, "<u4", "<u4", "<f8")
             known[doc] += more
             sums[doc] += extra
     return pa.table({"doc_id": docs.field("doc_id"), "n_tokens": docs.field("n_tokens"), "known": pa.array(known), "log_sum": pa.array(sums), "score": docs.field("score")})

@@ -72,6 +72,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices_of(df: DataFrame, each: int = 64 << 20) -> int:
+    """Into how many slices hashes of ``df``'s texts are dealt: one per ``each`` bytes of input, the shuffle partitions at least.
+
+    The size is Catalyst's estimate (that of the files), so nothing is read; where it knows none, the shuffle partitions decide.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), size // each + 1 if size < 1 << 58 else 1)
+
+
+def zipped(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def unzipped(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    """Arrays of ``n`` elements each from a compressed value."""
+    size = sum(np.dtype(k).itemsize for k in kinds) * n
+    raw, at, out = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if n else b"", 0, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def dealt(where: np.ndarray, slices: int):
+    """(slice, the places of its entries in order) of the slices that ``where`` names."""
+    order = np.argsort(where, kind="stable")
+    cut = np.searchsorted(where[order], np.arange(slices + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        yield int(k), order[cut[k] : cut[k + 1]]
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

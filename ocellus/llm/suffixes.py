@@ -1,22 +1,30 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
-A string of ``span`` bytes that starts earlier elsewhere is found in three steps.
+A string of ``span`` bytes that starts earlier elsewhere is found in four steps.
 
-Anchors. Of the GRAM-byte grams of a window of ``span`` bytes the one of least
-hash (the last of equals) is the window's anchor. Equal windows have equal
+Anchors. Of the grams (half a span long) of a window of ``span`` bytes the one of
+least hash (the last of equals) is the window's anchor. Equal windows have equal
 anchors at the same place, so only windows whose anchors agree need comparing.
 Windows that follow each other and share an anchor make a run.
 
-Runs. Runs are dealt by anchor hash. A run equal to an earlier one repeats it
+Runs. Runs are dealt by anchor. A run equal to an earlier one repeats it
 throughout; only the first stays. An anchor that then has more than one run is open.
 
 Suffixes. For the open anchors the bytes around them are sorted as suffixes that
-start at the anchor: a mergesort whose comparisons find the common extension by
-binary search over prefix polynomial hashes. In sorted order the extension of two
-suffixes is a running minimum of neighbours' extensions; extensions to the left
-are found in the same way. Matches are verified byte by byte. Anchors with more
-than HOT runs would compare too many suffixes in one place; their windows are
-instead grouped one by one by two independent 64-bit hashes, which needs no group in one task.
+start at the anchor, to the right and to the left: a mergesort whose comparisons
+find the common extension by binary search over prefix polynomial hashes. In
+sorted order the strings with a common beginning are neighbours, so for every
+place of the anchor in a window equal windows have equal classes on both sides.
+Matches are compared byte by byte; should bytes differ, the anchor's windows are
+compared directly. One suffix sort takes up to CONTEXTS contexts of an anchor; the
+windows of a more crowded one are dealt by window hash, so no anchor's contexts
+meet in one task.
+
+Verification. What runs and window hashes call equal is compared too: repeated
+runs that follow each other join to stretches, the first occurrence's bytes give a
+128-bit digest, and a stretch is removed only if its own bytes have that digest.
+
+All entries travel as packed arrays, a row per task and slice; the number of slices grows with the input.
 """
 
 from __future__ import annotations
@@ -25,17 +33,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _powers, mix, partitions, written
+from ocellus.llm.common import _powers, dealt, drop, mix, slices_of, unzipped, written, zipped
+from ocellus.llm.linking import restrict
 
-GRAM = 50
-HOT = 64
+#: Contexts of one anchor that a suffix sort takes; more are dealt by window.
+CONTEXTS = 4096
 FLUSH = 1_500_000  # runs that a task holds before it deals them out
+#: Entries of one anchor that may meet in a slice: a task with more than its share of them deals them by run.
+ANCHOR_ENTRIES = 1_000_000
+#: First occurrences of one document whose digests are asked for in one row.
+ASKED = 4096
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _FIRST = -(1 << 63)
+#: In place of a first occurrence's start: the stretch has been compared byte by byte.
+COMPARED = np.uint32(0xFFFFFFFF)
 
 
 class Prefix:
@@ -73,13 +87,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(body: np.ndarray, span: int, prefix: Prefix) -> tuple[np.ndarray, ...]:
     """(anchor hash, run hash, first start, last start, anchor offset from the first start) of the runs of a text."""
+    gram = span // 2
     cols: list[list[np.ndarray]] = [[] for _ in range(5)]
     for lo in range(0, max(0, len(body) - span + 1), prefix.block):
         part = body[lo : lo + prefix.block + span - 1]
         table = prefix.table(part)
-        at = np.arange(len(part) - GRAM + 1)
-        grams = prefix.stretch(table, at, at + GRAM)
-        width = span - GRAM + 1
+        at = np.arange(len(part) - gram + 1)
+        grams = prefix.stretch(table, at, at + gram)
+        width = span - gram + 1
         least = _sliding_min(grams, width)
         # windows that follow each other and share the anchor's value; equal values in one window are told apart by the last place
         place = _last_place(grams, least, width)
@@ -125,167 +140,218 @@ def _last_place(grams: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_FIELDS = {"h": "<u8", "r": "<u8", "doc": "<i8", "start": "<i8", "last": "<i8", "anchor": "<i4", "hot": "<i1"}
-
-
-def _pack(cols: dict[str, np.ndarray]) -> bytes:
-    """Arrays as bytes; document and place as differences, which the shuffle compresses well."""
-    n = len(cols["h"])
-    parts = [np.int64(n).tobytes()]
-    for k, kind in _FIELDS.items():
-        x = cols[k].astype(kind)
-        if k == "doc":
-            x = np.diff(x, prepend=x[:1] * 0)
-        if k == "last":
-            x = (cols["last"] - cols["start"]).astype("<i4")
-        parts.append(x.tobytes())
-    return pa.compress(b"".join(parts), codec="zstd", asbytes=True) if n else b""
-
-
-def _unpack(blob: bytes, size: int) -> dict[str, np.ndarray]:
-    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    at, out = 8, {}
-    for k, kind in _FIELDS.items():
-        kind = "<i4" if k == "last" else kind
-        x = np.frombuffer(raw, kind, n, at)
-        at += x.nbytes
-        out[k] = np.cumsum(x) if k == "doc" else x
-    out["last"] = out["last"].astype(np.int64) + out["start"]
+# --- packed entries --------------------------------------------------------------
+
+#: Kinds of packed entries, with their fields. The first of RUN's states: 0 undecided, 1 of a crowded anchor, 2 a mark of one.
+RUN, REPEAT, OPEN, CROWDED, CONTEXT, WINDOW = range(6)
+_RUN_FIELDS = {"h": "<u8", "r": "<u8", "rid": "<i8", "start": "<u4", "more": "<u2", "anchor": "<u2", "state": "<u1"}
+_FIELDS = {
+    RUN: _RUN_FIELDS,
+    REPEAT: {"rid": "<i8", "start": "<u4", "more": "<u4", "src": "<i8", "at": "<u4"},
+    OPEN: {"h": "<u8", "rid": "<i8", "start": "<u4", "more": "<u2", "anchor": "<u2"},
+    CROWDED: {"h": "<u8", "rid": "<i8", "start": "<u4", "more": "<u2", "anchor": "<u2"},
+    CONTEXT: {"h": "<u8", "rid": "<i8", "start": "<u4", "anchor": "<u2", "size": "<u2"},
+    WINDOW: {"h": "<u8", "r": "<u8", "rid": "<i8", "start": "<u4"},
+}
+_PACKED = "slice int, kind int, n long, entries binary, bytes binary"
+
+
+def _pack(kind: int, cols: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
+    parts = []
+    for k, t in _FIELDS[kind].items():
+        x = cols[k][pick].astype(t)
+        with np.errstate(over="ignore"):
+            parts.append(np.diff(x, prepend=x[:1] * 0) if k == "rid" else x)  # ids in order compress well as differences
+    return zipped(*parts)
+
+
+def _unpack(kind: int, n: int, blob: bytes) -> dict[str, np.ndarray]:
+    fields = _FIELDS[kind]
+    out = dict(zip(fields, unzipped(blob, n, *fields.values())))
+    with np.errstate(over="ignore"):
+        out["rid"] = np.cumsum(out["rid"])
     return out
 
 
-def _first_of(h: np.ndarray, r: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (h, r, doc, start), and in that order which entries are the first of their (h, r) and which repeat it.
+def _gathered(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
+    """All entries of one kind in a group of packed rows."""
+    kinds, sizes, blobs = (table.column(c).to_pylist() for c in ("kind", "n", "entries"))
+    parts = [_unpack(kind, n, b) for k, n, b in zip(kinds, sizes, blobs) if k == kind]
+    return {f: np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, t) for f, t in _FIELDS[kind].items()}
 
-    An entry at the first's own document and place (of a row that is there twice) is neither.
-    """
-    order = np.lexsort((start, doc, r, h))
-    a, b, d, s = h[order], r[order], doc[order], start[order]
+
+class Rows:
+    """Packed rows in the making."""
+
+    def __init__(self, slices: int):
+        self.slices, self.rows = slices, []
+
+    def deal(self, kind: int, cols: dict[str, np.ndarray], where: np.ndarray, first: int = 0) -> None:
+        """Entries by slice; ``first`` is the number of the kind's first slice."""
+        order = np.lexsort((cols["start"], cols["rid"]))
+        for k, part in dealt(where[order], self.slices):
+            part = order[part]
+            self.rows.append((first + k, kind, len(part), _pack(kind, cols, part), None))
+
+    def by_document(self, kind: int, cols: dict[str, np.ndarray], first: int = 0) -> None:
+        if len(cols["rid"]):
+            self.deal(kind, cols, (mix(cols["rid"].astype(np.int64).view(np.uint64)) % np.uint64(self.slices)).astype(np.int64), first)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], t) for i, t in enumerate(kinds)], ["slice", "kind", "n", "entries", "bytes"])
+        self.rows = []
+        return out
+
+    def table(self) -> pa.Table:
+        return pa.Table.from_batches([self.batch()])
+
+
+def _firsts(h: np.ndarray, r: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (h, r, rid, start), and for each place in that order the place of the first entry with its (h, r)."""
+    order = np.lexsort((start, rid, r, h))
+    a, b = h[order], r[order]
     first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]
-    head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
-    return order, first, (d != d[head]) | (s != s[head])
+    return order, np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
 
 
-_OUT = "kind int, oid long, start long, last long, anchor int, h long"
-#: kinds: a removed stretch [start, last + span), an open run for the suffix sort, an open run of a hot anchor
-REPEAT, OPEN, OPEN_HOT = 0, 1, 2
+def _joined(rid, start, more, src, at) -> dict[str, np.ndarray]:
+    """Repeats in order of (rid, start); those that follow each other as their first occurrences do are one."""
+    order = np.lexsort((start, rid))
+    rid, start, more, src, at = (np.asarray(x)[order].astype(np.int64) for x in (rid, start, more, src, at))
+    head = np.ones(len(rid), bool)
+    head[1:] = (rid[1:] != rid[:-1]) | (src[1:] != src[:-1]) | (start[1:] != start[:-1] + more[:-1] + 1) | (at[1:] - start[1:] != at[:-1] - start[:-1])
+    lo = np.flatnonzero(head)
+    hi = np.append(lo[1:], len(rid)) - 1 if len(lo) else lo
+    return {"rid": rid[lo], "start": start[lo], "more": start[hi] + more[hi] - start[lo], "src": src[lo], "at": at[lo]}
 
 
-def _result(kind, oid, start, last, anchor, h) -> pa.RecordBatch:
-    n = len(oid)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind) if np.isscalar(kind) else kind, pa.int32()), pa.array(oid, pa.int64()), pa.array(start, pa.int64()),
-         pa.array(last, pa.int64()), pa.array(anchor, pa.int32()), pa.array(np.ascontiguousarray(h, dtype=np.uint64).view(np.int64))],
-        ["kind", "oid", "start", "last", "anchor", "h"],
-    )
+def _repeats(cols: dict[str, np.ndarray], order: np.ndarray, head: np.ndarray) -> dict[str, np.ndarray]:
+    """Entries that are not the first of their kind, joined."""
+    later = np.flatnonzero(head != np.arange(len(head)))
+    mine, theirs = order[later], order[head[later]]
+    more = cols["more"][mine] if "more" in cols else np.zeros(len(mine), np.int64)
+    return _joined(cols["rid"][mine], cols["start"][mine], more, cols["rid"][theirs], cols["start"][theirs])
+
 
+# --- runs ------------------------------------------------------------------------
 
-def _deal(slices: int, span: int):
-    """Runs of a task's texts, packed per slice of the anchor hash.
 
-    Repeats within the task are settled here: they travel as ``hot`` = -1 with the
-    slice of their first. Of an anchor with more than HOT runs in the task all
-    runs travel as hot and a marker tells the anchor's slice.
+def _deal_runs(slices: int, span: int, share: int):
+    """Runs of a task's texts, packed per slice of the anchor hash; repeats within the task are settled here.
+
+    Of an anchor with more than ``share`` runs in the task the runs are dealt by
+    their own hash as crowded, and a mark tells the anchor's slice.
     """
 
-    def dealt(batches):
+    def deal(batches):
         prefix = Prefix(span)
         held: list[tuple] = []
         count = 0
-        turn = TaskContext.get().partitionId()
 
         def flush():
-            nonlocal held, count, turn
-            h, r, doc, start, last, anchor = (np.concatenate(c) for c in zip(*held))
+            nonlocal held, count
+            names = ("h", "r", "rid", "start", "last", "anchor")
+            cols = {k: np.concatenate(c) for k, c in zip(names, zip(*held))}
             held, count = [], 0
-            order, first, again = _first_of(h, r, doc, start)
-            order, first = order[first | again], first[first | again]
-            h, r, doc, start, last, anchor = (x[order] for x in (h, r, doc, start, last, anchor))
-            head = np.concatenate(([True], h[1:] != h[:-1]))
-            group = np.cumsum(head) - 1
-            crowded = np.bincount(group, weights=first)[group] > HOT
-            hot = np.where(first, np.where(crowded, 1, 0), -1).astype(np.int8)
-            where = (h % np.uint64(slices)).astype(np.int64)
-            spread = (hot != 0)
-            where[spread] = (mix(r[spread]) % np.uint64(slices)).astype(np.int64)  # settled already; only passes through
-            marks = head & crowded
-            marked = np.flatnonzero(marks)
-            cols = {"h": np.concatenate((h, h[marked])), "r": np.concatenate((r, r[marked])), "doc": np.concatenate((doc, doc[marked])), "start": np.concatenate((start, start[marked])),
-                    "last": np.concatenate((last, start[marked])), "anchor": np.concatenate((anchor, anchor[marked])), "hot": np.concatenate((hot, np.full(len(marked), 2, np.int8)))}
-            where = np.concatenate((where, (h[marked] % np.uint64(slices)).astype(np.int64)))
-            order = np.lexsort((cols["start"], cols["doc"], where))
-            cut = np.searchsorted(where[order], np.arange(slices + 1))
-            ids, blobs, sizes = [], [], []
-            for k in range(slices):
-                part = order[cut[k] : cut[k + 1]]
-                if len(part):
-                    ids.append(k)
-                    sizes.append(8 + len(part) * (8 + 8 + 8 + 8 + 4 + 4 + 1))
-                    blobs.append(_pack({f: c[part] for f, c in cols.items()}))
-            turn += 1
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64())], ["slice", "runs", "size"])
+            cols["more"] = cols.pop("last") - cols["start"]
+            out = Rows(slices)
+            order, head = _firsts(cols["h"], cols["r"], cols["rid"], cols["start"])
+            out.by_document(REPEAT, _repeats(cols, order, head), slices)
+            kept = order[head == np.arange(len(head))]
+            cols = {k: c[kept] for k, c in cols.items()}
+            h = cols["h"]
+            group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+            crowded = np.bincount(group)[group] > share
+            marks = np.flatnonzero(crowded & np.concatenate(([True], h[1:] != h[:-1])))
+            cols = {k: np.concatenate((c, c[marks])) for k, c in cols.items()}
+            cols["state"] = np.concatenate((crowded.astype(np.uint8), np.full(len(marks), 2, np.uint8)))
+            where = np.where(cols["state"] == 1, mix(cols["r"]), cols["h"]) % np.uint64(slices)
+            out.deal(RUN, cols, where.astype(np.int64))
+            return out.batch()
 
         for b in batches:
-            for oid, text in zip(b.column("oid").to_pylist(), b.column("text")):
+            for rid, text in zip(b.column("rid").to_pylist(), b.column("text")):
                 body = np.frombuffer(text.as_buffer(), dtype=np.uint8) if text.as_py() else np.zeros(0, np.uint8)
                 h, r, start, last, anchor = runs_of(body, span, prefix)
                 if len(h):
-                    held.append((h, r, np.full(len(h), oid, np.int64), start, last, anchor))
+                    held.append((h, r, np.full(len(h), rid, np.int64), start, last, anchor))
                     count += len(h)
                     if count >= FLUSH:
                         yield flush()
         if held:
             yield flush()
 
-    return dealt
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """Of a slice: repeated runs, open runs and the open runs of hot anchors."""
-    parts = [_unpack(b, s) for b, s in zip(table.column("runs").to_pylist(), table.column("size").to_pylist())]
-    cols = {k: np.concatenate([p[k] for p in parts]) for k in _FIELDS}
-    state = cols["hot"]
-    out = []
-
-    def emit(kind, pick):
-        if len(pick):
-            out.append(_result(kind, cols["doc"][pick], cols["start"][pick], cols["last"][pick], cols["anchor"][pick], cols["h"][pick]))
-
-    emit(REPEAT, np.flatnonzero(state == -1))
-    emit(OPEN_HOT, np.flatnonzero(state == 1))
-    marked = np.unique(cols["h"][state == 2])
-    rest = np.flatnonzero(state == 0)
-    order, first, again = _first_of(cols["h"][rest], cols["r"][rest], cols["doc"][rest], cols["start"][rest])
-    rest = rest[order]
-    emit(REPEAT, rest[again])
-    rest = rest[first]
-    if len(rest):
-        h = cols["h"][rest]
-        group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-        n = np.bincount(group)[group]
-        hot = (n > HOT) | np.isin(h, marked)
-        emit(OPEN_HOT, rest[hot])
-        emit(OPEN, rest[~hot & (n > 1)])
-    empty = _result(REPEAT, *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
-    return pa.Table.from_batches(out or [empty])
-
-
-# --- suffixes ------------------------------------------------------------------
-
-
-def extension(prefix: Prefix, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, sign: int = 1) -> np.ndarray:
-    """Length of the common extension of the places a and b, to the right or (sign -1) to the left, up to ``most``."""
+    return deal
+
+
+def _settle_runs(slices: int, contexts: int):
+    """Of a slice: repeated runs, and the runs of open and of crowded anchors, packed by document."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        number = table.column("slice")[0].as_py()
+        if number >= slices:  # settled already
+            return table.set_column(0, "slice", pa.array([number - slices] * table.num_rows, pa.int32()))
+        out = Rows(slices)
+        cols = _gathered(table, RUN)
+        pick = lambda some: {k: c[some] for k, c in cols.items()}
+        marked = np.unique(cols["h"][cols["state"] == 2])
+        out.by_document(CROWDED, pick(cols["state"] == 1))
+        cols = pick(cols["state"] == 0)
+        order, head = _firsts(cols["h"], cols["r"], cols["rid"], cols["start"])
+        out.by_document(REPEAT, _repeats(cols, order, head))
+        cols = pick(order[head == np.arange(len(head))])
+        h = cols["h"]
+        group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]) - 1
+        n = np.bincount(group, minlength=1)[group]
+        crowded = (n > contexts) | np.isin(h, marked)
+        out.by_document(CROWDED, pick(crowded))
+        out.by_document(OPEN, pick(~crowded & (n > 1)))
+        return out.table()
+
+    return settle
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("src", pa.int64()), ("at", pa.int64())])
+_PLACE = pa.struct([("h", pa.int64()), ("start", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64())])
+_FOUND = "rid long, spans array<struct<start:long,stop:long,src:long,at:long>>, open array<struct<h:long,start:long,last:long,anchor:long>>, crowded array<struct<h:long,start:long,last:long,anchor:long>>"
+
+
+def _by_document(span: int):
+    """A row per document of a slice: its repeated stretches, and its runs of open and of crowded anchors."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        repeats = _joined(*_gathered(table, REPEAT).values())
+        parts = [(repeats["rid"], [repeats["start"], repeats["start"] + repeats["more"] + span, repeats["src"], repeats["at"]], _SPAN)]
+        for kind in (OPEN, CROWDED):
+            c = _gathered(table, kind)
+            order = np.lexsort((c["start"], c["rid"]))
+            c = {k: x[order] for k, x in c.items()}
+            start = c["start"].astype(np.int64)
+            parts.append((c["rid"], [c["h"].view(np.int64), start, start + c["more"], c["anchor"].astype(np.int64)], _PLACE))
+        rids = np.unique(np.concatenate([p[0] for p in parts]))
+        columns = [pa.array(rids)]
+        for rid, fields, kind in parts:
+            at = np.searchsorted(rid, np.append(rids, 0))
+            at[-1] = len(rid)
+            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(f, pa.int64()) for f in fields], fields=list(kind))))
+        return pa.table(columns, names=["rid", "spans", "open", "crowded"])
+
+    return gather
+
+
+# --- suffixes --------------------------------------------------------------------
+
+
+def extension(prefix: Prefix, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common extension of the places a and b, up to ``most``."""
     lo, hi = np.zeros(len(a), np.int64), most.astype(np.int64)
     while True:  # a common extension of length lo is known; none of length hi + 1
         more = lo < hi
         if not more.any():
             return lo
         mid = (lo + hi + 1) // 2
-        if sign > 0:
-            same = prefix.stretch(table, a, a + mid) == prefix.stretch(table, b, b + mid)
-        else:
-            same = prefix.stretch(table, a - mid, a) == prefix.stretch(table, b - mid, b)
+        same = prefix.stretch(table, a, a + mid) == prefix.stretch(table, b, b + mid)
         lo = np.where(more & same, mid, lo)
         hi = np.where(more & ~same, mid - 1, hi)
 
@@ -339,142 +405,221 @@ def suffix_order(prefix: Prefix, table: np.ndarray, body: np.ndarray, group: np.
     return order
 
 
-def repeats_by_suffix(h, oid, start, anchor, contexts: list[bytes], span: int) -> list[tuple[int, int, int]]:
-    """(oid, start, end) of stretches covered by windows that an earlier context of the same anchor has.
+def repeats_by_suffix(h, rid, start, anchor, sizes, body: np.ndarray, span: int) -> dict[str, np.ndarray]:
+    """Repeats (compared byte by byte) among contexts: stretches covered by windows that an earlier context of the same anchor has.
 
-    ``contexts`` are the bytes from ``start`` to the end of the run's last window.
+    ``body`` holds the contexts one after the other, each from ``start`` to the
+    end of the run's last window; contexts stand in order of (h, rid, start).
     """
-    n = len(contexts)
+    n, gram = len(h), span // 2
+    nothing = np.zeros(0, np.int64)
     if n < 2:
-        return []
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    prefix = Prefix(2 * span, block=int(sizes.sum()) + 2)
-    order = np.lexsort((start, oid, h))
-    h, oid, start, anchor, sizes = h[order], oid[order], start[order], anchor[order], sizes[order]
-    body = np.frombuffer(b"".join(contexts[i] for i in order), dtype=np.uint8)
-    first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    table = prefix.table(body)
-    at, left, right = first + anchor, anchor.astype(np.int64), sizes - anchor
-    rank = suffix_order(prefix, table, body, h, at, right)
-    grow_left, grow_right = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    near = rank[:-1], rank[1:]
-    common = np.where(h[near[0]] == h[near[1]], extension(prefix, table, at[near[0]], at[near[1]], np.minimum(right[near[0]], right[near[1]])), -1)
-    reach = common.copy()
-    step = 1
-    while len(reach):
-        pick = np.flatnonzero(reach >= GRAM)
-        if not len(pick):
-            break
-        x, y = rank[pick], rank[pick + step]
-        ahead = extension(prefix, table, at[x], at[y], np.minimum(left[x], left[y]), -1)
-        whole = ahead + reach[pick] >= span
-        x, y, ahead, behind = x[whole], y[whole], ahead[whole], reach[pick][whole]
-        for i, j, p, q in zip(np.maximum(x, y), np.minimum(x, y), ahead, behind):  # contexts stand in order of (oid, start): the larger is later
-            if oid[i] == oid[j] and start[i] + anchor[i] == start[j] + anchor[j]:
-                continue
-            a, b = at[i], at[j]
-            if not np.array_equal(body[a - p : a + q], body[b - p : b + q]):
-                raise ArithmeticError("two strings of one hash differ")  # no silent loss; a retry with other bases would be needed
-            grow_left[i], grow_right[i] = max(grow_left[i], p), max(grow_right[i], q)
-        step += 1
-        if step > len(rank) - 1:
-            break
-        reach = np.minimum(reach[:-1], common[step - 1 :])
-    hit = np.flatnonzero(grow_right >= 0)
-    return [(int(oid[i]), int(start[i] + anchor[i] - grow_left[i]), int(start[i] + anchor[i] + grow_right[i])) for i in hit]
+        return _joined(*[nothing] * 5)
+    anchor, sizes = anchor.astype(np.int64), sizes.astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(sizes)))[:-1] + anchor
+    reach = {"right": sizes - anchor, "left": anchor}
+    prefix = Prefix(span, block=len(body) + 2)
+    order, common = {}, {}
+    for side, text, place in (("right", body, at), ("left", body[::-1].copy(), len(body) - at)):
+        table = prefix.table(text)
+        rank = order[side] = suffix_order(prefix, table, text, h, place, reach[side])
+        x, y = rank[:-1], rank[1:]
+        common[side] = np.where(h[x] == h[y], extension(prefix, table, place[x], place[y], np.minimum(reach[side][x], reach[side][y])), -1)
+
+    def classes(side: str, length: int) -> np.ndarray:
+        """Numbers that contexts of one anchor share if they agree in ``length`` bytes."""
+        out = np.empty(n, np.int64)
+        out[order[side]] = np.concatenate(([0], np.cumsum(common[side] < length)))
+        return out
 
+    least, most = np.full(n, span), np.full(n, -1)  # how far left of the anchor repeated windows begin
+    windows = np.lib.stride_tricks.sliding_window_view(body, span)
+    for p in range(span - gram + 1):
+        fit = np.flatnonzero((reach["left"] >= p) & (reach["right"] >= span - p))
+        if len(fit) < 2:
+            continue
+        key = classes("right", span - p)[fit] * n + classes("left", p)[fit]
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        theirs = fit[first[back]]  # contexts stand in order, so the first is the earliest
+        later = np.flatnonzero(theirs != fit)
+        for lo in range(0, len(later), 1 << 16):
+            i, j = fit[later[lo : lo + (1 << 16)]], theirs[later[lo : lo + (1 << 16)]]
+            if not (windows[at[i] - p] == windows[at[j] - p]).all():
+                return _by_bytes(h, rid, start, anchor, sizes, body, span)
+        i = fit[later]
+        least[i], most[i] = np.minimum(least[i], p), np.maximum(most[i], p)
+    hit = np.flatnonzero(most >= 0)
+    begin = start[hit].astype(np.int64) + anchor[hit] - most[hit]
+    return _joined(rid[hit], begin, most[hit] - least[hit], rid[hit], np.full(len(hit), COMPARED))
+
+
+def _by_bytes(h, rid, start, anchor, sizes, body: np.ndarray, span: int) -> dict[str, np.ndarray]:
+    """As ``repeats_by_suffix``, by the windows themselves: for contexts of which two different strings had one hash."""
+    seen: set[tuple] = set()
+    found = []
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(len(h)):
+        text = body[at[i] : at[i + 1]].tobytes()
+        own = []
+        for k in range(len(text) - span + 1):
+            key = (int(h[i]), int(anchor[i]) - k, text[k : k + span])
+            if key in seen:
+                own.append(k)
+            else:
+                seen.add(key)
+        if own:
+            found.append((i, own[0], own[-1]))
+    i, a, b = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    return _joined(rid[i], start[i].astype(np.int64) + a, b - a, rid[i], np.full(len(i), COMPARED))
+
+
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    at = column.offsets.to_numpy()
+    values = column.values
+    return at, [np.asarray(values.field(f)) for f in fields]
+
+
+def _deal_contexts(slices: int, span: int):
+    """From (rid, text, open, crowded): the bytes of open runs by anchor, and the hashes of crowded anchors' windows by window."""
+
+    def deal(batches):
+        prefix = Prefix(span)
+        contexts: list[tuple] = []
+        texts: list[bytes] = []
+        windows: list[tuple] = []
+        size = 0
 
-def _suffix_slice(span: int):
-    def sorted_out(table: pa.Table) -> pa.Table:
-        got = repeats_by_suffix(
-            table.column("h").to_numpy(), table.column("oid").to_numpy(), table.column("start").to_numpy(),
-            table.column("anchor").to_numpy().astype(np.int64), table.column("context").to_pylist(), span,
-        )
-        return pa.table({k: pa.array([x[i] for x in got], pa.int64()) for i, k in enumerate(("oid", "start", "stop"))})
+        def flush():
+            nonlocal contexts, texts, windows, size
+            out = Rows(slices)
+            if contexts:
+                cols = {k: np.concatenate(c) for k, c in zip(("h", "rid", "start", "anchor", "size"), zip(*contexts))}
+                order = np.lexsort((cols["start"], cols["rid"]))
+                for k, part in dealt((cols["h"][order] % np.uint64(slices)).astype(np.int64), slices):
+                    part = order[part]
+                    body = pa.compress(b"".join([texts[i] for i in part]), codec="zstd", asbytes=True)
+                    out.rows.append((k, CONTEXT, len(part), _pack(CONTEXT, cols, part), body))
+            if windows:
+                cols = {k: np.concatenate(c) for k, c in zip(("h", "r", "rid", "start"), zip(*windows))}
+                order, head = _firsts(*cols.values())
+                out.by_document(REPEAT, _repeats(cols, order, head), 2 * slices)
+                kept = order[head == np.arange(len(head))]
+                cols = {k: c[kept] for k, c in cols.items()}
+                out.deal(WINDOW, cols, (cols["h"] % np.uint64(slices)).astype(np.int64), slices)
+            contexts, texts, windows, size = [], [], [], 0
+            return out.batch()
+
+        def hashed(bodies: list[bytes], rids, starts):
+            """Both hashes of all windows of some stretches that together fit a block."""
+            sizes = np.array([len(x) for x in bodies])
+            first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            n = sizes - span + 1
+            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(first, n) + off
+            part = np.frombuffer(b"".join(bodies), np.uint8)
+            one, two = (prefix.stretch(prefix.table(part, k), at, at + span, k) for k in (0, 1))
+            windows.append((one, two, np.repeat(np.array(rids, np.int64), n), np.repeat(np.array(starts, np.int64), n) + off))
+            return len(at)
 
-    return sorted_out
+        for b in batches:
+            open_at, (h, start, last, anchor) = _lists(b.column("open"), "h", "start", "last", "anchor")
+            many_at, (_, from_, to, _) = _lists(b.column("crowded"), "h", "start", "last", "anchor")
+            waiting: tuple[list, list, list] = ([], [], [])
+            held = 0
+            for k, (rid, text) in enumerate(zip(b.column("rid").to_pylist(), b.column("text"))):
+                body = text.as_py()
+                lo, hi = open_at[k], open_at[k + 1]
+                if hi > lo:
+                    stop = last[lo:hi] + span
+                    texts += [body[i:j] for i, j in zip(start[lo:hi].tolist(), stop.tolist())]
+                    contexts.append((h[lo:hi].view(np.uint64), np.full(hi - lo, rid, np.int64), start[lo:hi], anchor[lo:hi], stop - start[lo:hi]))
+                    size += int((stop - start[lo:hi]).sum())
+                for i, j in zip(from_[many_at[k] : many_at[k + 1]].tolist(), to[many_at[k] : many_at[k + 1]].tolist()):
+                    if held + j + span - i > prefix.block:
+                        size += 40 * hashed(*waiting)
+                        waiting, held = ([], [], []), 0
+                    for x, y in zip(waiting, (body[i : j + span], rid, i)):
+                        x.append(y)
+                    held += j + span - i
+                if size > 48 << 20:
+                    yield flush()
+            if held:
+                size += 40 * hashed(*waiting)
+        if size:
+            yield flush()
 
+    return deal
 
-def _cut_contexts(span: int):
-    """From (oid, text, open runs): the bytes of the runs."""
 
-    def cut(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for oid, text, opened in zip(b.column("oid").to_pylist(), b.column("text"), b.column("open").to_pylist()):
-                body = text.as_py()
-                rows += [(o["h"], oid, o["start"], o["anchor"], body[o["start"] : o["last"] + span]) for o in opened]
-            kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["h", "oid", "start", "anchor", "context"])
+def _settle_contexts(slices: int, span: int):
+    """Of a slice of contexts or of windows: repeats, packed by document."""
 
-    return cut
+    def settle(table: pa.Table) -> pa.Table:
+        number = table.column("slice")[0].as_py()
+        if number >= 2 * slices:  # settled already
+            return table.set_column(0, "slice", pa.array([number - 2 * slices] * table.num_rows, pa.int32()))
+        out = Rows(slices)
+        if number >= slices:
+            cols = _gathered(table, WINDOW)
+            out.by_document(REPEAT, _repeats(cols, *_firsts(*cols.values())))
+            return out.table()
+        cols = _gathered(table, CONTEXT)
+        sizes = cols["size"].astype(np.int64)
+        bodies, at = [], 0
+        for n, x in zip(table.column("n").to_pylist(), table.column("bytes").to_pylist()):
+            bodies.append(pa.decompress(x, decompressed_size=int(sizes[at : at + n].sum()), codec="zstd", asbytes=True))
+            at += n
+        body = np.frombuffer(b"".join(bodies), np.uint8)
+        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        order = np.lexsort((cols["start"], cols["rid"], cols["h"]))
+        moved = np.repeat(first[order], sizes[order]) + np.arange(len(body)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])
+        cols = {k: c[order] for k, c in cols.items()}
+        out.by_document(REPEAT, repeats_by_suffix(cols["h"], cols["rid"], cols["start"], cols["anchor"], cols["size"], body[moved], span))
+        return out.table()
 
+    return settle
 
-def _cut_windows(span: int):
-    """From (oid, text, runs of hot anchors): each window's two hashes, once per task; later ones are settled as repeated stretches (``stop`` set)."""
 
-    def cut(batches):
-        prefix = Prefix(span)
-        held: list[tuple] = []
-        count = 0
+# --- documents -------------------------------------------------------------------
 
-        def flush():
-            nonlocal held, count
-            one, two, oid, start = (np.concatenate(c) for c in zip(*held))
-            held, count = [], 0
-            order, first, later = _first_of(one, two, oid, start)
-            again, keep = order[later], order[first]
-            again = again[np.lexsort((start[again], oid[again]))]
-            a, s = oid[again], start[again]
-            head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] > s[:-1] + 1))[: len(a)]))
-            tail = np.append(head[1:], len(a)) - 1 if len(head) else head
-            zero = np.zeros(len(head), np.int64)
-            cols = [np.concatenate(c) for c in ((one[keep].view(np.int64), zero), (two[keep].view(np.int64), zero), (oid[keep], a[head]), (start[keep], s[head]))]
-            stop = pa.array(np.concatenate((np.zeros(len(keep), np.int64), s[tail] + span)), mask=np.arange(len(keep) + len(head)) < len(keep))
-            return pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], stop], ["w1", "w2", "oid", "start", "stop"])
 
-        for b in batches:
-            for oid, text, opened in zip(b.column("oid").to_pylist(), b.column("text"), b.column("open").to_pylist()):
-                body = text.as_py()
-                for o in opened:
-                    part = np.frombuffer(body, np.uint8)[o["start"] : o["last"] + span]
-                    at = np.arange(len(part) - span + 1)
-                    held.append((*[prefix.stretch(prefix.table(part, k), at, at + span, k) for k in (0, 1)], np.full(len(at), oid, np.int64), at + o["start"]))
-                    count += len(at)
-                if count >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
 
-    return cut
+def _digests(batches):
+    """From (rid, text, asked): the digest of each stretch that is asked for."""
+    for b in batches:
+        at, (start, size) = _lists(b.column("asked"), "at", "size")
+        rows = []
+        for k, (rid, text) in enumerate(zip(b.column("rid").to_pylist(), b.column("text"))):
+            body = text.as_py()
+            rows += [(rid, i, n, _digest(body[i : i + n])) for i, n in zip(start[at[k] : at[k + 1]].tolist(), size[at[k] : at[k + 1]].tolist())]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["src", "at", "size", "digest"])
 
 
 def _keep(span: int):
-    """From (doc_id, text, removed stretches): what is left of each text."""
+    """From (doc_id, text, copy, removed stretches): what is left of each text."""
 
     def kept(batches):
         for b in batches:
             size, gone, spans, sha, rest = [], [], [], [], []
-            for text, cuts in zip(b.column("text"), b.column("cuts").to_pylist()):
+            for text, copy, cuts in zip(b.column("text"), b.column("copy").to_pylist(), b.column("cuts").to_pylist()):
                 body = text.as_py()
-                left, at, removed, n = [], 0, 0, 0
-                stop = -1
-                for c in sorted((c["start"], c["stop"]) for c in cuts or ()):
-                    if c[0] > stop:
-                        if stop >= 0:
-                            n += 1
-                        left.append(body[max(at, 0) : c[0]])
-                        stop = c[1]
-                        at = stop
-                    elif c[1] > stop:
-                        stop = at = c[1]
-                if stop >= 0:
-                    n += 1
-                left.append(body[at:])
+                left, n, stop = [], 0, -1
+                found = [(c["start"], c["stop"], c["digest"]) for c in cuts or ()] if copy == 1 else [(0, len(body), b"")] * (len(body) >= span)
+                for start, end, digest in sorted(found, key=lambda c: c[:2]):
+                    if digest != b"" and digest != _digest(body[start:end]):
+                        raise ArithmeticError("two different strings had one hash; the job stops rather than remove one of them")
+                    if start > stop:
+                        n += 1
+                        left.append(body[max(stop, 0) : start])
+                    stop = max(stop, end)
+                left.append(body[max(stop, 0) :])
                 whole = b"".join(left)
-                removed = len(body) - len(whole)
                 size.append(len(body))
-                gone.append(removed)
+                gone.append(len(body) - len(whole))
                 spans.append(n)
                 sha.append(hashlib.sha256(whole).hexdigest())
                 rest.append(whole)
@@ -486,45 +631,65 @@ def _keep(span: int):
     return kept
 
 
-def repeated_strings(df: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(oid, start, stop) of stretches of bytes covered by ``span``-byte strings that start earlier.
+def ordered_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rid, copy, text as bytes): ``rid`` orders rows by id (null first), those of one id by their text's digest.
 
-    Earlier: in a row of smaller id, or in the same row. A null id is the
-    smallest (oid is then the least long). Strings at one id and place, in rows
-    that repeat an id, count as the same string.
+    Rows of one id and text share a rid and are numbered by ``copy``. As long as
+    no id is there twice, it is its own rid; else the rows are numbered and written once.
     """
-    slices = partitions(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("oid"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
-    settled = written(
-        docs.mapInArrow(_deal(slices, span), "slice int, runs binary, size long").groupBy("slice").applyInArrow(_settle, _OUT)
-    )
-    repeats = settled.filter(F.col("kind") == REPEAT).select("oid", "start", (F.col("last") + span).alias("stop"))
-    found = [repeats]
-    opened = settled.filter(F.col("kind") > REPEAT).groupBy("oid").agg(
-        *[F.collect_list(F.when(F.col("kind") == k, F.struct("h", "start", "last", "anchor"))).alias(n) for k, n in ((OPEN, "open"), (OPEN_HOT, "hot"))]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
+    oid = F.coalesce("doc_id", F.lit(_FIRST))
+    if not docs.groupBy(oid.alias("oid")).count().filter("count > 1").limit(1).count():
+        return docs.select("doc_id", oid.alias("rid"), F.lit(1).alias("copy"), "text")
+    docs = docs.select("doc_id", oid.alias("oid"), F.sha2("text", 256).alias("sha"), "text")
+    keys = docs.select("oid", "sha").distinct().repartitionByRange(slices_of(df), "oid", "sha").sortWithinPartitions("oid", "sha")
+    keys = written(keys.withColumn("rid", F.monotonically_increasing_id()))
+    copies = F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(1)))
+    return written(docs.join(keys, ["oid", "sha"]).select("doc_id", "rid", copies.alias("copy"), "text"))
+
+
+def repeated_strings(docs: DataFrame, span: int = 100, contexts: int = CONTEXTS) -> DataFrame:
+    """(rid, cuts) of docs(rid, text): stretches (start, stop, digest) of bytes covered by ``span``-byte strings that start earlier.
+
+    Earlier: in a row of smaller rid, or in the same row. ``digest`` is that of the
+    first occurrence, empty for stretches compared byte by byte already.
+    """
+    slices = slices_of(docs)
+    tasks = max(1, docs.rdd.getNumPartitions())
+    runs = docs.mapInArrow(_deal_runs(slices, span, max(1, ANCHOR_ENTRIES // tasks)), _PACKED)
+    by_document = lambda packed: written(packed.groupBy("slice").applyInArrow(_by_document(span), _FOUND))
+    first = by_document(runs.groupBy("slice").applyInArrow(_settle_runs(slices, contexts), _PACKED))
+    unsettled = first.filter(F.size("open") + F.size("crowded") > 0).select("rid", "open", "crowded")
+    around = restrict(docs, unsettled.select("rid"), "rid").join(unsettled, "rid").select("rid", "text", "open", "crowded")
+    again = around.mapInArrow(_deal_contexts(slices, span), _PACKED).groupBy("slice").applyInArrow(_settle_contexts(slices, span), _PACKED)
+    second = by_document(again)
+    found = first.select("rid", F.explode("spans").alias("s")).unionByName(second.select("rid", F.explode("spans").alias("s"))).select(
+        "rid", "s.start", "s.stop", "s.src", "s.at", (F.col("s.stop") - F.col("s.start")).alias("size"))
+    asked = written(found.filter(F.col("at") != int(COMPARED)).select("src", "at", "size").distinct())
+    parts = asked.groupBy("src").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+    asked_of = (
+        asked.join(parts, "src").groupBy(F.col("src").alias("rid"), F.pmod(F.xxhash64("at", "size"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("at", "size")).alias("asked"))
     )
-    around = docs.join(opened, "oid")
-    contexts = around.filter(F.size("open") > 0).select("oid", "text", "open").mapInArrow(_cut_contexts(span), "h long, oid long, start long, anchor int, context binary")
-    by_suffix = contexts.withColumn("slice", F.pmod(F.col("h"), F.lit(slices))).groupBy("slice").applyInArrow(_suffix_slice(span), "oid long, start long, stop long")
-    found.append(by_suffix)
-    windows = written(around.filter(F.size("hot") > 0).select("oid", "text", F.col("hot").alias("open")).mapInArrow(_cut_windows(span), "w1 long, w2 long, oid long, start long, stop long"))
-    found.append(windows.filter("stop is not null").select("oid", "start", "stop"))
-    single = windows.filter("stop is null").drop("stop")
-    firsts = written(single.groupBy("w1", "w2").agg(F.min(F.struct("oid", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    later = single.join(firsts, ["w1", "w2"]).filter(F.struct("oid", "start") > F.col("least")).select("oid", "start", (F.col("start") + span).alias("stop"))
-    found.append(later)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return written(out)
-
-
-def remove_repeats(df: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sources = restrict(docs, parts.select(F.col("src").alias("rid")), "rid")
+    digests = written(sources.join(asked_of, "rid").select("rid", "text", "asked").mapInArrow(_digests, "src long, at long, size long, digest binary"))
+    known = found.join(digests, ["src", "at", "size"], "left")
+    digest = F.when(F.col("at") == int(COMPARED), F.lit(b"")).otherwise(F.col("digest"))
+    cuts = written(known.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", digest.alias("digest"))).alias("cuts")))
+    drop(first, second, asked, digests)
+    return cuts
+
+
+def remove_repeats(df: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
-    A null or empty text, or one shorter than ``span``, loses nothing.
+    Each row is a document of its own. Rows stand in order of id, a null id
+    first; rows of one id in order of their text's SHA-256; of rows with one id
+    and text the first stays and the others lose all bytes that a string covers. A null or
+    empty text, or one shorter than ``span``, loses nothing. An empty table gives
+    no rows. Other columns are not read. Memory follows the longest text.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
-    cuts = repeated_strings(df, span, id_col, text_col).groupBy("oid").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    both = docs.join(cuts, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("oid"), "left").select("doc_id", "text", "cuts")
+    docs = ordered_rows(df, id_col, text_col)
+    cuts = repeated_strings(docs.filter("copy = 1").select("rid", "text"), span, contexts)
+    both = docs.join(cuts, "rid", "left").select("doc_id", "text", "copy", "cuts")
     return both.mapInArrow(_keep(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

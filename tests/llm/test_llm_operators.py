@@ -283,40 +283,63 @@ def test_filter_never_underestimates():
     assert (bloom.levels(other, np.frombuffer(field, np.uint8), start, bits, 40) > 0).mean() < 0.12
 
 
-def test_repeated_strings(docs, rows, nothing):
-    by_id = {(-(1 << 63) if r[0] is None else r[0]): (r[1] or "").encode() for r in rows}
-    seen, want = set(), {}
-    for i in sorted(by_id):
-        b = by_id[i]
+def brute_repeats(rows):
+    """What is left of each row (in order of id, then of the text's digest) without bytes of 100-byte strings that start earlier."""
+    seen, want = set(), []
+    for i, _, b in sorted((-(1 << 63) if r[0] is None else r[0], hashlib.sha256((r[1] or "").encode()).hexdigest(), (r[1] or "").encode()) for r in rows):
         cover = np.zeros(len(b), bool)
         for p in range(len(b) - 99):
             if b[p : p + 100] in seen:
                 cover[p : p + 100] = True
             seen.add(b[p : p + 100])
-        want[i] = (len(b), int(cover.sum()), int((np.diff(np.concatenate(([0], cover.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest())
-    got = suffixes.remove_repeats(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        key = -(1 << 63) if r.doc_id is None else r.doc_id
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[key], r.doc_id
+        spans = int((np.diff(np.concatenate(([0], cover.astype(int)))) == 1).sum())
+        want.append((i, len(b), int(cover.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cover])).hexdigest()))
+    return sorted(want)
+
+
+def removed(df, **how):
+    return sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, **how).collect())
+
+
+def test_repeated_strings(docs, rows, nothing, spark):
+    assert removed(docs) == brute_repeats(rows)  # with a repeated row: ids are numbered
+    once = [r for i, r in enumerate(rows) if r not in rows[:i]]
+    assert removed(spark.createDataFrame(once, SCHEMA).repartition(3)) == brute_repeats(once)
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
-def test_hot_passage(spark, monkeypatch):
-    """A passage in many documents: its edges have more contexts than the suffix sort takes."""
+def test_repeated_strings_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p, a, b = some(250), some(300), some(350)
+    rows = [(1, p + some(50)), (2, some(40) + p + a), (2, b), (2, b), (None, b), (None, a + p), (None, a + p), (None, None), (None, ""), (3, some(30) + b)]
+    got = removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("contexts, entries", [(4096, 1_000_000), (20, 1_000_000), (4096, 40)])
+def test_hot_passage(spark, monkeypatch, contexts, entries):
+    """A passage in many documents: its edges have more contexts than a suffix sort takes, or more runs than a task sends to one slice."""
+    monkeypatch.setattr(suffixes, "ANCHOR_ENTRIES", entries)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(40))
-    texts = [" ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))]) for _ in range(150)]
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        cover = np.zeros(len(t), bool)
-        for p in range(len(t) - 99):
-            cover[p : p + 100] |= t[p : p + 100] in seen
-            seen.add(t[p : p + 100])
-        want[i] = int(cover.sum())
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.n_removed for r in suffixes.remove_repeats(df).collect()} == want
+    rows = [(i, " ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))])) for i in range(150)]
+    rows += [(200 + i, passage[: 120 + i] + word() * 3) for i in range(40)]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), contexts=contexts) == brute_repeats(rows)
+
+
+def test_contexts_whose_hashes_collide_are_compared_by_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    gram = rng.integers(97, 123, 50).astype(np.uint8)
+    bodies = [np.concatenate((rng.integers(97, 99, 3), gram, rng.integers(97, 99, 50))).astype(np.uint8) for _ in range(60)]
+    bodies += bodies[:20]
+    n = len(bodies)
+    args = (np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.int64), np.full(n, 3), np.array([len(x) for x in bodies]), np.concatenate(bodies), 100)
+    want = {k: v.tolist() for k, v in suffixes.repeats_by_suffix(*args).items()}
+    assert {k: v.tolist() for k, v in suffixes._by_bytes(*args).items()} == want and len(want["rid"]) >= 20
+    monkeypatch.setattr(suffixes.Prefix, "stretch", lambda self, table, start, end, which=0: np.asarray(end) - np.asarray(start))  # all strings of a length collide
+    assert {k: v.tolist() for k, v in suffixes.repeats_by_suffix(*args).items()} == want
 
 
 def test_suffix_order_is_lexicographic():
