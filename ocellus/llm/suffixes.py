@@ -41,7 +41,7 @@ from ocellus.llm.linking import restrict
 
 #: Contexts of one anchor that a suffix sort takes; more are dealt by window.
 CONTEXTS = 4096
-FLUSH = 1_500_000  # runs that a task holds before it deals them out
+FLUSH = 600_000  # runs that a task holds before it deals them out
 #: Entries of one anchor that may meet in a slice: a task with more than its share of them deals them by run.
 ANCHOR_ENTRIES = 1_000_000
 #: First occurrences of one document whose digests are asked for in one row.
