@@ -59,11 +59,11 @@ class Prefix:
     bytes), so the tables of powers stay small for texts of any length.
     """
 
-    def __init__(self, reach: int, block: int = 1 << 16):
+    def __init__(self, reach: int, block: int = 1 << 16, bases: int = 2):
         self.reach, self.block = reach, block
         n = block + reach + 1
-        self.pow = [_powers(n, b) for b in _BASES]
-        self.inv = [_powers(n, np.uint64(pow(int(b), -1, 1 << 64))) for b in _BASES]
+        self.pow = [_powers(n, b) for b in _BASES[:bases]]
+        self.inv = [_powers(n, np.uint64(pow(int(b), -1, 1 << 64))) for b in _BASES[:bases]]
 
     def table(self, body: np.ndarray, which: int = 0) -> np.ndarray:
         out = np.zeros(len(body) + 1, dtype=np.uint64)
@@ -418,7 +418,7 @@ def repeats_by_suffix(h, rid, start, anchor, sizes, body: np.ndarray, span: int)
     anchor, sizes = anchor.astype(np.int64), sizes.astype(np.int64)
     at = np.concatenate(([0], np.cumsum(sizes)))[:-1] + anchor
     reach = {"right": sizes - anchor, "left": anchor}
-    prefix = Prefix(span, block=len(body) + 2)
+    prefix = Prefix(span, len(body) + 2, bases=1)
     order, common = {}, {}
     for side, text, place in (("right", body, at), ("left", body[::-1].copy(), len(body) - at)):
         table = prefix.table(text)
