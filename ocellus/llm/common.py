@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,6 +60,8 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.scratch_path)
         if t.scratch_path in _MADE:
             _MADE.remove(t.scratch_path)
+    if tables:  # shuffle files of finished plans go when the driver collects what refers to them
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def drop_all(spark: SparkSession) -> None:
@@ -108,6 +110,28 @@ def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def ordered_rows(df: DataFrame, null_id: int, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> tuple[DataFrame, bool]:
+    """(doc_id, rid, copy, text, row): a number for each row that keeps the order of ids, and whether it had to be made.
+
+    As long as no id is there twice, it is its own ``rid`` (``null_id`` for null).
+    Else rows are numbered by id, those of one id by their text's SHA-256, and
+    written once; rows of one id and text share a rid and are told apart by
+    ``copy``, 1 for the first. ``row`` holds all columns with ``carry``.
+    """
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("oid"), text_or_empty(text_col).alias("text"),
+        *[F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * carry,
+    )
+    rest = ["text", *["row"] * carry]
+    if not docs.groupBy("oid").count().filter("count > 1").limit(1).count():
+        return docs.select("doc_id", F.col("oid").alias("rid"), F.lit(1).alias("copy"), *rest), False
+    docs = docs.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256))
+    keys = docs.select("oid", "sha").distinct().repartitionByRange(slices_of(df), "oid", "sha").sortWithinPartitions("oid", "sha")
+    keys = written(keys.withColumn("rid", F.monotonically_increasing_id()))
+    copies = F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(1)))
+    return written(docs.join(keys, ["oid", "sha"]).select("doc_id", "rid", copies.alias("copy"), *rest)), True
+
+
 # --- hashing -----------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

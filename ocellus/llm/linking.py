@@ -3,15 +3,14 @@
 A caller gives every set a list of keys such that two sets that link share a
 key. The sets under one key form a list; no list is ever expanded into pairs:
 
-0. keys that only one set has are dropped: tasks deal out their distinct keys in
-   packed slices, so this costs 8 bytes a key;
-1. each set of a list is verified against the list's hub (its smallest id), one
-   row per member; pairs whose bucket counts differ by more than linked sets can
-   are dropped before any set is read;
-2. the verified links give components; a list within one component is settled;
-3. in the other lists the members outside the list's largest component are
-   verified against all members, in blocks of bounded size; a block returns a
-   spanning forest of its links.
+1. each set of a list is verified against the list's hub, one row per member;
+   pairs whose bucket counts differ by more than linked sets can are dropped
+   before any set is read;
+2. the verified links give components; a list within one component is settled.
+   The others get another hub, a few times;
+3. in the lists that are still open the members outside the list's largest
+   component are verified against all members, in blocks of bounded size; a block
+   returns a spanning forest of its links.
 
 Any link joins two members of a list. If both lie in the largest component they
 are connected already, else step 3 verifies the pair; so no connection is lost.
@@ -26,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import drop, partitions, written
+from ocellus.llm.common import drop, slices_of, written
 
 #: Ids up to this many are broadcast (16 MB at most); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 PROBE, BUILD = 128, 1024
+#: Hubs that a list gets before its members are compared in blocks.
+ROUNDS = 4
+#: In place of a null id, after all others.
+NO_ID = (1 << 63) - 1
 FLUSH = 4_000_000  # keys that a task holds before it deals them out
 
 
@@ -110,7 +113,7 @@ def _close_pairs(num: int, den: int):
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """(key) of the keys that two or more of rows(keys) have."""
-    slices = partitions(rows.sparkSession)
+    slices = slices_of(rows)
 
     def deal(batches):
         held: list[np.ndarray] = []
@@ -218,66 +221,105 @@ def _block_links(num: int, den: int):
     return linked
 
 
-def link_classes(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(id, n, rep, component, links) per row of ``rows(id, n, sig1, sig2, sketch, keys)``, linking sets of Jaccard >= num / den.
+def by_row(docs: DataFrame, numbered: bool, linked: DataFrame) -> DataFrame:
+    """(doc_id, n, component_id, class_id) per row of docs(doc_id, rid), made by ``ordered_rows`` with NO_ID for null, from linked(id, n, rep, component)."""
+    if not numbered:
+        name = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+        return linked.select(name("id").alias("doc_id"), "n", name("component").alias("component_id"), name("rep").alias("class_id"))
+    ids = docs.filter("copy = 1").select("rid", "doc_id")
+    named = lambda t, c, to: t.join(ids.select(F.col("rid").alias(c), F.col("doc_id").alias(to)), c)
+    linked = named(named(linked, "component", "component_id"), "rep", "class_id")
+    return docs.select("doc_id", F.col("rid").alias("id")).join(linked, "id").select("doc_id", "n", "component_id", "class_id")
+
+
+def link_classes(rows: DataFrame, posts_of: Callable[[DataFrame, DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(id, n, rep, component) per row of ``rows(id, n, sig1, sig2, sketch, ...)`` with distinct ids, linking sets of Jaccard >= num / den.
 
     Equal sets (equal n, sig1, sig2) form a class; only its smallest id, ``rep``,
-    is compared. ``sets_of(ids)`` gives (id, elements) of representatives.
-    ``component`` is the smallest id reachable; sets without elements stay alone.
+    is compared. ``posts_of(reps, ids)`` gives written postings (id, key, alone),
+    ``sets_of(ids)`` gives (id, elements) of representatives. ``component`` is the
+    smallest id reachable; sets without elements stay alone.
     """
     classes = written(rows.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep")))
-    copies = written(rows.filter("n > 0").select("id").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_anti").distinct())
-    reps = exclude(rows.filter("n > 0"), copies)
-    common = shared_keys(reps)
-    posts = written(restrict(reps.select("id", F.explode(F.array_distinct("keys")).alias("key")), common, "key"))
-    lists = written(posts.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
-    members = written(posts.join(lists, "key"))
+    ids = classes.select(F.col("rep").alias("id"))
+    reps = restrict(rows.filter("n > 0"), ids)
+    posts = posts_of(reps, ids)
+    # lists with the same members ask the same question: one of them is enough
+    lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    asked = written(lists.filter("size > 1").groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key"))
+    members = written(posts.join(asked, "key"))
+    drop(posts, asked)
     involved = written(members.select("id").distinct())
     marks = written(restrict(reps.select("id", "n", "sketch"), involved))
-    theirs = marks.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    pairs = members.filter("id <> hub").select("id", "hub").distinct().join(marks, "id").join(theirs, "hub")
-    size = den * F.least("n", "m") >= num * F.greatest("n", "m")
-    stars = written(pairs.filter(size).select("id", "hub", "n", "m", "sketch", "other").mapInArrow(_close_pairs(num, den), "id long, hub long"))
     sets = written(sets_of(involved))
-    hubs = sets.select(F.col("id").alias("hub"), F.col("elements").alias("theirs"))
-    tried = stars.join(sets, "id").join(hubs, "hub")
+    solved, waiting = _stars(members, marks, sets, num, den)
+    if waiting is not None:
+        solved = _merge(solved, _blocks(waiting, marks, sets, num, den))
+    known = written(classes.join(solved, classes.rep == solved.id, "left").select("n", "sig1", "sig2", "rep", F.coalesce("component", "rep").alias("component")))
+    drop(members, involved, marks, sets, classes)
+    return rows.select("id", "n", "sig1", "sig2").join(known, ["n", "sig1", "sig2"], "left").select(
+        "id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("component", "id").alias("component")
+    )
+
+
+def _stars(members: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """Components of the links between the members and the hub of each list, round by round, and the lists that are still open.
+
+    The hub is the member with the smallest share of elements of its own: of a
+    text and its edited copies that is the text itself. Later rounds take a hub
+    outside the list's largest component.
+    """
+    least = F.min(F.struct("alone", "id"))["id"]
+    placed = members.withColumn("component", F.col("id"))
+    hubs = placed.groupBy("key").agg(least.alias("hub"))
+    solved = None
+    theirs = marks.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    faraway = sets.select(F.col("id").alias("hub"), F.col("elements").alias("theirs"))
     both = F.size(F.array_intersect("elements", "theirs"))
     union = F.size("elements") + F.size("theirs") - both
-    links = written(tried.filter(den * both >= num * union).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    first = components(links)
-    # lists of three or more sets in more than one component are not settled yet
-    placed = members.filter("size > 2").select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_lists = (
-        shares.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-    )
-    # lists with the same members ask the same question: one of them is enough
-    same = placed.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    open_lists = written(open_lists.join(same, "key").groupBy("x", "y", "size").agg(F.min(F.struct("key", "largest")).alias("k")).select("k.key", "k.largest", "size"))
-    waiting = placed.join(open_lists, "key")
+    for _ in range(ROUNDS):
+        centre = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("centre"))
+        pairs = placed.join(hubs, "key").join(centre, ["key", "hub"]).filter("component <> centre").select("id", "hub").distinct()
+        size = den * F.least("n", "m") >= num * F.greatest("n", "m")
+        tried = pairs.join(marks, "id").join(theirs, "hub").filter(size).select("id", "hub", "n", "m", "sketch", "other")
+        stars = written(tried.mapInArrow(_close_pairs(num, den), "id long, hub long"))
+        links = written(stars.join(sets, "id").join(faraway, "hub").filter(den * both >= num * union).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        if solved is None:
+            solved = components(links)
+        else:
+            at = lambda t, c: t.join(solved.select(F.col("id").alias(c), "component"), c, "left").select(
+                *[x for x in t.columns if x != c], F.coalesce("component", c).alias(c))
+            solved = _merge(solved, written(at(at(links, "a"), "b").select("a", "b").filter("a <> b").distinct()))
+        drop(stars, links)
+        # lists in more than one component, without the component that most members have in common, are open
+        placed = members.join(solved, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("alone", "id")).alias("first"))
+        largest = F.max(F.struct("n", "component"))["component"]
+        opened = shares.groupBy("key").agg(largest.alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1 and size > 2").select("key", "largest", "size")
+        placed = written(placed.join(opened, "key"))
+        if not placed.limit(1).count():
+            drop(placed)
+            return solved, None
+        hubs = placed.filter("component <> largest").groupBy("key").agg(least.alias("hub"))
+    return solved, placed
+
+
+def _blocks(waiting: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of the open lists ``waiting(key, id, component, largest, size)``, by blocks of bounded size."""
     spread = lambda n, width, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.ceil(n / width)).cast("long")
-    waiting = written(waiting.withColumns({"build": spread(F.col("size"), BUILD, 1), "probe_block": spread(F.col("size"), PROBE, 2), "asks": F.col("component") != F.col("largest")}))
-    asking = waiting.filter("asks").select("key", "probe_block", "id", "component")
+    blocked = written(waiting.withColumns({"build": spread(F.col("size"), BUILD, 1), "probe_block": spread(F.col("size"), PROBE, 2), "asks": F.col("component") != F.col("largest")}))
+    asking = blocked.filter("asks").select("key", "probe_block", "id", "component")
     blocks = asking.select("key", "probe_block").distinct()
-    builds = waiting.select("key", "build").distinct()
+    builds = blocked.select("key", "build").distinct()
     sides = asking.join(builds, "key").select("key", "probe_block", "build", "id", "component", F.lit(True).alias("probe")).unionByName(
-        waiting.drop("probe_block").join(blocks, "key").select("key", "probe_block", "build", "id", "component", F.lit(False).alias("probe"))
+        blocked.drop("probe_block").join(blocks, "key").select("key", "probe_block", "build", "id", "component", F.lit(False).alias("probe"))
     )
     # sketches first: only sets with a partner that may link are read
     blocks = ["key", "probe_block", "build"]
     maybe = written(sides.join(marks, "id").groupBy(*blocks).applyInArrow(_block_survivors(num, den), "key long, probe_block long, build long, id long, component long, probe boolean"))
     later = written(maybe.join(sets, "id").groupBy(*blocks).applyInArrow(_block_links(num, den), "a long, b long").distinct())
-    merged = _merge(first, later)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    known = classes.join(merged, classes.rep == merged.id, "left").select(
-        "n", "sig1", "sig2", "rep", F.coalesce("component", "rep").alias("component")
-    ).join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    known = written(known)
-    drop(copies, common, posts, marks, lists, members, stars, involved, sets, links, first, open_lists, waiting, maybe, later, classes)
-    return rows.select("id", "n", "sig1", "sig2").join(known, ["n", "sig1", "sig2"], "left").select(
-        "id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
-    )
+    drop(waiting, blocked, maybe)
+    return later
 
 
 def _merge(first: DataFrame, later: DataFrame) -> DataFrame:

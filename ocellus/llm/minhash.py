@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import batch_shingles, chunks, mix, partitions, text_or_empty, word_hashes, written
-from ocellus.llm.linking import link_classes, restrict
+from ocellus.llm.common import batch_shingles, chunks, mix, ordered_rows, partitions, text_or_empty, word_hashes, written
+from ocellus.llm.linking import NO_ID, by_row, link_classes, restrict, shared_keys
 from ocellus.llm.ngram_join import element_sets, signatures
 
 _FIRST = -(1 << 63)
@@ -155,9 +155,15 @@ def near_duplicates(df: DataFrame, width: int = 5, num: int = 8, den: int = 10,
 
     Sets that share a band are candidates; their Jaccard similarity is verified on
     the whole sets. 16 bands of 4 rows find a pair of similarity 0.8 with
-    probability 0.9998.
+    probability 0.9998. Each row is a document of its own; a null id comes after all others.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    marks = written(signatures(docs, width, lambda: Bands(bands, rows)))
-    linked = link_classes(marks, lambda ids: element_sets(restrict(docs, ids), width), num, den)
-    return linked.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
+    rowed, numbered = ordered_rows(df, NO_ID, id_col, text_col)
+    docs = rowed.filter("copy = 1").select(F.col("rid").alias("id"), "text")
+    marks = written(signatures(docs, width, lambda: Bands(bands, rows).keys))
+
+    def posts(reps, ids):
+        keyed = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"), F.lit(0.0).alias("alone"))
+        return written(restrict(keyed, shared_keys(reps), "key"))
+
+    linked = link_classes(marks, posts, lambda ids: element_sets(restrict(docs, ids), width), num, den)
+    return by_row(rowed, numbered, linked).select("doc_id", "class_id", "component_id")

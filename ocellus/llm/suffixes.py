@@ -33,10 +33,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _powers, dealt, drop, mix, slices_of, unzipped, written, zipped
+from ocellus.llm.common import _powers, dealt, drop, mix, ordered_rows, slices_of, unzipped, written, zipped
 from ocellus.llm.linking import restrict
 
 #: Contexts of one anchor that a suffix sort takes; more are dealt by window.
@@ -631,23 +631,6 @@ def _keep(span: int):
     return kept
 
 
-def ordered_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rid, copy, text as bytes): ``rid`` orders rows by id (null first), those of one id by their text's digest.
-
-    Rows of one id and text share a rid and are numbered by ``copy``. As long as
-    no id is there twice, it is its own rid; else the rows are numbered and written once.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
-    oid = F.coalesce("doc_id", F.lit(_FIRST))
-    if not docs.groupBy(oid.alias("oid")).count().filter("count > 1").limit(1).count():
-        return docs.select("doc_id", oid.alias("rid"), F.lit(1).alias("copy"), "text")
-    docs = docs.select("doc_id", oid.alias("oid"), F.sha2("text", 256).alias("sha"), "text")
-    keys = docs.select("oid", "sha").distinct().repartitionByRange(slices_of(df), "oid", "sha").sortWithinPartitions("oid", "sha")
-    keys = written(keys.withColumn("rid", F.monotonically_increasing_id()))
-    copies = F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(1)))
-    return written(docs.join(keys, ["oid", "sha"]).select("doc_id", "rid", copies.alias("copy"), "text"))
-
-
 def repeated_strings(docs: DataFrame, span: int = 100, contexts: int = CONTEXTS) -> DataFrame:
     """(rid, cuts) of docs(rid, text): stretches (start, stop, digest) of bytes covered by ``span``-byte strings that start earlier.
 
@@ -689,7 +672,8 @@ def remove_repeats(df: DataFrame, span: int = 100, id_col: str = "doc_id", text_
     empty text, or one shorter than ``span``, loses nothing. An empty table gives
     no rows. Other columns are not read. Memory follows the longest text.
     """
-    docs = ordered_rows(df, id_col, text_col)
+    docs, _ = ordered_rows(df, _FIRST, id_col, text_col)
+    docs = docs.withColumn("text", F.encode("text", "UTF-8"))
     cuts = repeated_strings(docs.filter("copy = 1").select("rid", "text"), span, contexts)
     both = docs.join(cuts, "rid", "left").select("doc_id", "text", "copy", "cuts")
     return both.mapInArrow(_keep(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
