@@ -29,7 +29,7 @@ from ocellus.llm.common import drop, slices_of, written
 
 #: Ids up to this many are broadcast (16 MB at most); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-PROBE, BUILD = 128, 1024
+PROBE, BUILD = 1024, 4096
 #: Hubs that a list gets before its members are compared in blocks.
 ROUNDS = 4
 #: In place of a null id, after all others.
@@ -75,12 +75,12 @@ def exclude(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Counts of elements by bucket of their low bits, about four to a bucket.
+    """Counts of elements by bucket of their low bits, about four to a bucket, in 4096 buckets at most.
 
     The counts of two sets (after folding to the same number of buckets) differ in
     all by no more than the sets do; counts are cut off at 32767.
     """
-    buckets = 1 << min(16, max(4, (len(elements) // 4).bit_length()))
+    buckets = 1 << min(12, max(4, (len(elements) // 4).bit_length()))
     return np.minimum(np.bincount((elements & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 32767).astype(np.int16)
 
 
@@ -295,7 +295,10 @@ def _stars(members: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den:
         placed = members.join(solved, "id", "left").withColumn("component", F.coalesce("component", "id"))
         shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("alone", "id")).alias("first"))
         largest = F.max(F.struct("n", "component"))["component"]
-        opened = shares.groupBy("key").agg(largest.alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1 and size > 2").select("key", "largest", "size")
+        opened = (
+            shares.groupBy("key").agg(largest.alias("largest"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("parts"))
+            .filter("parts > 1 and size > 2").select("key", "largest", "size", (F.col("size") - F.col("most")).alias("outside"))
+        )
         placed = written(placed.join(opened, "key"))
         if not placed.limit(1).count():
             drop(placed)
@@ -305,9 +308,9 @@ def _stars(members: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den:
 
 
 def _blocks(waiting: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components of the open lists ``waiting(key, id, component, largest, size)``, by blocks of bounded size."""
+    """Links (a, b) between components of the open lists ``waiting(key, id, component, largest, size, outside)``, by blocks of bounded size."""
     spread = lambda n, width, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.ceil(n / width)).cast("long")
-    blocked = written(waiting.withColumns({"build": spread(F.col("size"), BUILD, 1), "probe_block": spread(F.col("size"), PROBE, 2), "asks": F.col("component") != F.col("largest")}))
+    blocked = written(waiting.withColumns({"build": spread(F.col("size"), BUILD, 1), "probe_block": spread(F.col("outside"), PROBE, 2), "asks": F.col("component") != F.col("largest")}))
     asking = blocked.filter("asks").select("key", "probe_block", "id", "component")
     blocks = asking.select("key", "probe_block").distinct()
     builds = blocked.select("key", "build").distinct()
