@@ -66,19 +66,21 @@ def token_encoder(ranks_file: str, pattern: str, special_id: int, cache_size: in
 
 
 class SumOfSquares:
-    """Open windows by fill level; each item goes where the sum of squared level counts becomes least.
+    """Open windows by fill level; each piece goes where the sum of squared level counts becomes least.
 
     ``counts[h]`` is the number of open windows filled to h. Filling a window up
-    costs nothing; among equal choices the fullest window wins. If more than
-    ``max_open`` windows are open, and at the end, their pieces are cut anew into
-    full windows, so that memory stays bounded and no window is left half empty.
+    costs nothing; among equal choices the fullest window wins. With ``max_open``
+    windows open no further one is begun: the piece is cut to fill an open window,
+    chosen by the same sum, and its rest is placed again. So memory is bounded and
+    the level array decides every placement. Windows that are open at the end are
+    cut, in their order, into sequences of powers of two, which need no padding.
     """
 
-    def __init__(self, size: int, first_window: int, max_open: int = 2048):
+    def __init__(self, size: int, first_window: int, max_open: int = 128):
         self.size, self.next, self.max_open = size, first_window, max_open
         self.counts = np.zeros(size + 1, dtype=np.int64)
-        self.levels: list[list[int]] = [[] for _ in range(size + 1)]
-        self.open: dict[int, list[tuple]] = {}
+        self.levels: list[list[list[tuple]]] = [[] for _ in range(size + 1)]  # the open windows of each level
+        self.n_open = 0
         self.done: list[tuple] = []  # (doc, start, ids, doc_tokens, window, offset)
 
     def close(self, pieces: list[tuple]) -> None:
@@ -93,10 +95,11 @@ class SumOfSquares:
         full = total // size
         for i in range(full):
             self.close([(doc, i * size, ids[4 * i * size : 4 * (i + 1) * size], total)])
-        rest = total - full * size
-        if not rest:
-            return
-        piece = (doc, full * size, ids[4 * full * size :], total)
+        if total > full * size:
+            self.place(doc, full * size, ids[4 * full * size :], total)
+
+    def place(self, doc, start: int, ids: bytes, total: int) -> None:
+        size, rest = self.size, len(ids) // 4
         # change of the sum of squares: leaving level h gives 1 - 2 counts[h], reaching h + rest gives 1 + 2 counts[h + rest]
         top = size - rest
         change = np.empty(top + 1, dtype=np.int64)
@@ -105,53 +108,65 @@ class SumOfSquares:
         change[:top] += 1 + 2 * self.counts[rest:size]
         change[1:][self.counts[1 : top + 1] == 0] = np.iinfo(np.int64).max
         level = top - int(np.argmin(change[::-1]))
-        if level:
-            window = self.levels[level].pop()
-            self.counts[level] -= 1
-        else:
-            window = len(self.open)
-            while window in self.open:
-                window += 1
-            self.open[window] = []
-        self.open[window].append(piece)
-        if level + rest == size:
-            self.close(self.open.pop(window))
+        if level or self.n_open < self.max_open:
+            window = self._taken(level) if level else []
+            window.append((doc, start, ids, total))
+            self._put(window, level + rest)
+            return
+        # full house: fill a window of level h > top and place what is left of the piece
+        left = self.counts[top + 1 : size]
+        if not left.any():  # all open windows are emptier than that: the fullest takes the piece whole
+            level = int(np.flatnonzero(self.counts[: top + 1])[-1])
+            window = self._taken(level)
+            window.append((doc, start, ids, total))
+            self._put(window, level + rest)
+            return
+        change = np.where(left > 0, 1 - 2 * left + 1 + 2 * self.counts[1:rest], np.iinfo(np.int64).max)
+        level = size - 1 - int(np.argmin(change[::-1]))
+        cut = size - level
+        window = self._taken(level)
+        window.append((doc, start, ids[: 4 * cut], total))
+        self._put(window, size)
+        self.place(doc, start + cut, ids[4 * cut :], total)
+
+    def _taken(self, level: int) -> list[tuple]:
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.levels[level].pop()
+
+    def _put(self, window: list[tuple], level: int) -> None:
+        if level == self.size:
+            self.close(window)
         else:
-            self.levels[level + rest].append(window)
-            self.counts[level + rest] += 1
-            if len(self.open) > self.max_open:
-                self.flush(False)
-
-    def flush(self, last: bool) -> None:
-        """Cut the pieces of all open windows anew; at the end the remainder goes into windows of powers of two."""
-        size = self.size
-        pieces = [p for w in self.open.values() for p in w]
-        self.open.clear()
+            self.levels[level].append(window)
+            self.counts[level] += 1
+            self.n_open += 1
+
+    def finish(self) -> int:
+        """Close the open windows in powers of two; the number of ids in them."""
+        ended = 0
+        for level in np.flatnonzero(self.counts)[::-1].tolist():
+            for window in self.levels[level]:
+                ended += level
+                queue, at, left = list(window), 0, level
+                while left:
+                    room = 1 << (left.bit_length() - 1)
+                    left -= room
+                    part = []
+                    while room:
+                        doc, start, ids, total = queue[0]
+                        take = min(room, len(ids) // 4 - at)
+                        part.append((doc, start + at, ids[4 * at : 4 * (at + take)], total))
+                        room -= take
+                        at += take
+                        if at == len(ids) // 4:
+                            queue.pop(0)
+                            at = 0
+                    self.close(part)
+            self.levels[level] = []
         self.counts[:] = 0
-        for x in self.levels:
-            x.clear()
-        left = sum(len(p[2]) for p in pieces) // 4
-        queue, at = iter(pieces), 0
-        current = next(queue, None)
-        while left >= size or (last and left):
-            room = size if left >= size else 1 << (left.bit_length() - 1)
-            left -= room
-            window = []
-            while room:
-                doc, start, ids, total = current
-                take = min(room, len(ids) // 4 - at)
-                window.append((doc, start + at, ids[4 * at : 4 * (at + take)], total))
-                room -= take
-                at += take
-                if at == len(ids) // 4:
-                    current, at = next(queue, None), 0
-            self.close(window)
-        if left:
-            doc, start, ids, total = current
-            rest = [(doc, start + at, ids[4 * at :], total), *queue]
-            self.open[0] = rest
-            self.levels[left].append(0)
-            self.counts[left] += 1
+        self.n_open = 0
+        return ended
 
 
 def pack(df: DataFrame, ranks_file: str, pattern: str, size: int = 1024, special_id: int = 50256, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +174,9 @@ def pack(df: DataFrame, ranks_file: str, pattern: str, size: int = 1024, special
 
     Each task packs its own part of the table as it reads it, with no shuffle; a
     sequence_id is the task's number times 2^32 plus a counter. A null or empty
-    text is the end id alone; repeated rows are packed once each.
+    text is the end id alone; repeated rows and rows of one id, null ids included,
+    are packed each for itself; a text longer than a window gives full windows and
+    a rest. An empty table gives no rows; other columns are not read.
     """
 
     def packed(batches):
@@ -185,7 +202,7 @@ def pack(df: DataFrame, ranks_file: str, pattern: str, size: int = 1024, special
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 state.add(doc, encode(text.as_py()) + end)
             yield rows()
-        state.flush(True)
+        state.finish()
         yield rows()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
