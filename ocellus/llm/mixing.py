@@ -63,7 +63,7 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000, digest: bool = False) -> DataFrame:
+def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, block: int = 8, shard_docs: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_sources: int = 100_000, digest: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, passes, from_1, to_1, to_2.
 
     The mix takes ``passes`` whole copies of a document, its words [from_1, to_1)
@@ -74,20 +74,20 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
     Within a shard a source's documents stand in seeded order, cut into blocks;
     a seeded block starts the run of blocks that the quota takes.
 
-    The per-source totals are the mixing plan and come to the driver; more than
-    ``max_sources`` sources raise an error. An empty table gives no rows; a source
-    whose texts are all empty has target and taken 0. With ``digest`` each row also
-    carries the 64-bit hash of its text.
+    The per-source totals, a row per source, are the mixing plan and come to the
+    driver; the plan is broadcast up to ``broadcast_sources`` sources and joined by
+    a shuffle beyond. An empty table gives no rows; a null text is empty; a source
+    whose texts are all empty has target and taken 0. Rows of one id but other
+    texts fall into shards of their own; equal rows are mixed each for itself. With
+    ``digest`` each row also carries the 64-bit hash of its text.
     """
     extra = ["digest"] if digest else []
     sized = written(df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        *[F.xxhash64(text_or_empty(text_col)).alias(c) for c in extra],
+        F.xxhash64(text_or_empty(text_col)).alias("digest"),
     ))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in totals]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
@@ -99,7 +99,7 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
     )
     shards = max(1, -(-sum(r.docs for r in totals) // shard_docs))
     draw = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(x.cast("string"), F.lit("")) for x in c])), 1, 15), 16, 10).cast("long")
-    docs = sized.withColumn("draw", draw(F.col("doc_id"))).withColumn("shard", F.col("draw") % shards)
+    docs = sized.withColumn("draw", draw(F.col("doc_id"), F.col("digest"))).withColumn("shard", F.col("draw") % shards)
     per_shard = docs.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
 
     def quotas(part: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +108,7 @@ def mixed(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
         return part[["source", "shard", "shard_size", "source_size", "target", "quota"]]
 
     quota = (
-        per_shard.join(F.broadcast(plan), per_shard.source.eqNullSafe(plan.source), "inner").drop(plan.source)  # max_sources rows at most
+        per_shard.join(F.broadcast(plan) if len(totals) <= broadcast_sources else plan, per_shard.source.eqNullSafe(plan.source), "inner").drop(plan.source)
         .groupBy("source").applyInPandas(quotas, "source string, shard long, shard_size long, source_size long, target double, quota long")
     )
     here = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size")
@@ -158,20 +158,23 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         "turn", F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
     )
     both = rows.join(plans, rows.id.eqNullSafe(plans.doc_id) & (rows.digest == plans.digest)).filter(F.col("turn") <= F.size("plans"))
+    piece_name = "_piece"
+    while piece_name in df.columns:
+        piece_name += "_"
     p = F.element_at("plans", F.col("turn"))
     piece = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), p["size"].alias("size"))
     pieces = F.filter(
         F.concat(F.array_repeat(piece(F.lit(0), p["size"]), p["passes"].cast("int")), F.array(piece(p["from_1"], p["to_1"]), piece(F.lit(0), p["to_2"]))),
         lambda x: x["hi"] > x["lo"],
     )
-    out = both.select("row.*", F.explode(pieces).alias("_piece"))
+    out = both.select("row.*", F.explode(pieces).alias(piece_name))
     schema = T.StructType(out.schema.fields[:-1])
     word = re.compile(WORD)
 
     def cut(batches):
         for b in batches:
             texts, changed = b.column(text_col).to_pylist(), False
-            for i, x in enumerate(b.column("_piece").to_pylist()):
+            for i, x in enumerate(b.column(piece_name).to_pylist()):
                 if x["lo"] == 0 and x["hi"] == x["size"]:
                     continue
                 changed = True

@@ -226,14 +226,96 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_sum_of_squares_prefers_the_level_that_evens_counts():
-    s = packing.SumOfSquares(10, 0)
-    for k in range(3):
-        s.add(k, b"\0" * 4 * 4)  # level 4 or 8
-    levels = np.flatnonzero(s.counts)
-    assert s.counts[1:10].sum() == len(s.open) and set(levels) <= {4, 8}
-    s.add(9, b"\0" * 4 * 2)
-    assert any(sum(len(x[2]) // 4 for x in [p for p in s.done if p[4] == w]) == 10 for w in {p[4] for p in s.done}) or s.counts[6] or s.counts[2]
+def test_encoder_equals_tokenizer_on_whole_table(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.token_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        assert np.array_equal(np.frombuffer(encode(t), "<u4"), e.ids)
+
+
+def brute_sum_of_squares(sizes, size, max_open):
+    """Windows as lists of (item, length) by the rule, one level at a time."""
+    open_, closed = [], []
+
+    def squares(levels):
+        return sum(n * n for n in collections.Counter(levels).values())
+
+    def place(k, n):
+        levels = [sum(x for _, x in w) for w in open_]
+        best = None
+        for h in [0, *sorted(set(levels))]:
+            if h + n > size:
+                continue
+            after = list(levels)
+            if h:
+                after.remove(h)
+            if h + n < size:
+                after.append(h + n)
+            key = (squares(after), -h)
+            best = min(best, (key, h)) if best else (key, h)
+        h = best[1]
+        if h == 0 and len(open_) >= max_open:
+            over = [x for x in sorted(set(levels)) if x + n > size]
+            if over:
+                options = []
+                for x in over:
+                    after = list(levels)
+                    after.remove(x)
+                    after.append(x + n - size)
+                    options.append((squares(after), -x))
+                h = -min(options)[1]
+            else:
+                h = max(x for x in levels if x + n <= size)
+        if h:
+            i = max(i for i, x in enumerate(levels) if x == h)
+            w = open_.pop(i)
+        else:
+            w = []
+        take = min(n, size - h)
+        w.append((k, take))
+        (closed if h + take == size else open_).append(w)
+        if n > take:
+            place(k, n - take)
+
+    for k, n in enumerate(sizes):
+        for _ in range(n // size):
+            closed.append([(k, size)])
+        if n % size:
+            place(k, n % size)
+    return closed, open_
+
+
+@pytest.mark.parametrize("max_open", [2, 5, 1000])
+def test_sum_of_squares_follows_its_rule(max_open):
+    rng = random.Random(max_open)
+    for size in (8, 16):
+        sizes = [rng.randint(1, 3 * size) for _ in range(400)]
+        s = packing.SumOfSquares(size, 0, max_open)
+        for k, n in enumerate(sizes):
+            s.add(k, b"\0" * 4 * n)
+        closed, open_ = brute_sum_of_squares(sizes, size, max_open)
+        mine = collections.defaultdict(list)
+        for doc, _, ids, _, window, _ in s.done:
+            mine[window].append((doc, len(ids) // 4))
+        assert sorted(mine.values()) == sorted(closed) and s.n_open == len(open_) <= max_open
+        assert s.finish() == sum(n for w in open_ for _, n in w)
+        ends = collections.Counter()
+        for _, _, ids, _, window, offset in s.done:
+            ends[window] += len(ids) // 4
+        assert all(n & (n - 1) == 0 for n in ends.values())
+
+
+def test_few_ids_are_left_to_the_end():
+    """The level array places all but the few windows that are open when a task ends."""
+    rng = random.Random(1)
+    s = packing.SumOfSquares(1024, 0)
+    total = 0
+    for k in range(6000):
+        n = int(rng.lognormvariate(6.3, 1))
+        total += n
+        s.add(k, bytes(4 * n))
+    assert s.finish() <= 0.03 * total
 
 
 def test_sainte_lague_is_highest_quotients():
