@@ -8,14 +8,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _BASE, chunks, mix, partitions, text_or_empty, unzipped, word_hashes, written, zipped
+from ocellus.llm.common import _BASE, chunks, dealt, mix, slices_of, text_or_empty, tidy, unzipped, word_hashes, written, zipped
 
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
 FLUSH = 1_000_000  # tokens that a task holds before it deals its counts out
 
 
 class Quantiser:
-    """Counts as levels 1 + floor(log_base(count)); a level stands for the middle of its counts."""
+    """Counts as levels 1 + floor(log_base(count)); a level stands for its least count, so no sum of counts is exceeded."""
 
     def __init__(self, base: float):
         self.base = base
@@ -23,8 +23,7 @@ class Quantiser:
         while edges[-1] < 1 << 62:
             edges.append(max(edges[-1] + 1, int(np.ceil(edges[0] * base ** len(edges)))))
         self.edges = np.array(edges[:-1], dtype=np.int64)  # the least count of each level
-        top = np.append(self.edges[1:], self.edges[-1] * 2) - 1
-        self.value = np.concatenate(([0.0], np.sqrt(self.edges.astype(float) * top)))
+        self.value = np.concatenate(([0.0], self.edges.astype(float)))
 
     def level(self, counts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, counts, side="right")
@@ -34,26 +33,31 @@ class LogBloom:
     """Sliced Bloom filter: an n-gram of level q is put in once for each level 1..q.
 
     A look-up asks for level 1, 2, ... until one is missing, so a stored n-gram is
-    never underestimated, and each further level of error needs ``probes`` false bits.
+    never underestimated. Level 1 takes ``first`` bits, so an n-gram that was never
+    stored is found with probability 2^-first; further levels take ``probes`` each.
     """
 
-    def __init__(self, slices: int, probes: int):
-        self.slices, self.probes = slices, probes
+    def __init__(self, slices: int, probes: int, first: int):
+        self.slices, self.probes, self.first = slices, probes, first
+
+    def probes_at(self, level: int) -> int:
+        return self.first if level == 1 else self.probes
 
     @staticmethod
     def spots(keys: np.ndarray, level: int, probe: int, bits) -> np.ndarray:
         with np.errstate(over="ignore"):
             x = mix(keys + np.uint64(level * 64 + probe + 1) * np.uint64(0xA0761D6478BD642F))
-        return ((x >> np.uint64(32)) * np.asarray(bits, dtype=np.uint64)) >> np.uint64(32)
+        bits = np.asarray(bits, dtype=np.uint64)
+        return ((x >> np.uint64(32)) * bits) >> np.uint64(32) if bits.max(initial=0) < 1 << 32 else x % bits
 
     def build(self, keys: np.ndarray, levels: np.ndarray) -> bytes:
         """The bits of one slice: as many as its entries need at half filling."""
-        bits = 64 * max(1, int(np.ceil(levels.sum() * self.probes / np.log(2) / 64)))
-        bits = min(bits, (1 << 32) - 64)
+        entries = levels.sum() * self.probes + len(levels) * (self.first - self.probes)
+        bits = 64 * max(1, int(np.ceil(entries / np.log(2) / 64)))
         field = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             some = keys[levels >= level]
-            for p in range(self.probes):
+            for p in range(self.probes_at(level)):
                 field[self.spots(some, level, p, bits).astype(np.int64)] = True
         return np.packbits(field, bitorder="little").tobytes()
 
@@ -63,7 +67,7 @@ class LogBloom:
         out = np.zeros(len(keys), dtype=np.uint8)
         alive = np.flatnonzero(bits[where] > 0)
         for level in range(1, most + 1):
-            for p in range(self.probes):
+            for p in range(self.probes_at(level)):
                 if not len(alive):
                     return out
                 w = where[alive]
@@ -104,7 +108,7 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(slices: int):
-    """n-gram counts of a task's texts, packed per slice of the n-gram's hash; kind 1 words, 2 pairs."""
+    """Word and pair counts of a task's texts, packed per slice of the hash; kind 1 words, 2 pairs."""
 
     def counted(batches):
         held: list[tuple] = []
@@ -113,21 +117,12 @@ def _count(slices: int):
         def flush():
             nonlocal held, n
             t, c = (np.concatenate(x) for x in zip(*held))
-            starts = int((c == BEGIN).sum())
             held, n = [], 0
             rows = []
             for kind, keys in ((1, t), (2, pair(c, t))):
                 k, m = np.unique(keys, return_counts=True)
-                if kind == 2:
-                    k, m = np.append(k, BEGIN), np.append(m, starts)  # the context of first words
-                where = (k % np.uint64(slices)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cut = np.searchsorted(where[order], np.arange(slices + 1))
-                for s in range(slices):
-                    part = order[cut[s] : cut[s + 1]]
-                    if len(part):
-                        sorted_keys = k[part]
-                        rows.append((s, kind, len(part), zipped(np.diff(sorted_keys, prepend=np.uint64(0)), m[part].astype("<u4"))))
+                for s, part in dealt((k % np.uint64(slices)).astype(np.int64), slices):
+                    rows.append((s, kind, len(part), zipped(np.diff(k[part], prepend=np.uint64(0)), m[part].astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["slice", "kind", "n", "grams"])
 
         for b in chunks(batches):
@@ -139,14 +134,13 @@ def _count(slices: int):
         if held:
             yield flush()
 
-    return counted
+    return tidy(counted)
 
 
 def _merge(bloom: LogBloom, base: float):
-    """Of a slice: its words with counts, and its part of the filter."""
+    """Of a slice: its words with exact counts, and its part of the filter of pairs."""
 
     def merged(table: pa.Table) -> pa.Table:
-        q = Quantiser(base)
         got = {}
         kinds, sizes, blobs = (table.column(c).to_pylist() for c in ("kind", "n", "grams"))
         for kind in (1, 2):
@@ -156,22 +150,22 @@ def _merge(bloom: LogBloom, base: float):
             else:
                 got[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         words, counts = got[1]
-        levels = np.concatenate([q.level(got[k][1]) for k in (1, 2)])
-        field = bloom.build(np.concatenate([got[k][0] for k in (1, 2)]), levels)
+        levels = Quantiser(base).level(got[2][1])
+        field = bloom.build(got[2][0], levels)
         return pa.table({
             "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "n_words": pa.array([len(words)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()),
-            "words": pa.array([zipped(words, counts)], pa.binary()), "field": pa.array([field], pa.binary()), "bytes": pa.array([len(field)], pa.int64()), "top": pa.array([int(levels.max(initial=0))], pa.int32()),
+            "starts": pa.array([int(counts[words == END].sum())], pa.int64()), "words": pa.array([zipped(words, counts)], pa.binary()),
+            "field": pa.array([field], pa.binary()), "bytes": pa.array([len(field)], pa.int64()), "top": pa.array([int(levels.max(initial=0))], pa.int32()),
         })
 
-    return merged
+    return tidy(merged)
 
 
-_MODEL = "slice int, n_words long, n_tokens long, words binary, field binary, bytes long, top int"
-_DOC = "struct<doc_id:long,n_tokens:long,known:long,log_sum:double,score:double>"
-#: ``piece`` numbers the stretch of texts that a task scored at once; its rows meet again to be summed.
-_SENT = f"slice int, piece long, n long, entries binary, docs array<{_DOC}>"
-_FOUND = f"piece long, n long, hits binary, docs array<{_DOC}>"
-_PART = "doc_id long, n_tokens long, known long, log_sum double, score double"
+_MODEL = "slice int, n_words long, n_tokens long, starts long, words binary, field binary, bytes long, top int"
+#: A piece is the stretch of texts that a task scores at once. ``entries`` asks a slice for n_words words and n_pairs pairs, or holds its answers; ``body`` is the piece itself.
+_SENT = "slice int, piece long, n_words long, n_pairs long, entries binary, body binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+_PART = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def corpus_counts(docs: DataFrame, slices: int, bloom: LogBloom, base: float) -> DataFrame:
@@ -179,192 +173,160 @@ def corpus_counts(docs: DataFrame, slices: int, bloom: LogBloom, base: float) ->
     return written(docs.mapInArrow(_count(slices), "slice int, kind int, n long, grams binary").groupBy("slice").applyInArrow(_merge(bloom, base), _MODEL))
 
 
-def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int = 4, prior: float = 20.0, common_words: int = 1 << 20, max_filter_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int = 6, first: int = 12, prior: float = 20.0, max_filter_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score sums log10((c + 1) / (N + V + 1)) with exact counts c. score sums
-    log10((q(v w) + prior * p(w)) / (q(v) + prior)), with p(w) = (q(w) + 1) / (N + V + 1)
-    and quantised counts q found by probing the filter. All n-grams are in the
-    filter. Its slices are broadcast together up to ``max_filter_bytes``; a larger
-    filter takes as many passes over the texts as it has parts of that size, and
-    levels found so far travel with the texts.
-
-    Exact counts: words with c >= N / common_words (so at most ``common_words``)
-    are broadcast; all others are looked up by a join of slices, so no word's
-    documents meet in one task. Words are compared by 64-bit hashes. A null text is
-    empty: its only token is the end. Without training texts all scores are 0.
+    log10((q(v w) + prior * p(w)) / (c(v) + prior)), with p(w) = (c(w) + 1) / (N + V + 1)
+    and the quantised count q found by probing the filter, which holds all pairs
+    of neighbouring tokens. q stands for the least count of its level, so over all w
+    the probabilities after v sum to 1 at most; what quantising takes away stays
+    unspent. A pair that was never seen is taken for one with probability 2^-first.
+
+    The filter is broadcast up to ``max_filter_bytes``. A larger one is not
+    gathered anywhere: pieces of the corpus send their distinct pairs to the
+    filter's slices and get levels back, with the same result. Word counts are
+    looked up in slices likewise. Slices grow with the input.
+
+    Words are compared by 64-bit hashes. A null or empty text is only its end;
+    repeated rows and ids are scored, and learned from, each for itself; a text is
+    held whole in a task. Without training texts all scores are 0.
     """
     spark = df.sparkSession
-    slices = partitions(spark)
-    bloom = LogBloom(slices, probes)
+    slices = slices_of(df)
+    bloom = LogBloom(slices, probes, first)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), is_training.alias("trains"))
     model = corpus_counts(docs.filter("trains").select("text"), slices, bloom, order_base)
-    total = model.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), F.max("top").alias("top")).first()
-    n, v, top = (total.n or 0), (total.v or 0), (total.top or 0)
-
-    def frequent(batches):
-        for b in batches:
-            keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for blob, size in zip(b.column("words").to_pylist(), b.column("n_words").to_pylist()):
-                k, c = unzipped(blob, size, "<u8", "<i8")
-                pick = c * common_words >= n
-                keys.append(k[pick])
-                counts.append(c[pick])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], ["key", "c"])
-
-    common = model.select("words", "n_words").mapInArrow(frequent, "key long, c long").toArrow()
-    keys = common.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    heavy = spark.sparkContext.broadcast((keys[order], common.column("c").to_numpy()[order]))
-
-    def start_level(batches):
-        for b in batches:
-            for s, blob in zip(b.column("slice").to_pylist(), b.column("field")):
-                field = np.frombuffer(blob.as_buffer(), np.uint8)
-                bits = np.zeros(slices, np.int64)
-                bits[s] = 8 * len(field)
-                yield pa.RecordBatch.from_arrays([pa.array(bloom.levels(np.array([BEGIN]), field, np.zeros(slices, np.int64), bits, top).astype(np.int32))], ["level"])
-
-    # the context of first words: its slice may be in any pass
-    begin = model.filter(F.col("slice") == int(BEGIN % np.uint64(slices))).select("slice", "field").mapInArrow(start_level, "level int").first()
-    begin = begin["level"] if begin else 0
-
-    sizes = sorted((r["slice"], r["bytes"]) for r in model.select("slice", "bytes").collect())
-    groups: list[list[int]] = [[]]
-    room = max_filter_bytes
-    for s, size in sizes:
-        if size > room and groups[-1]:
-            groups.append([])
-            room = max_filter_bytes
-        groups[-1].append(s)
-        room -= size
-    state = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("uni"), F.lit(None).cast("binary").alias("bi"))
-    for group in groups:
-        fields = model.filter(F.col("slice").isin(group)).select("slice", "field").collect() if group else []
-        start, bits, at = np.zeros(slices, np.int64), np.zeros(slices, np.int64), 0
-        for r in fields:
+    total = model.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_words", "starts", "bytes")], F.max("top").alias("top")).first()
+    n, v, starts, top = (total[c] or 0 for c in ("n_tokens", "n_words", "starts", "top"))
+    whole = None
+    if (total["bytes"] or 0) <= max_filter_bytes:
+        start, bits, at, fields = np.zeros(slices, np.int64), np.zeros(slices, np.int64), 0, []
+        for r in model.select("slice", "field").collect():  # max_filter_bytes at most
             start[r["slice"]], bits[r["slice"]] = at, 8 * len(r["field"])
             at += len(r["field"])
-        joined = b"".join(r["field"] for r in fields)
-        del fields
-        part = spark.sparkContext.broadcast((joined, start, bits))
-        del joined
-        last = group is groups[-1]
-        state = state.mapInArrow(_probe(bloom, part, top), state.schema) if not last else state
-        if not last:
-            state = written(state)
-    value = Quantiser(order_base).value
-    sent = state.mapInArrow(_score(bloom, part, top, heavy, value, begin, n, v, prior, slices), _SENT)
-    found = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words").groupBy("slice")).applyInArrow(_look_up, _FOUND)
-    whole = found.groupBy("piece").applyInArrow(_sum_up, _PART)
-    log_all = float(np.log10(n + v + 1))
-    return whole.select(
-        "doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_sum") - F.col("n_tokens") * log_all).alias("base_score"), "score",
-    )
-
-
-def _levels(bloom: LogBloom, part, top: int, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    blob, start, bits = part.value
-    field = np.frombuffer(blob, dtype=np.uint8)
-    distinct, back = np.unique(t, return_inverse=True)
-    return bloom.levels(distinct, field, start, bits, top)[back], bloom.levels(pair(c, t), field, start, bits, top)
-
-
-def _with(state: pa.RecordBatch, name: str, found: np.ndarray) -> np.ndarray:
-    """Levels found in this pass joined with those that came along."""
-    before = state.column(name)
-    if before.null_count == len(before):
-        return found
-    return np.maximum(found, np.frombuffer(b"".join(before.to_pylist()), dtype=np.uint8))
-
-
-def _probe(bloom: LogBloom, part, top: int):
-    def probed(batches):
-        for b in chunks(batches):
-            t, c, offsets = tokens(b.column("text"))
-            cols = dict(zip(b.schema.names, b.columns))
-            for name, found in zip(("uni", "bi"), _levels(bloom, part, top, t, c)):
-                levels = _with(b, name, found)
-                cols[name] = pa.array([levels[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            fields.append(r["field"])
+        whole = spark.sparkContext.broadcast((b"".join(fields), start, bits))
+    sent = docs.select("doc_id", "text").mapInArrow(_ask(bloom, whole, top, slices), _SENT)
+    answers = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words", "field").groupBy("slice")).applyInArrow(_answer(bloom, top), _SENT)
+    scored = answers.groupBy("piece").applyInArrow(_score(slices, whole is not None, Quantiser(order_base).value, n, v, starts, prior), _PART)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
-    return probed
 
+def _pairs(words: np.ndarray, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece: hashes of its distinct pairs, their context and last word as places in ``words`` (one beyond them: the text's begin), and the pair of each token."""
+    begin = len(words)
+    context = np.empty(len(token), np.int64)
+    context[1:] = token[:-1]
+    context[first] = begin
+    code, back = np.unique(context * (begin + 1) + token, return_inverse=True)
+    before, last = code // (begin + 1), code % (begin + 1)
+    return pair(np.append(words, BEGIN)[before], words[last]), before, last, back
 
-_STRUCT = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
 
+def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by slice, and where each slice begins in it."""
+    where = (keys % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(slices + 1))
 
-def _score(bloom: LogBloom, part, top: int, heavy, value: np.ndarray, begin: int, n: int, v: int, prior: float, slices: int):
-    """Per piece its documents' scores and sums over common words; other words are packed per slice for the look-up."""
 
-    def scored(batches):
-        keys, counts = heavy.value
+def _ask(bloom: LogBloom, whole, top: int, slices: int):
+    """Of each piece: its distinct words (and, without a whole filter at hand, pairs) by slice, and the piece in a row of its own."""
+
+    def asked(batches):
         piece = TaskContext.get().partitionId() << 32
-        for b in chunks(batches):
-            t, c, offsets = tokens(b.column("text"))
-            size = np.diff(offsets)
-            doc = np.repeat(np.arange(len(size)), size)
-            uni, bi = (_with(b, k, x) for k, x in zip(("uni", "bi"), _levels(bloom, part, top, t, c)))
-            q, joint = value[uni], value[bi]
-            context = np.empty_like(q)
-            context[1:] = q[:-1]
-            context[offsets[:-1]] = value[begin]
-            p = (q + 1) / (n + v + 1)
-            score = np.log10((np.minimum(joint, context) + prior * p) / (context + prior)) if n else np.zeros(len(t))
-            score = np.add.reduceat(score, offsets[:-1])
-            at = np.minimum(np.searchsorted(keys, t), max(0, len(keys) - 1))
-            common = keys[at] == t if len(keys) else np.zeros(len(t), bool)
-            known = np.add.reduceat(common.astype(np.int64), offsets[:-1])
-            log_sum = np.add.reduceat(np.where(common, np.log10(counts[at] + 1.0) if len(keys) else 0.0, 0.0), offsets[:-1])
-            fields = [b.column("doc_id"), pa.array(size), pa.array(known), pa.array(log_sum), pa.array(score)]
-            docs = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_STRUCT)))
-            rare = np.flatnonzero(~common)
-            where = (t[rare] % np.uint64(slices)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            rare, where = rare[order], where[order]
-            cut = np.searchsorted(where, np.arange(slices + 1))
-            some = np.flatnonzero(np.diff(cut))
-            out = [[int(s) for s in some], [piece] * len(some), [int(cut[s + 1] - cut[s]) for s in some], [zipped(t[rare[cut[s] : cut[s + 1]]], doc[rare[cut[s] : cut[s + 1]]].astype("<u4")) for s in some]]
-            for column, x in zip(out, (piece % slices, piece, 0, None)):
-                column.append(x)
-            listed = pa.concat_arrays([pa.nulls(len(some), docs.type), docs])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], listed], ["slice", "piece", "n", "entries", "docs"])
+        for b in chunks(batches, limit=4 << 20):
+            t, _, offsets = tokens(b.column("text"))
+            words, token = np.unique(t, return_inverse=True)
+            keys, *_ = _pairs(words, token, offsets[:-1])
+            levels = b""
+            if whole is not None:
+                blob, start, bits = whole.value
+                levels = bloom.levels(keys, np.frombuffer(blob, np.uint8), start, bits, top).tobytes()
+                keys = keys[:0]
+            word_order, word_cut = _by_slice(words, slices)
+            pair_order, pair_cut = _by_slice(keys, slices)
+            rows = []
+            for s in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0)).tolist():
+                w, p = words[word_order[word_cut[s] : word_cut[s + 1]]], keys[pair_order[pair_cut[s] : pair_cut[s + 1]]]
+                rows.append((s, piece, len(w), len(p), zipped(w, p), None))
+            ids = b.column("doc_id")
+            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
+            ids = ids.fill_null(0).to_numpy()
+            sizes = np.array([len(ids), len(words), len(token), len(levels)], np.int64)
+            body = sizes.tobytes() + zipped(ids, known.astype(np.uint8), np.diff(offsets).astype("<i8"), words, token.astype("<u4"), np.frombuffer(levels, np.uint8))
+            rows.append((piece % slices, piece, 0, 0, None, body))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _SENT.replace(",", "").split()[::2])
             piece += 1
 
-    return scored
-
-
-def _look_up(sent: pa.Table, words: pa.Table) -> pa.Table:
-    """Of the words that were sent to this slice the known ones, summed by document within each piece."""
-    if words.num_rows:
-        keys, counts = unzipped(words.column("words")[0].as_py(), words.column("n_words")[0].as_py(), "<u8", "<i8")
-    else:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    n, hits = [], []
-    for size, entries in zip(sent.column("n").to_pylist(), sent.column("entries").to_pylist()):
-        if entries is None or not len(keys):
-            n.append(0)
-            hits.append(None)
-            continue
-        t, doc = unzipped(entries, size, "<u8", "<u4")
-        at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-        hit = keys[at] == t
-        known = np.bincount(doc[hit])
-        some = np.flatnonzero(known)
-        sums = np.bincount(doc[hit], weights=np.log10(counts[at[hit]] + 1.0))[some]
-        n.append(len(some))
-        hits.append(zipped(some.astype("<u4"), known[some].astype("<u4"), sums))
-    return pa.table({"piece": sent.column("piece"), "n": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.binary()), "docs": sent.column("docs")})
-
-
-def _sum_up(found: pa.Table) -> pa.Table:
-    """The documents of one piece with what the slices found."""
-    docs = next(x for x in found.column("docs") if x.is_valid).values
-    known, sums = (np.array(docs.field(k)) for k in ("known", "log_sum"))
-    for n, hits in zip(found.column("n").to_pylist(), found.column("hits").to_pylist()):
-        if n:
-            doc, more, extra = unzipped(hits, n, "<u4", "<u4", "<f8")
-            known[doc] += more
-            sums[doc] += extra
-    return pa.table({"doc_id": docs.field("doc_id"), "n_tokens": docs.field("n_tokens"), "known": pa.array(known), "log_sum": pa.array(sums), "score": docs.field("score")})
+    return tidy(asked)
+
+
+def _answer(bloom: LogBloom, top: int):
+    """Of a slice: the exact counts of the words and the levels of the pairs that pieces ask for, in their order."""
+
+    def answered(sent: pa.Table, model: pa.Table) -> pa.Table:
+        words, counts, field = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        if model.num_rows:
+            words, counts = unzipped(model.column("words")[0].as_py(), model.column("n_words")[0].as_py(), "<u8", "<i8")
+            field = np.frombuffer(model.column("field")[0].as_py(), np.uint8)
+        start, bits = np.zeros(bloom.slices, np.int64), np.full(bloom.slices, 8 * len(field), np.int64)
+        out = []
+        for n, m, entries in zip(sent.column("n_words").to_pylist(), sent.column("n_pairs").to_pylist(), sent.column("entries").to_pylist()):
+            if entries is None:
+                out.append(None)
+                continue
+            asked = unzipped(entries, n + m, "<u8")[0]
+            count = np.zeros(n, np.int64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, asked[:n]), len(words) - 1)
+                count = np.where(words[at] == asked[:n], counts[at], 0)
+            levels = bloom.levels(asked[n:], field, start, bits, top)
+            out.append(zipped(count, levels))
+        if not sent.num_rows:
+            return pa.table([pa.array([], k) for k in _KINDS], names=_SENT.replace(",", "").split()[::2])
+        return sent.set_column(4, "entries", pa.array(out, pa.binary()))
+
+    return tidy(answered)
+
+
+def _score(slices: int, probed: bool, value: np.ndarray, n: int, v: int, starts: int, prior: float):
+    """A piece's documents, from the answers of the slices."""
+
+    def scored(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        body = next(r["body"] for r in rows if r["body"] is not None)
+        n_docs, n_words, n_tokens, n_levels = np.frombuffer(body, np.int64, 4).tolist()
+        raw, at, got = pa.decompress(body[32:], decompressed_size=17 * n_docs + 8 * n_words + 4 * n_tokens + n_levels, codec="zstd", asbytes=True), 0, []
+        for kind, size in (("<i8", n_docs), ("<u1", n_docs), ("<i8", n_docs), ("<u8", n_words), ("<u4", n_tokens), ("<u1", n_levels)):
+            got.append(np.frombuffer(raw, kind, size, at))
+            at += got[-1].nbytes
+        ids, known_id, size, words, token, levels = got
+        token = token.astype(np.int64)
+        first = np.cumsum(size) - size
+        keys, before, last, back = _pairs(words, token, first)
+        word_order, word_cut = _by_slice(words, slices)
+        pair_order, pair_cut = _by_slice(keys, slices)
+        count = np.zeros(n_words + 1, np.int64)
+        found = levels if probed else np.zeros(len(keys), np.uint8)
+        for r in rows:
+            if r["entries"] is None:
+                continue
+            raw = pa.decompress(r["entries"], decompressed_size=8 * r["n_words"] + r["n_pairs"], codec="zstd", asbytes=True)
+            s = r["slice"]
+            count[word_order[word_cut[s] : word_cut[s + 1]]] = np.frombuffer(raw, "<i8", r["n_words"])
+            if not probed:
+                found[pair_order[pair_cut[s] : pair_cut[s + 1]]] = np.frombuffer(raw, "<u1", r["n_pairs"], 8 * r["n_words"])
+        count[n_words] = starts  # as many texts begin as end
+        c = count[:n_words][token]
+        joint = np.minimum(value[found], np.minimum(count[before], count[last]))
+        p = (count[last] + 1) / (n + v + 1)
+        log = np.log10((joint + prior * p) / (count[before] + prior)) if n else np.zeros(len(keys))
+        base = np.log10((c + 1) / (n + v + 1))
+        return pa.table({
+            "doc_id": pa.array(ids, mask=known_id == 0), "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
+            "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(log[back], first)),
+        })
+
+    return tidy(scored)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
+import types
 import uuid
 
 import numpy as np
@@ -106,6 +109,47 @@ def dealt(where: np.ndarray, slices: int):
         yield int(k), order[cut[k] : cut[k + 1]]
 
 
+_TRIMMED = [0.0]
+
+
+def _release() -> None:
+    """Give freed memory back to the system, once a second at most: workers live on from stage to stage."""
+    if time.monotonic() - _TRIMMED[0] < 1:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    _TRIMMED[0] = time.monotonic()
+
+
+def tidy(function):
+    """``function``, for mapInArrow or applyInArrow, with its worker's freed memory given back after each group and at the end of a task."""
+
+    def run(group):
+        out = function(group)
+        if isinstance(out, types.GeneratorType):
+            return drained(out)
+        _release()
+        return out
+
+    def run_both(left, right):
+        out = function(left, right)
+        _release()
+        return out
+
+    def drained(batches):
+        try:
+            for b in batches:
+                yield b
+                _release()
+        finally:
+            _release()
+
+    return run_both if function.__code__.co_argcount == 2 else run
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ocellus.llm.common import UPPER, partitions, text_or_empty, written
+from ocellus.llm.common import UPPER, partitions, text_or_empty, tidy, written
 
 _RUN = "part long, edge_text string, sha string, n long, last long, ids array<long>"
 
@@ -113,7 +113,7 @@ def equal_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     schema = T._parse_datatype_string(_RUN)
     if carry:
         schema = schema.add("row", placed.schema["row"].dataType)
-    runs = written(placed.mapInArrow(lambda it, p=carry: _runs(it, p), schema))
+    runs = written(placed.mapInArrow(tidy(lambda batches: _runs(batches, carry)), schema))
     edges = (
         runs.filter(F.col("edge_text").isNotNull())
         .groupBy("edge_text")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import drop, slices_of, written
+from ocellus.llm.common import drop, slices_of, tidy, written
 
 #: Ids up to this many are broadcast (16 MB at most); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -34,7 +34,7 @@ PROBE, BUILD = 1024, 4096
 ROUNDS = 4
 #: In place of a null id, after all others.
 NO_ID = (1 << 63) - 1
-FLUSH = 4_000_000  # keys that a task holds before it deals them out
+FLUSH = 2_000_000  # keys that a task holds before it deals them out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         times = np.diff(np.append(head, len(keys))) + np.add.reduceat(more, head)
         return pa.table({"key": pa.array(keys[head[times > 1]].view(np.int64))})
 
-    return written(rows.select("keys").mapInArrow(deal, "slice int, keys binary, more binary").groupBy("slice").applyInArrow(settle, "key long"))
+    return written(rows.select("keys").mapInArrow(tidy(deal), "slice int, keys binary, more binary").groupBy("slice").applyInArrow(tidy(settle), "key long"))
 
 
 def _block_survivors(num: int, den: int):
@@ -176,7 +176,7 @@ def _block_survivors(num: int, den: int):
                 stays[i] |= len(hit) > 0
         return t.select(["key", "probe_block", "build", "id", "component", "probe"]).filter(pa.array(stays))
 
-    return survive
+    return tidy(survive)
 
 
 def _block_links(num: int, den: int):
@@ -218,7 +218,7 @@ def _block_links(num: int, den: int):
                     out.append((int(comp[probes[k]]), int(comp[m])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return linked
+    return tidy(linked)
 
 
 def by_row(docs: DataFrame, numbered: bool, linked: DataFrame) -> DataFrame:

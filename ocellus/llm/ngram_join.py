@@ -11,14 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import batch_shingles, chunks, dealt, drop, mix, ordered_rows, slices_of, text_or_empty, unzipped, word_hashes, written, zipped
+from ocellus.llm.common import batch_shingles, chunks, dealt, drop, mix, ordered_rows, slices_of, text_or_empty, tidy, unzipped, word_hashes, written, zipped
 from ocellus.llm.linking import NO_ID, by_row, exclude, link_classes, restrict, shared_keys, sketch
 
 #: Sets up to this size can be light: enumerating more subsets than theirs never pays.
 MOST_LIGHT = 24
 #: What scanning one entry of an inverted list costs, in units of one enumerated subset.
 SCAN_COST = 1.0
-FLUSH = 2_000_000  # elements that a task holds before it deals them out
+FLUSH = 1_000_000  # elements that a task holds before it deals them out
 #: Entries of one element that may meet in a slice: a task with more than its share keeps them and sends a mark.
 ELEMENT_ENTRIES = 1_000_000
 HOT = 255  # the rank of elements that a task has marked
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, width: int, key_maker) -> DataFrame:
                 ["id", "n", "sig1", "sig2", "sketch", "keys"],
             )
 
-    return docs.mapInArrow(made, "id long, n long, sig1 long, sig2 long, sketch array<smallint>, keys array<long>")
+    return docs.mapInArrow(tidy(made), "id long, n long, sig1 long, sig2 long, sketch array<smallint>, keys array<long>")
 
 
 def element_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -108,7 +108,7 @@ def element_sets(docs: DataFrame, width: int) -> DataFrame:
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), _listed([_signed(s) for s in _sets(b, width)], pa.int64())], ["id", "elements"])
 
-    return docs.mapInArrow(made, "id long, elements array<long>")
+    return docs.mapInArrow(tidy(made), "id long, elements array<long>")
 
 
 # --- inverted lists ----------------------------------------------------------------
@@ -158,7 +158,7 @@ def _deal_elements(width: int, slices: int, share: int):
         if held:
             yield flush()
 
-    return deal
+    return tidy(deal)
 
 
 def _rank_elements(slices: int):
@@ -188,7 +188,7 @@ def _rank_elements(slices: int):
                 out.append((p, len(part), zipped(elements[part], doc[part], back[part]), None))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_KINDS[1:])], names=["piece", "n", "entries", "docs"])
 
-    return rank
+    return tidy(rank)
 
 
 def _first_elements(num: int, den: int):
@@ -216,7 +216,7 @@ def _first_elements(num: int, den: int):
             "keys": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_signed(elements[pick]))),
         })
 
-    return first
+    return tidy(first)
 
 
 def inverted_lists(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import text_or_empty
+from ocellus.llm.common import text_or_empty, tidy
 
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one added token
 _CUT = re.compile(r" (?=\S)")
@@ -206,5 +206,5 @@ def pack(df: DataFrame, ranks_file: str, pattern: str, size: int = 1024, special
         yield rows()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        tidy(packed), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _SPACE, arrow_bytes, chunks, mix, text_or_empty, word_hashes
+from ocellus.llm.common import _SPACE, arrow_bytes, chunks, mix, text_or_empty, tidy, word_hashes
 
 #: Byte classes of the passage encoder: each ASCII punctuation mark alone, then groups.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -146,16 +146,27 @@ class GatedAttention:
         return self.forward(x.astype(np.float64), at)[-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", width: int = 48) -> GatedAttention:
-    """Fit on labelled rows for which ``usable`` holds, at most ``max_docs`` of them (those of least hashed id).
+def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, max_chars: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", width: int = 48) -> GatedAttention:
+    """Fit on labelled rows for which ``usable`` holds, those of least hashed id: at most ``max_docs`` rows with ``max_chars`` characters in all.
 
-    Rows without a label or id are not used; of repeated labels the larger counts.
-    Without any label every score is 0.5.
+    Each text is used whole; its encoding, which comes to the driver, takes less
+    than a byte a character. Rows without a label or id are not used; of repeated
+    labels the larger counts; rows that repeat an id are learned from each for
+    itself. A null or empty text is one empty passage. Without any label every
+    score is 0.5. Columns other than id and text are not read.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & usable(F.col("id")))
     sample = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id")  # max_docs rows at most
 
+    total, kept = 0, []
+    for r in rows.groupBy("id").agg(F.sum(F.length("text")).alias("n")).orderBy(F.xxhash64("id"), "id").collect():  # max_docs rows at most
+        total += r["n"]
+        if total > max_chars and kept:
+            break
+        kept.append((r["id"],))
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long")), "id", "left_semi")
+
     def encoded(batches):
         for b in chunks(batches):
             x, at = passages(b.column("text"), width)
@@ -172,13 +183,13 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, id_c
 
 
 def score(df: DataFrame, model: GatedAttention, id_col: str = "doc_id", text_col: str = "text", width: int = 48) -> DataFrame:
-    """(doc_id, score) of every row, from its whole text alone; a null text counts as empty."""
+    """(doc_id, score) of every row, from its whole text alone; a null text counts as empty, repeated rows and ids are scored each for itself, a very long text has many passages."""
 
     def scored(batches):
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(*passages(b.column("text"), width)))], ["doc_id", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")
 
 
 def accepted(df: DataFrame, model: GatedAttention, threshold: float = 0.5, text_col: str = "text", width: int = 48) -> DataFrame:
@@ -189,4 +200,4 @@ def accepted(df: DataFrame, model: GatedAttention, threshold: float = 0.5, text_
             text = pc.fill_null(b.column(text_col), "")
             yield b.filter(pa.array(model.score(*passages(text, width)) >= threshold))
 
-    return df.mapInArrow(kept, df.schema)
+    return df.mapInArrow(tidy(kept), df.schema)

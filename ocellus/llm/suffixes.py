@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _powers, dealt, drop, mix, ordered_rows, slices_of, unzipped, written, zipped
+from ocellus.llm.common import _powers, dealt, drop, mix, ordered_rows, slices_of, tidy, unzipped, written, zipped
 from ocellus.llm.linking import restrict
 
 #: Contexts of one anchor that a suffix sort takes; more are dealt by window.
@@ -282,7 +282,7 @@ def _deal_runs(slices: int, span: int, share: int):
         if held:
             yield flush()
 
-    return deal
+    return tidy(deal)
 
 
 def _settle_runs(slices: int, contexts: int):
@@ -309,7 +309,7 @@ def _settle_runs(slices: int, contexts: int):
         out.by_document(OPEN, pick(~crowded & (n > 1)))
         return out.table()
 
-    return settle
+    return tidy(settle)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("src", pa.int64()), ("at", pa.int64())])
@@ -337,7 +337,7 @@ def _by_document(span: int):
             columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(f, pa.int64()) for f in fields], fields=list(kind))))
         return pa.table(columns, names=["rid", "spans", "open", "crowded"])
 
-    return gather
+    return tidy(gather)
 
 
 # --- suffixes --------------------------------------------------------------------
@@ -548,7 +548,7 @@ def _deal_contexts(slices: int, span: int):
         if size:
             yield flush()
 
-    return deal
+    return tidy(deal)
 
 
 def _settle_contexts(slices: int, span: int):
@@ -577,7 +577,7 @@ def _settle_contexts(slices: int, span: int):
         out.by_document(REPEAT, repeats_by_suffix(cols["h"], cols["rid"], cols["start"], cols["anchor"], cols["size"], body[moved], span))
         return out.table()
 
-    return settle
+    return tidy(settle)
 
 
 # --- documents -------------------------------------------------------------------
@@ -628,7 +628,7 @@ def _keep(span: int):
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return kept
+    return tidy(kept)
 
 
 def repeated_strings(docs: DataFrame, span: int = 100, contexts: int = CONTEXTS) -> DataFrame:
