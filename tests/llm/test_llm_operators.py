@@ -408,7 +408,7 @@ def test_filter_never_underestimates():
     keys = keys[keys % np.uint64(2) == 0]
     q = bloom_lm.Quantiser(1.5)
     counts = rng.integers(1, 5000, len(keys))
-    bloom = bloom_lm.LogBloom(2, 3, 12)
+    bloom = bloom_lm.LogBloom(2, 6, 12)
     field = bloom.build(keys, q.level(counts))
     start, bits = np.array([0, 0]), np.array([8 * len(field), 0])
     got = bloom.levels(keys, np.frombuffer(field, np.uint8), start, bits, 40)
