@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _BASE, chunks, dealt, mix, slices_of, text_or_empty, tidy, unzipped, word_hashes, written, zipped
+from ocellus.llm.common import _BASE, chunks, dealt, free, from_planes, mix, planes, slices_of, text_or_empty, tidy, unzipped, word_hashes, written, zipped
 
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
 FLUSH = 1_000_000  # tokens that a task holds before it deals its counts out
@@ -96,8 +96,18 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """56-bit hashes of neighbouring tokens: they travel in fewer bytes, and the filter errs more often than they collide."""
     with np.errstate(over="ignore"):
-        return mix(context * _BASE + token * np.uint64(0xE7037ED1A0B428DB))
+        return mix(context * _BASE + token * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(8)
+
+
+def _sorted_bytes(x: np.ndarray) -> np.ndarray:
+    """Ascending hashes as the planes of their differences."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _from_sorted(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(from_planes(raw, "<u8"), dtype=np.uint64)
 
 
 def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +132,7 @@ def _count(slices: int):
             for kind, keys in ((1, t), (2, pair(c, t))):
                 k, m = np.unique(keys, return_counts=True)
                 for s, part in dealt((k % np.uint64(slices)).astype(np.int64), slices):
-                    rows.append((s, kind, len(part), zipped(np.diff(k[part], prepend=np.uint64(0)), m[part].astype("<u4"))))
+                    rows.append((s, kind, len(part), zipped(_sorted_bytes(k[part]), planes(m[part].astype("<u4")))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["slice", "kind", "n", "grams"])
 
         for b in chunks(batches):
@@ -144,9 +154,11 @@ def _merge(bloom: LogBloom, base: float):
         got = {}
         kinds, sizes, blobs = (table.column(c).to_pylist() for c in ("kind", "n", "grams"))
         for kind in (1, 2):
-            parts = [unzipped(b, n, "<u8", "<u4") for k, n, b in zip(kinds, sizes, blobs) if k == kind]
+            parts = [unzipped(b, 12 * n, "<u1")[0] for k, n, b in zip(kinds, sizes, blobs) if k == kind]
             if parts:
-                got[kind] = _sum_by(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+                cut = [len(p) // 12 * 8 for p in parts]
+                keys, counts = (np.concatenate(x) for x in ([_from_sorted(p[:i]) for p, i in zip(parts, cut)], [from_planes(p[i:], "<u4") for p, i in zip(parts, cut)]))
+                got[kind] = _sum_by(keys, counts.astype(np.int64))
             else:
                 got[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         words, counts = got[1]
@@ -197,6 +209,7 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
     bloom = LogBloom(slices, probes, first)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), is_training.alias("trains"))
     model = corpus_counts(docs.filter("trains").select("text"), slices, bloom, order_base)
+    free(spark)
     total = model.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_words", "starts", "bytes")], F.max("top").alias("top")).first()
     n, v, starts, top = (total[c] or 0 for c in ("n_tokens", "n_words", "starts", "top"))
     whole = None
@@ -225,9 +238,9 @@ def _pairs(words: np.ndarray, token: np.ndarray, first: np.ndarray) -> tuple[np.
 
 
 def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by slice, and where each slice begins in it."""
+    """Order of keys by slice and value, and where each slice begins in it."""
     where = (keys % np.uint64(slices)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
+    order = np.lexsort((keys, where))
     return order, np.searchsorted(where[order], np.arange(slices + 1))
 
 
@@ -250,12 +263,12 @@ def _ask(bloom: LogBloom, whole, top: int, slices: int):
             rows = []
             for s in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0)).tolist():
                 w, p = words[word_order[word_cut[s] : word_cut[s + 1]]], keys[pair_order[pair_cut[s] : pair_cut[s + 1]]]
-                rows.append((s, piece, len(w), len(p), zipped(w, p), None))
+                rows.append((s, piece, len(w), len(p), zipped(_sorted_bytes(w), _sorted_bytes(p)), None))
             ids = b.column("doc_id")
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
             ids = ids.fill_null(0).to_numpy()
             sizes = np.array([len(ids), len(words), len(token), len(levels)], np.int64)
-            body = sizes.tobytes() + zipped(ids, known.astype(np.uint8), np.diff(offsets).astype("<i8"), words, token.astype("<u4"), np.frombuffer(levels, np.uint8))
+            body = sizes.tobytes() + zipped(ids, known.astype(np.uint8), np.diff(offsets).astype("<i8"), _sorted_bytes(words), planes(token.astype("<u4")), np.frombuffer(levels, np.uint8))
             rows.append((piece % slices, piece, 0, 0, None, body))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _SENT.replace(",", "").split()[::2])
             piece += 1
@@ -277,13 +290,13 @@ def _answer(bloom: LogBloom, top: int):
             if entries is None:
                 out.append(None)
                 continue
-            asked = unzipped(entries, n + m, "<u8")[0]
+            raw = unzipped(entries, 8 * (n + m), "<u1")[0]
+            asked, pairs = _from_sorted(raw[: 8 * n]), _from_sorted(raw[8 * n :])
             count = np.zeros(n, np.int64)
             if len(words):
-                at = np.minimum(np.searchsorted(words, asked[:n]), len(words) - 1)
-                count = np.where(words[at] == asked[:n], counts[at], 0)
-            levels = bloom.levels(asked[n:], field, start, bits, top)
-            out.append(zipped(count, levels))
+                at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+                count = np.where(words[at] == asked, counts[at], 0)
+            out.append(zipped(planes(count), bloom.levels(pairs, field, start, bits, top)))
         if not sent.num_rows:
             return pa.table([pa.array([], k) for k in _KINDS], names=_SENT.replace(",", "").split()[::2])
         return sent.set_column(4, "entries", pa.array(out, pa.binary()))
@@ -299,11 +312,11 @@ def _score(slices: int, probed: bool, value: np.ndarray, n: int, v: int, starts:
         body = next(r["body"] for r in rows if r["body"] is not None)
         n_docs, n_words, n_tokens, n_levels = np.frombuffer(body, np.int64, 4).tolist()
         raw, at, got = pa.decompress(body[32:], decompressed_size=17 * n_docs + 8 * n_words + 4 * n_tokens + n_levels, codec="zstd", asbytes=True), 0, []
-        for kind, size in (("<i8", n_docs), ("<u1", n_docs), ("<i8", n_docs), ("<u8", n_words), ("<u4", n_tokens), ("<u1", n_levels)):
+        for kind, size in (("<i8", n_docs), ("<u1", n_docs), ("<i8", n_docs), ("<u1", 8 * n_words), ("<u1", 4 * n_tokens), ("<u1", n_levels)):
             got.append(np.frombuffer(raw, kind, size, at))
             at += got[-1].nbytes
         ids, known_id, size, words, token, levels = got
-        token = token.astype(np.int64)
+        words, token = _from_sorted(words), from_planes(token, "<u4").astype(np.int64)
         first = np.cumsum(size) - size
         keys, before, last, back = _pairs(words, token, first)
         word_order, word_cut = _by_slice(words, slices)
@@ -315,7 +328,7 @@ def _score(slices: int, probed: bool, value: np.ndarray, n: int, v: int, starts:
                 continue
             raw = pa.decompress(r["entries"], decompressed_size=8 * r["n_words"] + r["n_pairs"], codec="zstd", asbytes=True)
             s = r["slice"]
-            count[word_order[word_cut[s] : word_cut[s + 1]]] = np.frombuffer(raw, "<i8", r["n_words"])
+            count[word_order[word_cut[s] : word_cut[s + 1]]] = from_planes(np.frombuffer(raw, "<u1", 8 * r["n_words"]), "<i8")
             if not probed:
                 found[pair_order[pair_cut[s] : pair_cut[s + 1]]] = np.frombuffer(raw, "<u1", r["n_pairs"], 8 * r["n_words"])
         count[n_words] = starts  # as many texts begin as end

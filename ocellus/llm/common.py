@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import time
 import types
@@ -63,14 +64,22 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.scratch_path)
         if t.scratch_path in _MADE:
             _MADE.remove(t.scratch_path)
-    if tables:  # shuffle files of finished plans go when the driver collects what refers to them
-        tables[0].sparkSession._jvm.System.gc()
+    if tables:
+        free(tables[0].sparkSession)
+
+
+def free(spark: SparkSession) -> None:
+    """Let shuffle files of finished plans go: they stay until the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_all(spark: SparkSession) -> None:
     """Delete all written tables: for a driver that has stored its last result elsewhere."""
     while _MADE:
         _delete(spark, _MADE.pop())
+    free(spark)
+    release()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,6 +110,16 @@ def unzipped(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of integers, all first bytes first: the high bytes of small ones then compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).reshape(-1)
+
+
+def from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def dealt(where: np.ndarray, slices: int):
     """(slice, the places of its entries in order) of the slices that ``where`` names."""
     order = np.argsort(where, kind="stable")
@@ -109,10 +128,10 @@ def dealt(where: np.ndarray, slices: int):
         yield int(k), order[cut[k] : cut[k + 1]]
 
 
-_TRIMMED = [0.0]
+_TRIMMED = [-1.0]
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system, once a second at most: workers live on from stage to stage."""
     if time.monotonic() - _TRIMMED[0] < 1:
         return
@@ -131,21 +150,21 @@ def tidy(function):
         out = function(group)
         if isinstance(out, types.GeneratorType):
             return drained(out)
-        _release()
+        release()
         return out
 
     def run_both(left, right):
         out = function(left, right)
-        _release()
+        release()
         return out
 
     def drained(batches):
         try:
             for b in batches:
                 yield b
-                _release()
+                release()
         finally:
-            _release()
+            release()
 
     return run_both if function.__code__.co_argcount == 2 else run
 

@@ -31,7 +31,7 @@ from ocellus.llm.common import drop, slices_of, tidy, written
 BROADCAST_IDS = 1_000_000
 PROBE, BUILD = 1024, 4096
 #: Hubs that a list gets before its members are compared in blocks.
-ROUNDS = 4
+ROUNDS = 3
 #: In place of a null id, after all others.
 NO_ID = (1 << 63) - 1
 FLUSH = 2_000_000  # keys that a task holds before it deals them out

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import _SPACE, arrow_bytes, chunks, mix, text_or_empty, tidy, word_hashes
+from ocellus.llm.common import _SPACE, arrow_bytes, chunks, mix, release, text_or_empty, tidy, word_hashes
 
 #: Byte classes of the passage encoder: each ASCII punctuation mark alone, then groups.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -179,7 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_docs: int = 6000, max_
         return model
     x = [np.frombuffer(r, np.float32).reshape(-1, FEATURES) for r in got.x]
     at = np.concatenate(([0], np.cumsum([len(r) for r in x])))
-    return model.fit(np.concatenate(x).astype(np.float64), at, got.label.to_numpy(np.float64))
+    label = got.label.to_numpy(np.float64)
+    whole = np.concatenate(x).astype(np.float64)
+    del got, x
+    model.fit(whole, at, label)
+    del whole
+    release()
+    return model
 
 
 def score(df: DataFrame, model: GatedAttention, id_col: str = "doc_id", text_col: str = "text", width: int = 48) -> DataFrame:
