@@ -220,9 +220,11 @@ def score_texts(df: DataFrame, is_training, order_base: float = 1.5, probes: int
             at += len(r["field"])
             fields.append(r["field"])
         whole = spark.sparkContext.broadcast((b"".join(fields), start, bits))
-    sent = docs.select("doc_id", "text").mapInArrow(_ask(bloom, whole, top, slices), _SENT)
+    texts = docs.select("doc_id", "text")
+    sent = texts.mapInArrow(_ask(slices, whole is None), _SENT)
     answers = sent.groupBy("slice").cogroup(model.select("slice", "n_words", "words", "field").groupBy("slice")).applyInArrow(_answer(bloom, top), _SENT)
-    scored = answers.groupBy("piece").applyInArrow(_score(slices, whole is not None, Quantiser(order_base).value, n, v, starts, prior), _PART)
+    # the texts are read once more for the pieces, which so travel once only
+    scored = answers.unionByName(texts.mapInArrow(_bodies(bloom, whole, top), _SENT)).groupBy("piece").applyInArrow(_score(slices, whole is not None, Quantiser(order_base).value, n, v, starts, prior), _PART)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -244,36 +246,53 @@ def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(where[order], np.arange(slices + 1))
 
 
-def _ask(bloom: LogBloom, whole, top: int, slices: int):
-    """Of each piece: its distinct words (and, without a whole filter at hand, pairs) by slice, and the piece in a row of its own."""
+def _pieces(batches):
+    """(piece, batch, its distinct words, the word and the text's begin of each token) of stretches of texts, numbered by place and content."""
+    place = TaskContext.get().partitionId() << 32
+    for b in chunks(batches, limit=4 << 20):
+        t, _, offsets = tokens(b.column("text"))
+        words, token = np.unique(t, return_inverse=True)
+        with np.errstate(over="ignore"):
+            piece = mix(np.array([place], np.uint64) + mix(t + np.arange(len(t), dtype=np.uint64)).sum(dtype=np.uint64)).view(np.int64)[0]
+        yield int(piece), b, words, token, offsets
+        place += 1
+
+
+def _ask(slices: int, pairs: bool):
+    """Of each piece, by slice: its distinct words and (if no whole filter is at hand) pairs."""
 
     def asked(batches):
-        piece = TaskContext.get().partitionId() << 32
-        for b in chunks(batches, limit=4 << 20):
-            t, _, offsets = tokens(b.column("text"))
-            words, token = np.unique(t, return_inverse=True)
-            keys, *_ = _pairs(words, token, offsets[:-1])
-            levels = b""
-            if whole is not None:
-                blob, start, bits = whole.value
-                levels = bloom.levels(keys, np.frombuffer(blob, np.uint8), start, bits, top).tobytes()
-                keys = keys[:0]
+        for piece, _, words, token, offsets in _pieces(batches):
+            keys = _pairs(words, token, offsets[:-1])[0] if pairs else np.zeros(0, np.uint64)
             word_order, word_cut = _by_slice(words, slices)
             pair_order, pair_cut = _by_slice(keys, slices)
             rows = []
             for s in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0)).tolist():
                 w, p = words[word_order[word_cut[s] : word_cut[s + 1]]], keys[pair_order[pair_cut[s] : pair_cut[s + 1]]]
                 rows.append((s, piece, len(w), len(p), zipped(_sorted_bytes(w), _sorted_bytes(p)), None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _SENT.replace(",", "").split()[::2])
+
+    return tidy(asked)
+
+
+def _bodies(bloom: LogBloom, whole, top: int):
+    """The pieces themselves: ids, lengths, words and tokens, and the levels of their pairs in a whole filter."""
+
+    def packed(batches):
+        for piece, b, words, token, offsets in _pieces(batches):
+            levels = b""
+            if whole is not None:
+                blob, start, bits = whole.value
+                levels = bloom.levels(_pairs(words, token, offsets[:-1])[0], np.frombuffer(blob, np.uint8), start, bits, top).tobytes()
             ids = b.column("doc_id")
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False))
             ids = ids.fill_null(0).to_numpy()
             sizes = np.array([len(ids), len(words), len(token), len(levels)], np.int64)
             body = sizes.tobytes() + zipped(ids, known.astype(np.uint8), np.diff(offsets).astype("<i8"), _sorted_bytes(words), planes(token.astype("<u4")), np.frombuffer(levels, np.uint8))
-            rows.append((piece % slices, piece, 0, 0, None, body))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _SENT.replace(",", "").split()[::2])
-            piece += 1
+            row = (-1, piece, 0, 0, None, body)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS)], _SENT.replace(",", "").split()[::2])
 
-    return tidy(asked)
+    return tidy(packed)
 
 
 def _answer(bloom: LogBloom, top: int):
@@ -287,9 +306,6 @@ def _answer(bloom: LogBloom, top: int):
         start, bits = np.zeros(bloom.slices, np.int64), np.full(bloom.slices, 8 * len(field), np.int64)
         out = []
         for n, m, entries in zip(sent.column("n_words").to_pylist(), sent.column("n_pairs").to_pylist(), sent.column("entries").to_pylist()):
-            if entries is None:
-                out.append(None)
-                continue
             raw = unzipped(entries, 8 * (n + m), "<u1")[0]
             asked, pairs = _from_sorted(raw[: 8 * n]), _from_sorted(raw[8 * n :])
             count = np.zeros(n, np.int64)

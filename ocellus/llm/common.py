@@ -87,12 +87,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices_of(df: DataFrame, each: int = 64 << 20) -> int:
-    """Into how many slices hashes of ``df``'s texts are dealt: one per ``each`` bytes of input, the shuffle partitions at least.
+    """Into how many slices hashes of ``df``'s texts are dealt: one per ``each`` bytes of input, but as many as shuffle partitions, and 48, at least.
 
     The size is Catalyst's estimate (that of the files), so nothing is read; where it knows none, the shuffle partitions decide.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), size // each + 1 if size < 1 << 58 else 1)
+    return max(partitions(df.sparkSession), 48, size // each + 1 if size < 1 << 58 else 1)
 
 
 def zipped(*arrays: np.ndarray) -> bytes:
