@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,15 +246,19 @@ def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batches):
-    """(piece, batch, its distinct words, the word and the text's begin of each token) of stretches of texts, numbered by place and content."""
-    place = TaskContext.get().partitionId() << 32
+    """(piece, batch, its distinct words, the word of each token, offsets of texts) of stretches of texts.
+
+    A piece's number is a hash of its ids and tokens: whichever task reads it gives
+    it the same one, and pieces of one number are alike.
+    """
     for b in chunks(batches, limit=4 << 20):
         t, _, offsets = tokens(b.column("text"))
         words, token = np.unique(t, return_inverse=True)
         with np.errstate(over="ignore"):
-            piece = mix(np.array([place], np.uint64) + mix(t + np.arange(len(t), dtype=np.uint64)).sum(dtype=np.uint64)).view(np.int64)[0]
-        yield int(piece), b, words, token, offsets
-        place += 1
+            places = mix(np.arange(max(len(t), len(offsets)), dtype=np.uint64))
+            ids = b.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
+            piece = mix(t ^ places[: len(t)]).sum(dtype=np.uint64) + mix(mix(ids) ^ places[: len(ids)] ^ offsets[1:].astype(np.uint64)).sum(dtype=np.uint64)
+        yield int(np.array([piece], np.uint64).view(np.int64)[0]), b, words, token, offsets
 
 
 def _ask(slices: int, pairs: bool):
@@ -325,7 +328,12 @@ def _score(slices: int, probed: bool, value: np.ndarray, n: int, v: int, starts:
 
     def scored(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        body = next(r["body"] for r in rows if r["body"] is not None)
+        bodies = [r["body"] for r in rows if r["body"] is not None]
+        if not bodies:
+            raise RuntimeError("the input gave other rows when it was read again")
+        return pa.concat_tables([documents(rows, body) for body in bodies])
+
+    def documents(rows: list[dict], body: bytes) -> pa.Table:
         n_docs, n_words, n_tokens, n_levels = np.frombuffer(body, np.int64, 4).tolist()
         raw, at, got = pa.decompress(body[32:], decompressed_size=17 * n_docs + 8 * n_words + 4 * n_tokens + n_levels, codec="zstd", asbytes=True), 0, []
         for kind, size in (("<i8", n_docs), ("<u1", n_docs), ("<i8", n_docs), ("<u1", 8 * n_words), ("<u1", 4 * n_tokens), ("<u1", n_levels)):
