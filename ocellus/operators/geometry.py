@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocellus.functions.scalars import ring_area
+from ocellus.operators.spatial import box_join
+
 
 def polygon_spans(rings: DataFrame, key: str) -> DataFrame:
     """(key, row, c0, c1): pixels whose centre lies in the ring by the even-odd rule.
@@ -23,6 +26,43 @@ def polygon_spans(rings: DataFrame, key: str) -> DataFrame:
     return spans.select(key, "row", F.ceil(F.col("x") - 0.5).alias("c0"), F.ceil(F.col("to") - 0.5).alias("c1")).filter("c0 < c1")
 
 
+def self_touching(rings: DataFrame, key: str, near: float = 1e-9) -> DataFrame:
+    """(key) of rings(key, ring) with a repeated vertex, or with two edges that are not neighbours and share a point.
+
+    Edges meet by the grid cells of their boxes, so a ring of n edges costs their
+    cells and not n squared. Two edges that are not parallel are solved for the
+    place where their lines cross, as a share of either edge; of two on one line
+    the second's ends are measured along the first.
+    """
+    repeated = rings.filter(F.size(F.array_distinct("ring")) < F.size("ring")).select(key)
+    here, there = F.col("a"), F.get("ring", (F.col("i") + 1) % F.size("ring"))
+    edges = rings.select(key, F.size("ring").alias("n"), "ring", F.posexplode("ring").alias("i", "a")).select(
+        key, "n", "i", F.col("a.x").alias("px"), F.col("a.y").alias("py"), (there["x"] - here["x"]).alias("dx"), (there["y"] - here["y"]).alias("dy")
+    )
+    low = lambda p, d: F.floor(F.least(F.col(p), F.col(p) + F.col(d)) - near)
+    high = lambda p, d: F.floor(F.greatest(F.col(p), F.col(p) + F.col(d)) + near) + 1
+    boxed = edges.withColumns({"x1": low("px", "dx"), "x2": high("px", "dx"), "y1": low("py", "dy"), "y2": high("py", "dy")})
+    pairs = box_join(boxed, boxed, on=key).filter("r.i > l.i + 1 and not (l.i = 0 and r.i = l.n - 1)")
+    c = lambda n: F.col(n)
+    wx, wy = c("r.px") - c("l.px"), c("r.py") - c("l.py")
+    turn = c("l.dx") * c("r.dy") - c("l.dy") * c("r.dx")
+    offset = wx * c("l.dy") - wy * c("l.dx")
+    along = lambda x, y: (x * c("l.dx") + y * c("l.dy")) / (c("l.dx") * c("l.dx") + c("l.dy") * c("l.dy"))
+    first, last = along(wx, wy), along(wx + c("r.dx"), wy + c("r.dy"))
+    share = lambda v: v.between(-near, 1 + near)
+    crossing = share((wx * c("r.dy") - wy * c("r.dx")) / turn) & share(offset / turn)
+    on_line = (F.abs(offset) <= near) & (F.least(first, last) <= 1 + near) & (F.greatest(first, last) >= -near)
+    meet = F.when(F.abs(turn) > near, crossing).otherwise(on_line)
+    return repeated.union(pairs.filter(meet).select(F.col(f"l.{key}"))).distinct()
+
+
+def valid_rings(rings: DataFrame, key: str, least_area: float = 1e-6) -> DataFrame:
+    """The rings that are finite, have three vertices or more and an area, and do not touch themselves."""
+    finite = F.forall("ring", lambda v: ~F.isnan(v["x"]) & ~F.isnan(v["y"]) & (F.abs(v["x"]) < float("inf")) & (F.abs(v["y"]) < float("inf")))
+    sound = rings.filter(finite & (F.size(F.array_distinct("ring")) >= 3) & (ring_area(F.col("ring")) > least_area))
+    return sound.join(self_touching(sound, key), key, "left_anti")
+
+
 def feature_json(cells: DataFrame, ident: str = "det_id", name: str = "Cell", color: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:
     """(ident, feature): a GeoJSON feature per box-shaped cell, with a closed ring and flat properties."""
     p = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))

@@ -90,15 +90,8 @@ def first_occurrence(t):
     return t.batch_log.groupBy("image_id").agg(F.min_by(F.struct("seq", "status"), "seq").alias("r")).select("image_id", "r.seq", "r.status")
 
 
-@query("exclusion_sets", "SELECT image_id FROM {batch_log} WHERE status = 'failed' UNION SELECT image_id FROM {batch_log} WHERE error_message <> '' UNION SELECT image_id FROM {batch_log} WHERE status = 'completed' AND image_id % 2 = 0")
+@query("exclusion_sets", "SELECT image_id FROM {batch_log} WHERE status = 'failed' UNION SELECT image_id FROM {batch_log} WHERE error_message <> '' UNION SELECT image_id FROM {batch_log} WHERE status = 'completed'")
 def exclusion_sets(t):
-    log = t.batch_log
-    pick = lambda c: log.filter(c).select("image_id")
-    return pick("status = 'failed'").union(pick("error_message <> ''")).union(pick("status = 'completed' AND image_id % 2 = 0")).distinct()
-
-
-@query("exclusion_sets_all", "SELECT image_id FROM {batch_log} WHERE status = 'failed' UNION SELECT image_id FROM {batch_log} WHERE error_message <> '' UNION SELECT image_id FROM {batch_log} WHERE status = 'completed'")
-def exclusion_sets_all(t):
     log = t.batch_log
     pick = lambda c: log.filter(c).select("image_id")
     return pick("status = 'failed'").union(pick("error_message <> ''")).union(pick("status = 'completed'")).distinct()

@@ -170,13 +170,8 @@ def distinct_labels(t):
     return t.window_detections.groupBy("slide_id").agg(F.countDistinct("det_id").alias("labels"))
 
 
-@query("union_distinct_labels", "SELECT det_id FROM {detections} WHERE slide_id < 50 UNION SELECT det_id FROM {window_detections} WHERE win_x = 0")
+@query("union_distinct_labels", "SELECT det_id FROM {detections} UNION SELECT det_id FROM {window_detections}")
 def union_distinct_labels(t):
-    return t.detections.filter("slide_id < 50").select("det_id").union(t.window_detections.filter("win_x = 0").select("det_id")).distinct()
-
-
-@query("union_all_labels", "SELECT det_id FROM {detections} UNION SELECT det_id FROM {window_detections}")
-def union_all_labels(t):
     return t.detections.select("det_id").union(t.window_detections.select("det_id")).distinct()
 
 

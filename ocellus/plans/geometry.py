@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ocellus.functions import scalars as S
-from ocellus.operators.geometry import feature_json, polygon_spans
+from ocellus.operators.geometry import feature_json, polygon_spans, self_touching, valid_rings
 from ocellus.plans.registry import query
 
 # A quadrilateral per tissue box; every fifth has two corners exchanged and so crosses itself
@@ -27,12 +27,14 @@ def ring_area(t):
 
 @query("ring_self_touch", f"WITH {_RING} SELECT tissue_id, bow AS touches FROM r")
 def ring_self_touch(t):
-    return _rings(t).select("tissue_id", S.ring_touches_itself(F.col("ring")).alias("touches"))
+    rings = _rings(t).select("tissue_id", "ring")
+    found = self_touching(rings, "tissue_id").withColumn("touches", F.lit(True))
+    return rings.join(found, "tissue_id", "left").select("tissue_id", F.coalesce("touches", F.lit(False)).alias("touches"))
 
 
 @query("ring_valid", f"WITH {_RING} SELECT tissue_id FROM r WHERE NOT bow")
 def ring_valid(t):
-    return _rings(t).filter(S.ring_is_valid(F.col("ring"))).select("tissue_id")
+    return valid_rings(_rings(t).select("tissue_id", "ring"), "tissue_id").select("tissue_id")
 
 
 @query("ring_edges", f"""WITH {_RING}, v AS (SELECT tissue_id, CASE WHEN bow THEN [x1 + k, x2 - k, x2, x1] ELSE [x1 + k, x2, x2 - k, x1] END AS xs FROM r), e AS (SELECT tissue_id, i.i, xs FROM v, (SELECT unnest([0, 1, 2, 3]) AS i) i)

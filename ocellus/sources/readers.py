@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Extensions of slide images
-IMAGE_EXTENSIONS = (".svs", ".ndpi", ".tif", ".tiff", ".png", ".jpg", ".jpeg", ".bmp", ".scn", ".mrxs", ".vms", ".vmu", ".bif", ".svslide")
+IMAGE_EXTENSIONS = (".svs", ".ndpi", ".tiff", ".tif", ".vms", ".vmu", ".scn", ".mrxs", ".svslide", ".bif", ".czi", ".png", ".jpg", ".jpeg")
 
 CELL_SCHEMA = """cell_id LONG, area_px LONG, area_um2 DOUBLE, cx DOUBLE, cy DOUBLE, grid LONG, mpp DOUBLE,
     closest_tumor LONG, distance_um DOUBLE, distance_bin STRING"""

@@ -168,9 +168,36 @@ def test_geojson_gate_and_form(spark, tmp_path):
 
 
 def test_image_listing(spark, tmp_path):
-    for n in ("b.SVS", "a.tif", "c.txt"):
+    known = ["svs", "ndpi", "tiff", "tif", "vms", "vmu", "scn", "mrxs", "svslide", "bif", "czi", "png", "jpg", "jpeg"]
+    for n in (*(f"a.{x}" for x in known), "b.SVS", "c.txt", "d.bmp", "svs"):
         (tmp_path / n).write_bytes(b"xx")
-    assert [r.path.rsplit("/", 1)[-1] for r in R.list_images(spark, str(tmp_path)).collect()] == ["a.tif", "b.SVS"]
+    assert [r.path.rsplit("/", 1)[-1] for r in R.list_images(spark, str(tmp_path)).collect()] == sorted([*(f"a.{x}" for x in known), "b.SVS"])
+
+
+def test_rings_that_touch_themselves(spark):
+    from ocellus.operators.geometry import self_touching, valid_rings
+
+    square, nan = [(0, 0), (4, 0), (4, 4), (0, 4)], float("nan")
+    rings = {
+        1: (square, False), 2: ([(0, 0), (4, 4), (4, 0), (0, 4)], True), 3: ([(0, 0), (4, 0), (4, 4), (4, 0), (0, 4)], True),
+        4: ([(0, 0), (6, 0), (6, 3), (3, 0), (0, 3)], True), 5: ([(0, 0), (6, 0), (6, 3), (5, 3), (2, 0), (1, 0), (0, 2)], True),
+        6: ([(0, 0), (1000, 0), (1000, 900), (500, 1), (0, 900)], False), 7: ([(0, 0), (1, 0), (2, 0)], False), 8: ([(0, 0), (nan, 0), (2, 2)], False),
+        9: ([(-700, -300), (-10, -300), (-10, 500), (-300, -290), (-700, 500)], False), 10: ([(0, 0), (1, 1)], False),
+    }
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, (r, _) in rings.items()], "id long, ring array<struct<x:double,y:double>>")
+    sound = df.filter("id <> 8")
+    assert {r.id for r in self_touching(sound, "id").collect()} == {k for k, (_, touches) in rings.items() if touches}
+    assert sorted(r.id for r in valid_rings(df, "id").collect()) == [1, 6, 9]
+
+
+def test_progress_lines_of_all_formats(spark):
+    from ocellus.functions.scalars import progress_of
+
+    lines = ["\x1b[1;32mprocessing image  3 / 17: a b.svs\x1b[0m", "Found 12 images to process", "Successfully processed: 4/5 images", "Processing 7 remaining images out of 9 total",
+             "GPU_PROBE_STAGE: CUDA_init", "x GPU_RUNTIME_STAGE: done_2", "nothing of this"]
+    got = [tuple(r.p) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(progress_of(F.col("line")).alias("p")).collect()]
+    none = (None,) * 7
+    assert got == [(3, 17, "a b.svs", *none[3:]), (*none[:3], 12, None, None, None), (*none[:4], 4, None, None), (*none[:5], 7, None), (*none[:6], "CUDA_init"), (*none[:6], "done_2"), none]
 
 
 def test_batch_states_skip_corrupt(spark, tmp_path):
@@ -234,7 +261,7 @@ def test_retries_function_is_registered(spark, tmp_path):
 def test_all_labels_are_united(spark):
     d = spark.createDataFrame([(1, 1), (60, 2)], "slide_id long, det_id long")
     w = spark.createDataFrame([(1, 1, 0), (60, 2, 500), (70, 3, 500)], "slide_id long, det_id long, win_x long")
-    assert sorted(r.det_id for r in QUERY_CELLS.union_all_labels(SimpleNamespace(detections=d, window_detections=w)).collect()) == [1, 2, 3]
+    assert sorted(r.det_id for r in QUERY_CELLS.union_distinct_labels(SimpleNamespace(detections=d, window_detections=w)).collect()) == [1, 2, 3]
 
 
 def test_whole_tissue_guides_and_slides_without_fall_back(spark):
@@ -246,4 +273,4 @@ def test_whole_tissue_guides_and_slides_without_fall_back(spark):
 
 def test_all_completed_images_are_excluded(spark):
     log = spark.createDataFrame([(1, "completed", ""), (2, "completed", ""), (3, "pending", ""), (4, "failed", "x")], "image_id long, status string, error_message string")
-    assert sorted(r.image_id for r in batch.exclusion_sets_all(SimpleNamespace(batch_log=log)).collect()) == [1, 2, 4]
+    assert sorted(r.image_id for r in batch.exclusion_sets(SimpleNamespace(batch_log=log)).collect()) == [1, 2, 4]
