@@ -75,6 +75,20 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_quality, op4_secret_scan, op5_mix_sources, op6_lm_scores, op7_exact_dedup, op8_fingerprints, op9_pack, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS grams FROM w),
+        c AS (SELECT doc_id, len(grams) AS n, CASE WHEN len(grams) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY grams) END AS class_id FROM s),
+        g AS (SELECT doc_id, n, unnest(grams) AS gram FROM s JOIN c USING (doc_id) WHERE c.class_id = doc_id),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT class_id AS id, class_id AS reached FROM c WHERE class_id = doc_id UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a),
+        m AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+        SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, m.component_id, c.class_id FROM c JOIN m ON c.class_id = m.id""",
+    "op2_license_scan": licenses.scan_sql(licenses.KNOWN),
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
