@@ -17,12 +17,12 @@ SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one added token
 _CUT = re.compile(r" (?=\S)")
 
 
-def token_encoder(ranks_file: str, pattern: str, special_id: int, cache_size: int = 250_000):
+def token_encoder(ranks_file: str, pattern: str, special_id: int, stretch: int = 1 << 20):
     """text -> its ids as little-endian uint32 bytes, equal to the byte-level BPE of the ranks file.
 
     A boundary of the pre-tokenizer always lies before a space that a visible
-    character follows, so pieces cut there encode alone to the same ids. Pieces
-    repeat, so their ids come from a bounded cache.
+    character follows, so a text of more than ``stretch`` characters is cut there
+    and its parts are encoded one by one.
     """
     import base64
 
@@ -31,31 +31,15 @@ def token_encoder(ranks_file: str, pattern: str, special_id: int, cache_size: in
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    class Cache(dict):
-        def __missing__(self, piece):
-            if len(self) >= cache_size:
-                self.clear()
-            self[piece] = ids = np.array(encode(piece), dtype="<u4").tobytes()
-            return ids
-
-    first, later = Cache(), Cache()  # later pieces had a space before them
-    later_encode = encode
-
-    class Later(Cache):
-        def __missing__(self, piece):
-            if len(self) >= cache_size:
-                self.clear()
-            self[piece] = ids = np.array(later_encode(" " + piece), dtype="<u4").tobytes()
-            return ids
-
-    later = Later()
-    cut = _CUT.split
     mark = np.array([special_id], dtype="<u4").tobytes()
 
     def plain(text: str) -> bytes:
-        head, *rest = cut(text)
-        return first[head] + b"".join(map(later.__getitem__, rest)) if len(head) < 200 else np.array(encode(head), dtype="<u4").tobytes() + b"".join(map(later.__getitem__, rest))
+        parts, at = [], 0
+        while len(text) - at > stretch and (cut := _CUT.search(text, at + stretch)):
+            parts.append(text[at : cut.start()])
+            at = cut.start()
+        parts.append(text[at:] if at else text)
+        return b"".join(np.array(encode(x), dtype="<u4").tobytes() for x in parts)
 
     def encoded(text: str) -> bytes:
         if SPECIAL not in text:

@@ -218,7 +218,7 @@ def test_packing(docs, rows, nothing):
 
 def test_encoder_equals_tokenizer():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.token_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, cache_size=50)
+    encode = packing.token_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, stretch=7)
     rng = random.Random(2)
     alphabet = ["a", "B", "é", "1", " ", "  ", "\n", "\t", "'s", "'", ".", " ", "　", "漢", "\x1c", "\x85", "<|endoftext|>", "😀", "\r\n"]
     for _ in range(1500):
