@@ -267,7 +267,7 @@ def test_all_labels_are_united(spark):
 def test_whole_tissue_guides_and_slides_without_fall_back(spark):
     slides = spark.createDataFrame([(1, 2000, 2000), (2, 2000, 2000)], "slide_id long, width long, height long")
     tissue = spark.createDataFrame([(1, 7, 0, 0, 50, 50)], "slide_id long, tissue_id long, x1 long, y1 long, x2 long, y2 long")
-    got = [(r.slide_id, r.x1, r.y1) for r in guidance.windows_or_all_tissue(SimpleNamespace(slides=slides, tissue=tissue)).collect()]
+    got = [(r.slide_id, r.x1, r.y1) for r in guidance.windows_or_all(SimpleNamespace(slides=slides, tissue=tissue)).collect()]
     assert [g for g in got if g[0] == 1] == [(1, 0, 0)] and sum(g[0] == 2 for g in got) == 25
 
 
