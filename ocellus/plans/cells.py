@@ -268,6 +268,24 @@ def downsampled_mask(t):
     return t.tissue.withColumn("px", across("x1", "x2")).withColumn("py", across("y1", "y2")).select("slide_id", "px", "py").distinct()
 
 
+@query("upsampled_mask", """
+    WITH m AS (SELECT DISTINCT slide_id, p.v AS px, q.v AS py FROM {tissue} t, (SELECT unnest(range(0, 12)) AS v) p, (SELECT unnest(range(0, 12)) AS v) q WHERE p.v * 2000 // 12 >= x1 AND p.v * 2000 // 12 < x2 AND q.v * 2000 // 12 >= y1 AND q.v * 2000 // 12 < y2)
+    SELECT slide_id, CAST(ceil(px * 2000 / 12.0) AS BIGINT) AS x1, CAST(ceil((px + 1) * 2000 / 12.0) AS BIGINT) AS x2, CAST(ceil(py * 2000 / 12.0) AS BIGINT) AS y1, CAST(ceil((py + 1) * 2000 / 12.0) AS BIGINT) AS y2 FROM m""")
+def upsampled_mask(t):
+    """Nearest-neighbour enlargement to full size: a mask pixel becomes the box of the pixels that take their value from it."""
+    n = 2000 // 160
+    edge = lambda c, more: F.ceil((F.col(c) + more) * 2000 / n).cast("long")
+    return downsampled_mask(t).select("slide_id", edge("px", 0).alias("x1"), edge("px", 1).alias("x2"), edge("py", 0).alias("y1"), edge("py", 1).alias("y2"))
+
+
+@query("background_dropped", """
+    SELECT slide_id, count(DISTINCT label) AS labels FROM (SELECT slide_id, CASE WHEN score > 0.95 THEN det_id + 1 ELSE 0 END AS label FROM {detections}) q WHERE label <> 0 GROUP BY slide_id""")
+def background_dropped(t):
+    """Labels of which the invalid ones have become background, 0, without it."""
+    label = F.when(F.col("score") > 0.95, F.col("det_id") + 1).otherwise(0)
+    return t.detections.select("slide_id", label.alias("label")).filter("label <> 0").groupBy("slide_id").agg(F.countDistinct("label").alias("labels"))
+
+
 @query("group_boundaries", "SELECT slide_id, CAST(count(*) FILTER (prev IS NULL OR prev <> score) AS BIGINT) AS groups FROM (SELECT slide_id, score, lag(score) OVER (PARTITION BY slide_id ORDER BY score, det_id) AS prev FROM {detections}) q GROUP BY slide_id")
 def group_boundaries(t):
     prev = F.lag("score").over(Window.partitionBy("slide_id").orderBy("score", "det_id"))

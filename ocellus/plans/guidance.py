@@ -62,6 +62,12 @@ def windows_off_tissue(t):
     return W.on_regions(_windows(t), t.tissue, "left_anti")
 
 
+@query("occupied_windows", "SELECT w.* FROM " + _WIN + " w WHERE EXISTS (SELECT 1 FROM {detections} t WHERE t.slide_id = w.slide_id AND w.x1 < t.x2 AND t.x1 < w.x2 AND w.y1 < t.y2 AND t.y1 < w.y2)")
+def occupied_windows(t):
+    """Windows without any instance are skipped."""
+    return W.on_regions(_windows(t), t.detections)
+
+
 @query("windows_or_all", """
     WITH k AS (SELECT w.* FROM """ + _WIN + """ w WHERE EXISTS (SELECT 1 FROM {tissue} t WHERE t.slide_id = w.slide_id AND w.x1 < t.x2 AND t.x1 < w.x2 AND w.y1 < t.y2 AND t.y1 < w.y2))
     SELECT * FROM k UNION ALL SELECT w.* FROM """ + _WIN + """ w WHERE w.slide_id NOT IN (SELECT slide_id FROM k)""")
