@@ -24,3 +24,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_root(df.sparkSession)}/ocellus-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder stands at ``path``, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

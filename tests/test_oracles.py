@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ocellus.plans import basics, batch, cells, geometry, guidance, statistics, streams, tables, tumours  # noqa: F401
+from ocellus.plans import basics, batch, cells, geometry, guidance, records, statistics, streams, tables, tumours  # noqa: F401
 from ocellus.plans.registry import ORACLES, QUERIES
 from ocellus.sources.adapters import BASE
 
