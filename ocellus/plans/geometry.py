@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ocellus.functions import scalars as S
+from ocellus.operators import cells as C
 from ocellus.operators.geometry import feature_json, polygon_spans, self_touching, valid_rings
+from ocellus.operators.outlines import outline_features, outline_parts
 from ocellus.plans.registry import query
 
 # A quadrilateral per tissue box; every fifth has two corners exchanged and so crosses itself
@@ -83,3 +85,24 @@ def roi_from_json(t):
     text = F.to_json(F.struct(F.array(F.transform("ring", lambda v: F.array(v["x"], v["y"]))).alias("polygons_full_res")))
     back = F.from_json(text, "polygons_full_res array<array<array<double>>>")
     return _rings(t).select("tissue_id", back.alias("p")).select("tissue_id", F.size("p.polygons_full_res").cast("long").alias("polygons"), F.size(F.col("p.polygons_full_res")[0]).cast("long").alias("points"))
+
+
+@query("outline_boxes", """SELECT slide_id, det_id, CAST(1 AS BIGINT) AS part_count, CAST(5 AS BIGINT) AS ring_points, CAST((x2 - x1 - 1) * (y2 - y1 - 1) AS DOUBLE) AS exported_area,
+    CAST(x1 AS DOUBLE) AS min_x, CAST(x2 - 1 AS DOUBLE) AS max_x, CAST(y1 AS DOUBLE) AS min_y, CAST(y2 - 1 AS DOUBLE) AS max_y, false AS mismatch FROM {detections}""")
+def outline_boxes(t):
+    """Outlines traced from the pixels of every detection, read back from their features: a box is traced through its corner pixels' centres."""
+    cells = t.detections.select("slide_id", "det_id", "area_px", ((F.col("x1") + F.col("x2") - 1) / 2).alias("cx"), ((F.col("y1") + F.col("y2") - 1) / 2).alias("cy"))
+    f = outline_features(cells, outline_parts(C.box_rows(t.detections).select("slide_id", "det_id", "row", "c0", "c1"), t.slides))
+    ring = F.from_json("feature", "geometry struct<coordinates:array<array<array<double>>>>")["geometry"]["coordinates"][0]
+    f = f.withColumn("r", ring)
+    xs, ys = F.transform("r", lambda p: p[0]), F.transform("r", lambda p: p[1])
+    return f.select("slide_id", "det_id", "part_count", F.size("r").cast("long").alias("ring_points"), "exported_area", F.array_min(xs).alias("min_x"), F.array_max(xs).alias("max_x"), F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"), "mismatch")
+
+
+@query("outline_painted")
+def outline_painted(t):
+    """Outlines of the painted mask of every slide, of which SQL cannot express the tracing."""
+    order = [F.col("score").desc(), F.col("det_id")]
+    runs = C.visible_runs(C.box_rows(t.detections.select("slide_id", "det_id", "score", "x1", "y1", "x2", "y2")), "slide_id", order)
+    cells = C.region_properties(runs, ["slide_id", "det_id"])
+    return outline_features(cells, outline_parts(runs, t.slides)).select("slide_id", "det_id", "part_index", "part_count", "exported_area", "mismatch")
