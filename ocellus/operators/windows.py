@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.operators.spatial import box_join, prefix_sum_2d
+from ocellus.operators.grouped import by_group
+from ocellus.operators.spatial import box_join
 
 
 def positions(length: Column, size: Column, stride: Column) -> Column:
@@ -66,15 +69,31 @@ def prioritised(windows: DataFrame, coverage: str, threshold: float, seq: Column
 
 
 def roi_coverage(windows: DataFrame, mask: DataFrame, scale: Column, thumb: int) -> DataFrame:
-    """Window boxes with ``inside``, ``total`` pixels of a dense thumbnail mask (slide_id, px, py, v) by four look-ups in its prefix sums."""
+    """Window boxes with ``inside``, ``total`` pixels of a thumbnail mask (slide_id, px, py, v) by four look-ups in its prefix sums.
+
+    Pixels that the mask lacks count as 0, so only set ones need to be in it. A slide's
+    thumbnail of ``thumb`` pixels a side is summed in memory: rows travel per window and set pixel.
+    """
     from ocellus.functions.scalars import thumb as coordinate
 
-    sums = prefix_sum_2d(mask, "slide_id", "v").select("slide_id", (F.col("px") + 1).alias("px"), (F.col("py") + 1).alias("py"), "total")
-    at = windows.withColumns({f"t{c}": coordinate(F.col(c), scale, F.lit(thumb).cast("long")) for c in ("x1", "y1", "x2", "y2")})
-    corners = at.withColumn("corner", F.explode(F.array(
-        *[F.struct(F.col(x).alias("px"), F.col(y).alias("py"), F.lit(sign).alias("sign")) for x, y, sign in (("tx2", "ty2", 1), ("tx1", "ty2", -1), ("tx2", "ty1", -1), ("tx1", "ty1", 1))]
-    ))).select("*", F.col("corner.px").alias("px"), F.col("corner.py").alias("py"))
-    got = corners.join(sums, ["slide_id", "px", "py"], "left")  # a corner on the border has no sum: 0
-    return got.groupBy(*windows.columns).agg(
-        F.sum(F.col("corner.sign") * F.coalesce("total", F.lit(0))).alias("inside"), F.first((F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1"))).alias("total")
-    )
+    box = ["x1", "y1", "x2", "y2"]
+    at = windows.select("slide_id", *box, *[coordinate(F.col(c), scale, F.lit(thumb).cast("long")).cast("long").alias(f"t{c}") for c in box], F.lit(None).cast("long").alias("v"))
+    here = mask.filter("v <> 0").select("slide_id", *[F.lit(0).cast("long").alias(c) for c in box], F.col("px").cast("long").alias("tx1"), F.col("py").cast("long").alias("ty1"), F.lit(0).cast("long").alias("tx2"), F.lit(0).cast("long").alias("ty2"), F.col("v").cast("long").alias("v"))
+    here = here.filter((F.col("tx1") >= 0) & (F.col("tx1") < thumb) & (F.col("ty1") >= 0) & (F.col("ty1") < thumb))
+
+    def look(part: pd.DataFrame) -> pd.DataFrame:
+        slide, window = part["slide_id"].to_numpy(np.int64), part["v"].isna().to_numpy()
+        x1, y1, x2, y2 = (part[f"t{c}"].to_numpy(np.int64) for c in box)
+        inside = np.zeros(len(part), np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], slide[1:] != slide[:-1], [True])))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            w, m = lo + np.flatnonzero(window[lo:hi]), lo + np.flatnonzero(~window[lo:hi])
+            if len(w) and len(m):
+                sums = np.zeros((thumb + 1, thumb + 1), np.int64)
+                np.add.at(sums, (y1[m] + 1, x1[m] + 1), part["v"].to_numpy()[m].astype(np.int64))
+                sums = sums.cumsum(axis=0).cumsum(axis=1)
+                inside[w] = sums[y2[w], x2[w]] - sums[y1[w], x2[w]] - sums[y2[w], x1[w]] + sums[y1[w], x1[w]]
+        out = pd.DataFrame({"slide_id": slide, **{c: part[c].to_numpy(np.int64) for c in box}, "inside": inside, "total": (x2 - x1) * (y2 - y1)})
+        return out[window]
+
+    return by_group(at.unionByName(here), ["slide_id"], look, ", ".join(f"{c} long" for c in ["slide_id", *box, "inside", "total"]))

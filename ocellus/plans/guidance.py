@@ -136,9 +136,7 @@ def _roi(t):
                            AND py >= round_even(w.y1 * 0.02, 0) AND py < round_even(w.y2 * 0.02, 0)) AS inside FROM """ + _WIN + """ w) q WHERE inside >= 0.2 * 100""")
 def roi_windows(t):
     """Windows of which a fifth or more lies in the region, by prefix sums over a thumbnail mask."""
-    dense = t.slides.select("slide_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("px")).select("slide_id", "px", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("py"))
-    set_ = raster_cells(_roi(t), 50).select("slide_id", "px", "py").distinct().withColumn("v", F.lit(1))
-    mask = dense.join(set_, ["slide_id", "px", "py"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    mask = raster_cells(_roi(t), 50).select("slide_id", "px", "py").distinct().withColumn("v", F.lit(1))
     got = W.roi_coverage(_windows(t), mask, F.lit(0.02), 40)
     return got.filter(F.col("inside") >= 0.2 * F.col("total")).select("slide_id", "x1", "y1", "inside")
 
