@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ocellus.functions.scalars import um2_to_px
 from ocellus.operators.components import components_by_slide
+from ocellus.operators.grouped import by_group, close_pairs, group_numbers, least_reachable
 from ocellus.operators.spatial import merge_edges, priority_paint
+from ocellus.sources.scratch import written
 
 
 def area_filter(df: DataFrame, slides: DataFrame, min_um2: float = 250.0, max_um2: float = 25000.0) -> DataFrame:
@@ -36,6 +38,44 @@ def merged(rooted: DataFrame) -> DataFrame:
     )
 
 
+def merge_boxes(dets: DataFrame, num: int = 2, den: int = 10, crowded: int = 1_000_000) -> DataFrame:
+    """``merged(roots(dets))`` in one pass over each slide's boxes; slides of more than ``crowded`` boxes go by grid cells and edges."""
+    box = ["x1", "y1", "x2", "y2"]
+    slim = written(dets.select("slide_id", "det_id", "area_px", *box))  # counted, then read again
+    many = slim.filter("slide_id IS NOT NULL").groupBy("slide_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select("slide_id")
+    many = None if many.isEmpty() else written(many)
+    missing = " OR ".join(f"{c} IS NULL" for c in slim.columns)  # such a box overlaps none
+    whole = slim.filter(f"NOT ({missing})")
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["slide_id", "det_id"], kind="stable", ignore_index=True)
+        slide, det, area, x1, y1, x2, y2 = (part[c].to_numpy(np.int64) for c in ("slide_id", "det_id", "area_px", *box))
+        i, j = close_pairs(group_numbers(part, ["slide_id"]), x1, y1, x2, y2, num, den, area)
+        same = np.flatnonzero((slide[1:] == slide[:-1]) & (det[1:] == det[:-1]))  # rows of one number are one cell
+        label = least_reachable(len(part), np.concatenate((i, same)), np.concatenate((j, same + 1)))
+        at, cell = np.unique(label, return_inverse=True)
+
+        def total(v):
+            out = np.zeros(len(at), np.int64)
+            np.add.at(out, cell, v)
+            return out
+
+        def end(f, v):
+            out = v[at].copy()
+            f.at(out, cell, v)
+            return out
+
+        px = total(area)
+        middle = lambda a, b: total((a + b - 1) * area) / (2.0 * px)
+        ends = [end(np.minimum, x1), end(np.minimum, y1), end(np.maximum, x2), end(np.maximum, y2)]
+        return pd.DataFrame({"slide_id": slide[at], "root": det[at], "area_px": px, "members": total(np.ones(len(part), np.int64)), "cx": middle(x1, x2), "cy": middle(y1, y2), **dict(zip(box, ends))})
+
+    few = whole if many is None else whole.join(many, "slide_id", "left_anti")
+    schema = "slide_id long, root long, area_px long, members long, cx double, cy double, x1 long, y1 long, x2 long, y2 long"
+    out = by_group(few, ["slide_id"], merge, schema).unionByName(merged(slim.filter(missing).withColumn("root", F.col("det_id"))))
+    return out if many is None else out.unionByName(merged(roots(whole.join(many, "slide_id", "left_semi"), num, den)))
+
+
 def numbered(cells: DataFrame, order: str = "root") -> DataFrame:
     """cell_id 1..n per slide by ascending ``order``."""
     return cells.withColumn("cell_id", F.row_number().over(Window.partitionBy("slide_id").orderBy(order)).cast("long"))
@@ -44,7 +84,7 @@ def numbered(cells: DataFrame, order: str = "root") -> DataFrame:
 def cells_summed(dets: DataFrame, slides: DataFrame, min_um2: float = 250.0, max_um2: float = 25000.0) -> DataFrame:
     """The whole way: area filter, merge, area filter, numbers."""
     kept = area_filter(dets, slides, min_um2, max_um2)
-    return numbered(area_filter(merged(roots(kept)), slides, min_um2, max_um2))
+    return numbered(area_filter(merge_boxes(kept), slides, min_um2, max_um2))
 
 
 def box_rows(boxes: DataFrame) -> DataFrame:

@@ -68,15 +68,30 @@ def box_pairs(group, x1, y1, x2, y2, block: int = 4_000_000) -> Iterator[tuple[n
         lo = hi
 
 
-def above(x1, y1, x2, y2, i, j, num: int, den: int) -> np.ndarray:
-    """Whether the overlap of the boxes i and j exceeds num / den of their union."""
-    inter = (np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])) * (np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]))
-    area = (x2 - x1) * (y2 - y1)
-    return inter * den > (area[i] + area[j] - inter) * num
-
-
-def close_pairs(group, x1, y1, x2, y2, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose overlap exceeds num / den of their union."""
-    found = [(i[hit], j[hit]) for i, j in box_pairs(group, x1, y1, x2, y2) for hit in [above(x1, y1, x2, y2, i, j, num, den)]]
-    both = [np.concatenate([p[side] for p in found]) if found else np.empty(0, np.int64) for side in (0, 1)]
-    return both[0], both[1]
+def close_pairs(group, x1, y1, x2, y2, num: int, den: int, area=None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose overlap exceeds num / den of their union; ``area`` is that of the boxes unless given."""
+    area = (x2 - x1) * (y2 - y1) if area is None else area
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in box_pairs(group, x1, y1, x2, y2):
+        inter = (np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])) * (np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]))
+        hit = inter * den > (area[i] + area[j] - inter) * num
+        one.append(i[hit])
+        two.append(j[hit])
+    return np.concatenate(one), np.concatenate(two)
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the nodes 0..n-1 in each node's component: labels fall along edges and jump to their label's label."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            ahead = label[label]
+            if (ahead == label).all():
+                break
+            label = ahead
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label

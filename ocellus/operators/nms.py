@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ocellus.operators.grouped import by_group, close_pairs, group_numbers
+
 
 def greedy(x1, y1, x2, y2, score, ident, num: int, den: int) -> np.ndarray:
     """Whether each box stays: boxes in order of score (then identifier), unless one that stays overlaps by IoU > num / den."""
@@ -27,18 +29,44 @@ def greedy(x1, y1, x2, y2, score, ident, num: int, den: int) -> np.ndarray:
     return out
 
 
+def stays(n: int, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Which of n boxes stay by greedy suppression, from the pairs in conflict.
+
+    A box that no undecided better one contests stays and removes those it contests;
+    rounds end when no pair is open, so boxes without conflicts cost nothing.
+    """
+    alive = np.ones(n, dtype=bool)
+    while len(better):
+        contested = np.zeros(n, dtype=bool)
+        contested[worse] = True
+        wins = ~contested[better]
+        alive[worse[wins]] = False
+        open_ = ~wins & alive[better] & alive[worse]
+        better, worse = better[open_], worse[open_]
+    return alive
+
+
 def nms(dets: DataFrame, group: list[str], ident: str = "det_id", num: int = 3, den: int = 10) -> DataFrame:
-    """The detections that stay in their group (a window: its size bounds the group). Only the needed columns go through Python."""
+    """The detections that stay in their group (a window: its size bounds the group). Only the needed columns go through Python, many groups a call."""
     slim = dets.select(*group, ident, "score", "x1", "y1", "x2", "y2")
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
-        return part[greedy(part.x1, part.y1, part.x2, part.y2, part.score.to_numpy(), part[ident].to_numpy(), num, den)]
+        x1, y1, x2, y2 = (part[c].to_numpy(np.int64) for c in ("x1", "y1", "x2", "y2"))
+        i, j = close_pairs(group_numbers(part, group), x1, y1, x2, y2, num, den)
+        rank = np.empty(len(part), np.int64)
+        rank[np.lexsort((part[ident].to_numpy(), -part["score"].to_numpy()))] = np.arange(len(part))
+        first = rank[i] < rank[j]
+        return part[stays(len(part), np.where(first, i, j), np.where(first, j, i))]
 
-    return slim.groupBy(*group).applyInPandas(keep, slim.schema)
+    return by_group(slim, group, keep, slim.schema)
 
 
 def nms_fold(dets: DataFrame, group: list[str], ident: str = "det_id", num: int = 3, den: int = 10) -> DataFrame:
-    """The same with expressions alone: a fold over each group's sorted boxes. For small groups and for checks."""
+    """The same with expressions alone: a fold over each group's sorted boxes. For small groups and for checks.
+
+    Only boxes in conflict with another one of their group are folded; the others stay in any case.
+    """
+    slim = dets.select(*group, ident, "score", "x1", "y1", "x2", "y2").filter(" AND ".join(f"{g} IS NOT NULL" for g in group))
     box = F.struct((-F.col("score")).alias("s"), F.col(ident).alias("i"), "x1", "y1", "x2", "y2")
     kind = T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("i", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("x1", "y1", "x2", "y2")]]))
 
@@ -53,6 +81,14 @@ def nms_fold(dets: DataFrame, group: list[str], ident: str = "det_id", num: int
         clash = F.exists(kept, lambda k: inter(k, d) * den > (area(k) + area(d) - inter(k, d)) * num)
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(d)))
 
-    folded = dets.groupBy(*group).agg(F.array_sort(F.collect_list(box)).alias("b"))
+
+    def mark(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = close_pairs(group_numbers(part, group), *(part[c].to_numpy(np.int64) for c in ("x1", "y1", "x2", "y2")), num, den)
+        met = np.zeros(len(part), dtype=bool)
+        met[i] = met[j] = True
+        return part.assign(met=met)
+
+    marked = by_group(slim, group, mark, ", ".join(f"{n} {t}" for n, t in slim.dtypes) + ", met boolean")
+    folded = marked.filter("met").groupBy(*group).agg(F.array_sort(F.collect_list(box)).alias("b"))
     kept = folded.select(*group, F.explode(F.aggregate(F.col("b").cast(kind), F.array().cast(kind), step)).alias("k"))
-    return kept.select(*group, F.col("k.i").alias(ident))
+    return marked.filter("NOT met").select(*group, ident).unionByName(kept.select(*group, F.col("k.i").alias(ident)))

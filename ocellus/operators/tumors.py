@@ -21,9 +21,14 @@ def instances(tumors: DataFrame, step: int, min_px: int = 100) -> DataFrame:
     return areas.withColumn("tumor_id", rank)
 
 
-def distances(boxes: DataFrame, tumors: DataFrame, extent: int, min_total_px: int = 50, key: str = "det_id") -> DataFrame:
-    """Boxes with gap2 and tumor_key of the nearest tumour; null where the slide's tumours have fewer than ``min_total_px`` pixels in all."""
+def enough_tumour(tumors: DataFrame, min_total_px: int) -> DataFrame:
+    """The tumours of slides on which they have ``min_total_px`` pixels or more in all."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     enough = tumors.groupBy("slide_id").agg(F.sum(area).alias("_px")).filter(F.col("_px") >= min_total_px).select("slide_id")
-    near = nearest(boxes, tumors.join(enough, "slide_id", "left_semi"), key, "tumor_key", extent)
+    return tumors.join(enough, "slide_id", "left_semi")
+
+
+def distances(boxes: DataFrame, tumors: DataFrame, extent: int, min_total_px: int = 50, key: str = "det_id") -> DataFrame:
+    """Boxes with gap2 and tumor_key of the nearest tumour; null where the slide's tumours have fewer than ``min_total_px`` pixels in all."""
+    near = nearest(boxes, enough_tumour(tumors, min_total_px), key, "tumor_key", extent)
     return boxes.join(near.drop("slide_id"), key, "left")

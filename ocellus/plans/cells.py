@@ -86,7 +86,7 @@ def q_components_loop(t):
 
 @query("merge_props_summed", f"WITH RECURSIVE {ALL}, {PAIRS}, {COMPONENTS}, {ROOTED}, {MERGED} SELECT * FROM m")
 def merge_props_summed(t):
-    return C.merged(C.roots(t.detections))
+    return C.merge_boxes(t.detections)
 
 
 @query("cells_summed", f"{CELLS} SELECT * FROM cells")

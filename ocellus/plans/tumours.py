@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import scalars as S
 from ocellus.operators import cells as C
-from ocellus.operators.spatial import nearest
+from ocellus.operators.spatial import nearest, with_nearest
 from ocellus.operators.tumors import distances, instances
 from ocellus.plans.cells import CELLS
 from ocellus.plans.registry import query
@@ -75,9 +75,8 @@ def nearest_tumor_raster(t):
 def cell_table(t):
     """The per-cell table: area, centroid, grid, nearest tumour, distance and its bin."""
     cells = C.cells_summed(t.detections, t.slides)
-    near = nearest(cells, t.tumors, "root", "tumor_key", 2000).drop("slide_id")
     d = F.sqrt(F.col("gap2")) * F.col("mpp")
-    full = cells.join(t.slides.drop("image_name"), "slide_id").join(near, "root", "left")
+    full = with_nearest(cells, t.tumors, ["slide_id", "root"], "tumor_key", 2000).join(t.slides.drop("image_name"), "slide_id")
     return full.select(
         "slide_id", "cell_id", "area_px", S.px_to_um2(F.col("area_px"), F.col("mpp")).alias("area_um2"), "cx", "cy",
         S.grid_id(F.col("cx"), F.col("cy"), F.col("width"), F.col("height"), F.col("mpp")).alias("grid"),
