@@ -113,12 +113,19 @@ def hhmmss(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
-def bytes_text(n: Column) -> Column:
-    """Size with one decimal in the largest unit that keeps it below 1024, TB at most."""
+def bytes_text(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> Column:
+    """Size with one decimal, halves to even, in the first of ``units`` that keeps it below 1024, else in the last."""
     n = n.cast("double")
-    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
-    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(F.abs(n) / 1024.0**i < 1024, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**i, 1))).otherwise(out)
+
+    def text(i: int) -> Column:
+        size = 1024.0**i
+        whole = F.floor(F.abs(n) / size)
+        tenths = F.rint((F.abs(n) - whole * size) * 10 / size)  # exact for whole n: no decimal text is rounded again
+        return F.format_string(f"%.1f {units[i]}", F.when(n < 0, -1.0).otherwise(1.0) * (whole + tenths / 10))
+
+    out = text(len(units) - 1)
+    for i in reversed(range(len(units) - 1)):
+        out = F.when(F.abs(n) / 1024.0**i < 1024, text(i)).otherwise(out)
     return out
 
 

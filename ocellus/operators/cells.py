@@ -122,6 +122,11 @@ def moments(runs: DataFrame, by: list[str]) -> DataFrame:
         F.sum(n * mid * mid + n * (n * n - 1) / 12).alias("sxx"), F.sum(n * F.col("row") * F.col("row")).alias("syy"), F.sum(n * mid * F.col("row")).alias("sxy"),
         ((F.max("c1") - F.min("c0")) * (F.max("row") + 1 - F.min("row"))).alias("box"),
     )
+    return shape_of(sums, by)
+
+
+def shape_of(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Extent, equivalent diameter and eccentricity from sums over pixels (a, sx, sy, sxx, syy, sxy) and the area of the box."""
     # a pixel is a unit square: its own variance is 1/12
     u20 = F.col("sxx") / F.col("a") - F.pow(F.col("sx") / F.col("a"), F.lit(2.0)) + 1 / 12
     u02 = F.col("syy") / F.col("a") - F.pow(F.col("sy") / F.col("a"), F.lit(2.0)) + 1 / 12
@@ -134,6 +139,18 @@ def moments(runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def painted_properties(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``region_properties`` from ``painting.visible_sums``."""
+    n = F.col("n")
+    return sums.select(*by, n.alias("area_px"), (F.col("sy") / n).alias("cy"), (2 * F.col("sx") / (2.0 * n)).alias("cx"), "x1", "y1", "x2", "y2")
+
+
+def painted_moments(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``moments`` from ``painting.visible_sums``."""
+    d = lambda c: F.col(c).cast("double").alias({"n": "a"}.get(c, c))
+    return shape_of(sums.select(*by, *[d(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")], ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("box")), by)
+
+
 def convex_area(points: np.ndarray) -> float:
     """Area of the convex hull of points (n, 2), by the monotone chain."""
     pts = np.unique(points, axis=0)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.functions.scalars import ring_area
@@ -14,16 +17,37 @@ def polygon_spans(rings: DataFrame, key: str) -> DataFrame:
     """(key, row, c0, c1): pixels whose centre lies in the ring by the even-odd rule.
 
     Edges meet the centre lines of pixel rows; crossings in order pair up to spans.
+    A key's edges travel as lists and meet their rows in numpy, so only rings are shuffled.
     """
-    nxt = F.get("ring", (F.col("i") + 1) % F.size("ring"))
-    edges = rings.select(key, "ring", F.posexplode("ring").alias("i", "a")).select(key, "a", nxt.alias("b")).filter("a.y <> b.y")
-    lo, hi = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
-    first, stop = F.ceil(lo - 0.5), F.ceil(hi - 0.5)  # rows whose centre line the edge crosses, its lower end excluded
-    rows = F.when(first < stop, F.sequence(first, F.greatest(first, stop - 1))).otherwise(F.array().cast("array<bigint>"))
-    crossings = edges.withColumn("row", F.explode(rows)).withColumn("x", F.col("a.x") + (F.col("row") + 0.5 - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y")))
-    w = Window.partitionBy(key, "row").orderBy("x")
-    spans = crossings.withColumn("to", F.lead("x").over(w)).withColumn("n", F.row_number().over(w)).filter("n % 2 = 1")
-    return spans.select(key, "row", F.ceil(F.col("x") - 0.5).alias("c0"), F.ceil(F.col("to") - 0.5).alias("c1")).filter("c0 < c1")
+    n = F.size("ring")
+    edges = F.filter(F.transform("ring", lambda a, i: F.struct(a.alias("a"), F.get("ring", (i + 1) % n).alias("b"))), lambda e: e["a"]["y"] != e["b"]["y"])
+    tasks = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept, though the rings are small beside their rows
+    lists = rings.select(key, edges.alias("e")).repartition(tasks, key).groupBy(key).agg(F.flatten(F.collect_list("e")).alias("e")).filter(F.size("e") > 0)
+    side = lambda v, c: F.transform("e", lambda e: e[v][c].cast("double")).alias(f"{v}{c}")
+    lists = lists.select(key, side("a", "x"), side("a", "y"), side("b", "x"), side("b", "y"))
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.iloc[at : at + 1000]
+                ax, ay, bx, by = (np.concatenate(b[c].to_list()) for c in ("ax", "ay", "bx", "by"))
+                first, stop = (np.ceil(f(ay, by) - 0.5).astype(np.int64) for f in (np.minimum, np.maximum))  # rows whose centre line the edge crosses, its lower end excluded
+                e = np.repeat(np.arange(len(ax)), stop - first)
+                row = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(stop - first) - (stop - first), stop - first)
+                x = ax[e] + (row + 0.5 - ay[e]) * (bx[e] - ax[e]) / (by[e] - ay[e])
+                ring = np.repeat(np.arange(len(b)), [len(v) for v in b["ax"]])[e]
+                order = np.lexsort((x, row, ring))
+                ring, row, x = ring[order], row[order], x[order]
+                begin = np.flatnonzero(np.concatenate(([True], (ring[1:] != ring[:-1]) | (row[1:] != row[:-1])))) if len(x) else np.empty(0, np.int64)
+                count = np.diff(np.append(begin, len(x)))
+                place = np.arange(len(x)) - np.repeat(begin, count)
+                i = np.flatnonzero((place % 2 == 0) & (place + 1 < np.repeat(count, count)))
+                c0, c1 = np.ceil(x[i] - 0.5).astype(np.int64), np.ceil(x[i + 1] - 0.5).astype(np.int64)
+                some = c0 < c1
+                i = i[some]
+                yield pd.DataFrame({key: b[key].to_numpy()[ring[i]], "row": row[i], "c0": c0[some], "c1": c1[some]})
+
+    return lists.mapInPandas(cross, f"{key} {dict(rings.dtypes)[key]}, row long, c0 long, c1 long")
 
 
 def self_touching(rings: DataFrame, key: str, near: float = 1e-9) -> DataFrame:

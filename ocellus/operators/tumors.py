@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocellus.operators.spatial import nearest, priority_paint, raster_cells
+from ocellus.operators.painting import visible_sums
+from ocellus.operators.spatial import nearest
 
 
 def instances(tumors: DataFrame, step: int, min_px: int = 100) -> DataFrame:
@@ -14,9 +15,9 @@ def instances(tumors: DataFrame, step: int, min_px: int = 100) -> DataFrame:
     Hidden tumours get no number; areas are visible raster pixels.
     """
     large = tumors.filter((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= min_px)
-    pixels = raster_cells(large, step)
-    seen = priority_paint(pixels, ["slide_id", "px", "py"], [F.col("score").desc(), F.col("tumor_key")])
-    areas = seen.groupBy("slide_id", "tumor_key", "score").agg(F.count("*").alias("area"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+    first = lambda c: F.ceil(F.col(c) / step).cast("long").alias(c)  # noqa: E731  the first raster pixel at or behind a place
+    seen = visible_sums(large.select("slide_id", "tumor_key", "score", *[first(c) for c in ("x1", "y1", "x2", "y2")]), "tumor_key", named=("score",))
+    areas = seen.select("slide_id", "tumor_key", "score", F.col("n").alias("area"), (F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"))
     rank = F.row_number().over(Window.partitionBy("slide_id").orderBy(F.col("score").desc(), "tumor_key")).cast("long")
     return areas.withColumn("tumor_id", rank)
 

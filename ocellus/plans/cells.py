@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ocellus.operators import cells as C
 from ocellus.operators.components import components, components_by_slide
 from ocellus.operators.nms import nms, nms_fold
+from ocellus.operators.painting import runs_of, visible_objects, visible_sums
 from ocellus.operators.spatial import box_join, dilate, erode, merge_edges, overlap_pairs, raster_cells, run_adjacency
 from ocellus.plans.registry import query
 
@@ -119,15 +120,14 @@ _EXACT = """WITH dets AS (SELECT * FROM {detections}), rows AS (SELECT det_id, s
 
 
 def _visible(t):
-    order = [F.col("score").desc(), F.col("det_id")]
-    return C.visible_runs(C.box_rows(t.detections.select("slide_id", "det_id", "score", "x1", "y1", "x2", "y2")), "slide_id", order)
+    return runs_of(visible_objects(t.detections, "det_id"))
 
 
 @query("cells_exact", _EXACT + """ SELECT slide_id, det_id, CAST(sum(b - a) AS BIGINT) AS area_px, sum(y * (b - a)) / sum(b - a) AS cy, sum((a + b - 1) * (b - a)) / (2.0 * sum(b - a)) AS cx,
     min(a) AS x1, min(y) AS y1, max(b) AS x2, max(y) + 1 AS y2 FROM own GROUP BY slide_id, det_id""")
 def cells_exact(t):
     """Exact mode: distinct pixels; a detection painted over entirely has none and drops out."""
-    return C.region_properties(_visible(t), ["slide_id", "det_id"])
+    return C.painted_properties(visible_sums(t.detections, "det_id"), ["slide_id", "det_id"])
 
 
 @query("extent_eqdiam_ecc", _EXACT + """, k AS (SELECT slide_id, det_id, CAST(sum(b - a) AS DOUBLE) AS n, sum((b - a) * (a + b - 1) / 2.0) AS sx, CAST(sum((b - a) * y) AS DOUBLE) AS sy,
@@ -137,7 +137,7 @@ def cells_exact(t):
     v AS (SELECT *, sqrt(4 * u11 * u11 + (u20 - u02) * (u20 - u02)) AS d FROM u)
     SELECT slide_id, det_id, CAST(n AS BIGINT) AS area_px, n / box AS extent, round(sqrt(4 * n / pi()), 6) AS eq_diameter, round(sqrt(greatest(0.0, 1 - (u20 + u02 - d) / (u20 + u02 + d))), 5) AS eccentricity FROM v""")
 def extent_eqdiam_ecc(t):
-    out = C.moments(_visible(t), ["slide_id", "det_id"])
+    out = C.painted_moments(visible_sums(t.detections, "det_id"), ["slide_id", "det_id"])
     return out.withColumn("eq_diameter", F.round("eq_diameter", 6)).withColumn("eccentricity", F.round("eccentricity", 5))
 
 
@@ -151,10 +151,10 @@ def outline_shapes(t):
     WITH rows AS (SELECT slide_id, det_id, unnest(range(y1, y2)) AS row, x1 AS c0, x2 AS c1 FROM {detections})
     SELECT r.slide_id, r.row, CAST(sum(c1 - c0) AS BIGINT) AS px FROM rows r WHERE det_id IN (SELECT det_id FROM {detections} WHERE score > 0.95) GROUP BY ALL""")
 def mask_out_invalid(t):
-    """Runs whose label is not valid are removed by a semi-join on the label."""
-    runs = C.box_rows(t.detections)
+    """Boxes whose label is not valid are removed by a semi-join on the label before they become runs; a slide's runs are summed where its boxes are."""
     valid = t.detections.filter("score > 0.95").select("det_id")
-    return runs.join(valid, "det_id", "left_semi").groupBy("slide_id", "row").agg(F.sum(F.col("c1") - F.col("c0")).alias("px"))
+    kept = t.detections.select("slide_id", "det_id", "x1", "y1", "x2", "y2").join(valid, "det_id", "left_semi").drop("det_id").repartition("slide_id")
+    return C.box_rows(kept).groupBy("slide_id", "row").agg(F.sum(F.col("c1") - F.col("c0")).alias("px"))
 
 
 @query("map_labels", f"WITH RECURSIVE {ALL}, {PAIRS}, {COMPONENTS}, {ROOTED} SELECT det_id, dense_rank() OVER (PARTITION BY slide_id ORDER BY root) AS label FROM r")

@@ -29,9 +29,9 @@ def analysis_summary(t):
 
 @query("csv_scan", "SELECT slide_id, count(*) AS n, median(area_px) AS med FROM {detections} GROUP BY slide_id")
 def csv_scan(t):
-    """Statistics from per-slide CSV files read with a fixed schema."""
+    """Statistics from per-slide CSV files, one a slide, read with a fixed schema."""
     path = f"{_root(t.spark)}/ocellus-csv-{uuid.uuid4().hex}"
-    t.detections.select("slide_id", "det_id", "area_px").write.option("header", True).partitionBy("slide_id").csv(path)
+    t.detections.select("slide_id", "det_id", "area_px").repartition("slide_id").write.option("header", True).partitionBy("slide_id").csv(path)
     back = t.spark.read.schema("det_id long, area_px long, slide_id long").option("header", True).csv(path)
     return back.groupBy("slide_id").agg(F.count("*").alias("n"), F.median("area_px").alias("med"))
 

@@ -30,8 +30,8 @@ def read_cells(spark: SparkSession, paths: list[str] | str, schema: str = CELL_S
 
 
 def write_cells(cells: DataFrame, path: str, by: str = "slide_id", kind: str = "parquet") -> None:
-    """Cell tables partitioned by slide."""
-    getattr(cells.write.mode("overwrite").partitionBy(by).option("header", True), kind)(path)
+    """Cell tables partitioned by slide, each slide's in one file: not one per task and slide."""
+    getattr(cells.repartition(by).write.mode("overwrite").partitionBy(by).option("header", True), kind)(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
