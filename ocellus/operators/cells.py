@@ -170,36 +170,46 @@ def convex_area(points: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id", tile: int = 64) -> DataFrame:
-    """Solidity (area over hull of pixel squares) and perimeter (unit edges towards the outside) of cells from disjoint runs.
-
-    Cells are dealt to ``tile`` groups per slide, so that a Python call handles many cells and no slide needs one task.
-    """
-
-    def shape(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([key, "row", "c0"], kind="stable")
-        k, r, a, b = (part[c].to_numpy(np.int64) for c in (key, "row", "c0", "c1"))
-        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        out = []
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            y, c0, c1 = r[lo:hi], a[lo:hi], b[lo:hi]
-            area = int((c1 - c0).sum())
-            # only a row's outermost ends can be corners of the hull
-            ends = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1], [True])))
-            left, right, rows = c0[ends[:-1]], c1[ends[1:] - 1], y[ends[:-1]]
-            corners = np.concatenate([np.stack((x, h), 1) for x in (left, right) for h in (rows, rows + 1)])
-            joined = int(((y[1:] == y[:-1]) & (c0[1:] == c1[:-1])).sum())
-            if len(rows) == len(y):  # one run a row: neighbours in order are neighbours in space
-                over = np.minimum(c1[1:], c1[:-1]) - np.maximum(c0[1:], c0[:-1])
-                shared = int(over[(over > 0) & (y[1:] == y[:-1] + 1)].sum())
-            else:
-                shared = 0
-                for i in np.flatnonzero(rows[1:] == rows[:-1] + 1):
-                    u, v = slice(ends[i], ends[i + 1]), slice(ends[i + 1], ends[i + 2])
-                    over = np.minimum(c1[u][:, None], c1[v]) - np.maximum(c0[u][:, None], c0[v])
-                    shared += int(over[over > 0].sum())
-            out.append((part[on].iloc[0], int(k[lo]), area / convex_area(corners), float(2 * area + 2 * len(y) - 2 * joined - 2 * shared)))
-        return pd.DataFrame(out, columns=[on, key, "solidity", "perimeter"])
-
-    slim = runs.select(on, key, "row", "c0", "c1").withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tile)))
-    return slim.groupBy(on, "tile").applyInPandas(shape, f"{on} long, {key} long, solidity double, perimeter double")
+def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataFrame:
+    """Solidity (area over hull of pixel squares) and perimeter (unit edges towards the outside) of cells from disjoint runs."""
+    return outline_of(runs.groupBy(on, key).agg(F.collect_list(F.struct("row", "c0", "c1")).alias("r")).select(on, key, F.col("r.row").alias("row"), F.col("r.c0").alias("c0"), F.col("r.c1").alias("c1")), on, key)
+
+
+def outline_of(objects: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataFrame:
+    """``outline`` of cells whose runs are lists (row, c0, c1). Cells of one form are measured once a batch."""
+
+    def measure(r: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+        order = np.lexsort((a, r))
+        y, c0, c1 = r[order], a[order], b[order]
+        area = int((c1 - c0).sum())
+        # only a row's outermost ends can be corners of the hull
+        ends = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1], [True])))
+        left, right, rows = c0[ends[:-1]], c1[ends[1:] - 1], y[ends[:-1]]
+        corners = np.concatenate([np.stack((x, h), 1) for x in (left, right) for h in (rows, rows + 1)])
+        joined = int(((y[1:] == y[:-1]) & (c0[1:] == c1[:-1])).sum())
+        if len(rows) == len(y):  # one run a row: neighbours in order are neighbours in space
+            over = np.minimum(c1[1:], c1[:-1]) - np.maximum(c0[1:], c0[:-1])
+            shared = int(over[(over > 0) & (y[1:] == y[:-1] + 1)].sum())
+        else:
+            shared = 0
+            for i in np.flatnonzero(rows[1:] == rows[:-1] + 1):
+                u, v = slice(ends[i], ends[i + 1]), slice(ends[i + 1], ends[i + 2])
+                over = np.minimum(c1[u][:, None], c1[v]) - np.maximum(c0[u][:, None], c0[v])
+                shared += int(over[over > 0].sum())
+        return area / convex_area(corners), float(2 * area + 2 * len(y) - 2 * joined - 2 * shared)
+
+    def shapes(batches):
+        seen: dict = {}
+        for batch in batches:
+            out = []
+            for r, a, b in zip(batch["row"], batch["c0"], batch["c1"]):
+                r, a, b = r - r.min(), a - a.min(), b - a.min()
+                form = (r.tobytes(), a.tobytes(), b.tobytes())
+                if form not in seen:
+                    if len(seen) >= 20_000:
+                        seen.clear()
+                    seen[form] = measure(r, a, b)
+                out.append(seen[form])
+            yield pd.DataFrame({on: batch[on], key: batch[key], "solidity": [o[0] for o in out], "perimeter": [o[1] for o in out]})
+
+    return objects.select(on, key, "row", "c0", "c1").mapInPandas(shapes, f"{on} long, {key} long, solidity double, perimeter double")

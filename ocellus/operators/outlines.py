@@ -16,6 +16,8 @@ from ocellus.sources.scratch import written
 
 # Smoothing, the limits of the simplification in pixels, and the margin around an object
 SIGMA, LOOSE, TIGHTEST, LOOSEST, MARGIN = 0.5, 0.002, 0.5, 2.0, 2
+# Why a ring that meets itself is not exported
+TOUCHES = "self-intersecting or self-touching contour"
 # The eight neighbours, clockwise from the east (rows run downwards)
 AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
@@ -105,9 +107,9 @@ def ring_simplified(points: np.ndarray) -> np.ndarray:
     return np.concatenate((simplified(one, tolerance)[:-1], simplified(two, tolerance)[:-1]))
 
 
-def parts_of(rows: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: int | None = None, width: int | None = None) -> list[tuple[float, np.ndarray]]:
-    """(area, ring) of each part of one object from its runs, in the image's coordinates."""
-    top, left = max(0, int(rows.min()) - MARGIN), max(0, int(c0.min()) - MARGIN)
+def parts_of(rows: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: int | None = None, width: int | None = None, corner: tuple[int, int] | None = None) -> list[tuple[float, np.ndarray]]:
+    """(area, ring) of each part of one object from its runs, in the image's coordinates; ``corner`` (x, y) is where its mask begins unless by the margin."""
+    left, top = corner or (max(0, int(c0.min()) - MARGIN), max(0, int(rows.min()) - MARGIN))
     bottom, right = int(rows.max()) + 1 + MARGIN, int(c1.max()) + MARGIN
     bottom, right = (bottom if height is None else min(bottom, height)), (right if width is None else min(right, width))
     mask = np.zeros((bottom - top, right - left), bool)
@@ -125,25 +127,73 @@ def outline_parts(runs: DataFrame, sizes: DataFrame | None = None, on: str = "sl
     is one; an object that smoothing removes has one row, without ring.
     """
     objects = runs.groupBy(on, key).agg(F.collect_list(F.struct("row", "c0", "c1")).alias("runs"))
+    return object_parts(objects.select(on, key, F.col("runs.row").alias("row"), F.col("runs.c0").alias("c0"), F.col("runs.c1").alias("c1")), sizes, on, key)
+
+
+def crosses_itself(ring: np.ndarray, near: float = 1e-9) -> bool:
+    """Whether a ring repeats a vertex or two of its edges that are not neighbours share a point: the rule of ``self_touching``."""
+    n = len(ring)
+    if len({tuple(p) for p in (ring + 0.0).tolist()}) < n:
+        return True
+    i, j = np.triu_indices(n, 2)
+    far = ~((i == 0) & (j == n - 1))
+    i, j = i[far], j[far]
+    p, d = ring, np.roll(ring, -1, axis=0) - ring
+    low, high = np.floor(np.minimum(p, p + d) - near), np.floor(np.maximum(p, p + d) + near) + 1
+    meet = ((low[i] < high[j]) & (low[j] < high[i])).all(axis=1)
+    i, j = i[meet], j[meet]
+    if not len(i):
+        return False
+    w = p[j] - p[i]
+    turn = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+    offset = w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        along = lambda x, y: (x * d[i, 0] + y * d[i, 1]) / (d[i, 0] * d[i, 0] + d[i, 1] * d[i, 1])
+        first, last = along(w[:, 0], w[:, 1]), along(w[:, 0] + d[j, 0], w[:, 1] + d[j, 1])
+        share = lambda v: (v >= -near) & (v <= 1 + near)
+        crossing = share((w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / turn) & share(offset / turn)
+    on_line = (np.abs(offset) <= near) & (np.minimum(first, last) <= 1 + near) & (np.maximum(first, last) >= -near)
+    return bool(np.where(np.abs(turn) > near, crossing, on_line).any())
+
+
+def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "slide_id", key: str = "det_id", longest: int = 512) -> DataFrame:
+    """``outline_parts`` of objects whose runs are lists (row, c0, c1).
+
+    Objects of one form, equally far from the image's ends, are traced once a task.
+    Rings of more than ``longest`` points are checked by their edges' grid cells.
+    """
     sizes = sizes.select(on, "width", "height") if sizes is not None else objects.select(on).distinct().select(on, F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"))
-    objects = objects.join(sizes, on, "left").select(on, key, F.col("runs.row").alias("row"), F.col("runs.c0").alias("c0"), F.col("runs.c1").alias("c1"), "height", "width")
+    objects = objects.join(sizes, on, "left").select(on, key, "row", "c0", "c1", "height", "width")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
         for b in batches:
             out = []
             for o, k, r, a, z, h, w in b.itertuples(index=False):
-                found = parts_of(r, a, z, None if pd.isna(h) else int(h), None if pd.isna(w) else int(w))
-                out += [(o, k, i, area, [{"x": x, "y": y} for x, y in ring.tolist()]) for i, (area, ring) in enumerate(found)] or [(o, k, 0, 0.0, [])]
-            yield pd.DataFrame(out, columns=[on, key, "part", "part_area", "ring"])
-
-    parts = objects.mapInPandas(trace, f"{on} long, {key} long, part long, part_area double, ring array<struct<x:double,y:double>>")
+                y, x, low, right = int(r.min()), int(a.min()), int(r.max()) + 1, int(z.max())
+                y, x = max(0, y - MARGIN), max(0, x - MARGIN)
+                h, w = (low + MARGIN if pd.isna(h) else min(int(h), low + MARGIN)), (right + MARGIN if pd.isna(w) else min(int(w), right + MARGIN))
+                r, a, z = r - y, a - x, z - x
+                form = (r.tobytes(), a.tobytes(), z.tobytes(), h - y, w - x)
+                if form not in seen:
+                    if len(seen) >= 20_000:
+                        seen.clear()
+                    found = parts_of(r, a, z, h - y, w - x, (0, 0))
+                    seen[form] = [(area, ring, len(ring) > longest, 0 < len(ring) <= longest and crosses_itself(ring)) for area, ring in found]
+                out += [(o, k, i, area, [{"x": u, "y": v} for u, v in (ring + (x, y)).tolist()], long_, touches) for i, (area, ring, long_, touches) in enumerate(seen[form])] or [(o, k, 0, 0.0, [], False, False)]
+            yield pd.DataFrame(out, columns=[on, key, "part", "part_area", "ring", "_long", "_touches"])
+
+    parts = objects.mapInPandas(trace, f"{on} long, {key} long, part long, part_area double, ring array<struct<x:double,y:double>>, _long boolean, _touches boolean")
     corners = F.size(F.array_distinct("ring"))
     reason = F.when(F.size("ring") == 0, "no contours").when(corners < 3, "fewer than 3 unique vertices").when(ring_area(F.col("ring")) <= 1e-6, "zero-area contour")
-    judged = written(parts.withColumn("reason", reason))  # traced once, read for its rings and for their edges
+    judged = written(parts.withColumn("reason", F.coalesce(reason, F.when(F.col("_touches"), TOUCHES))).drop("_touches"))  # traced once, read for its rings and for long ones
+    unsure = judged.filter("reason IS NULL AND _long")
+    if unsure.isEmpty():
+        return judged.drop("_long")
     # keys of one part each, so a ring is never joined with another's edges
-    touching = self_touching(judged.filter("reason IS NULL").select(F.struct(on, key, "part").alias("_p"), "ring"), "_p").withColumn("_touches", F.lit(True))
+    touching = self_touching(unsure.select(F.struct(on, key, "part").alias("_p"), "ring"), "_p").withColumn("_touches", F.lit(True))
     out = judged.withColumn("_p", F.struct(on, key, "part")).join(touching, "_p", "left").drop("_p")
-    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("_touches"), "self-intersecting or self-touching contour"))).drop("_touches")
+    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("_touches"), TOUCHES))).drop("_touches", "_long")
 
 
 def outline_features(cells: DataFrame, parts: DataFrame, on: str = "slide_id", key: str = "det_id", name: str = "Cell", color: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:

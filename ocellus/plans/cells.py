@@ -144,7 +144,7 @@ def extent_eqdiam_ecc(t):
 @query("outline_shapes")
 def outline_shapes(t):
     """Solidity and perimeter, which SQL cannot express."""
-    return C.outline(_visible(t))
+    return C.outline_of(visible_objects(t.detections, "det_id"))
 
 
 @query("mask_out_invalid", """

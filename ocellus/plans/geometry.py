@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ocellus.functions import scalars as S
 from ocellus.operators import cells as C
 from ocellus.operators.geometry import feature_json, polygon_spans, self_touching, valid_rings
-from ocellus.operators.outlines import outline_features, outline_parts
+from ocellus.operators.outlines import object_parts, outline_features
+from ocellus.operators.painting import visible_objects, visible_sums
 from ocellus.plans.registry import query
 
 # A quadrilateral per tissue box; every fifth has two corners exchanged and so crosses itself
@@ -92,7 +93,9 @@ def roi_from_json(t):
 def outline_boxes(t):
     """Outlines traced from the pixels of every detection, read back from their features: a box is traced through its corner pixels' centres."""
     cells = t.detections.select("slide_id", "det_id", "area_px", ((F.col("x1") + F.col("x2") - 1) / 2).alias("cx"), ((F.col("y1") + F.col("y2") - 1) / 2).alias("cy"))
-    f = outline_features(cells, outline_parts(C.box_rows(t.detections).select("slide_id", "det_id", "row", "c0", "c1"), t.slides))
+    row = F.sequence(F.col("y1"), F.col("y2") - 1)
+    objects = t.detections.select("slide_id", "det_id", row.alias("row"), F.transform(row, lambda v: F.col("x1")).alias("c0"), F.transform(row, lambda v: F.col("x2")).alias("c1"))
+    f = outline_features(cells, object_parts(objects, t.slides))
     ring = F.from_json("feature", "geometry struct<coordinates:array<array<array<double>>>>")["geometry"]["coordinates"][0]
     f = f.withColumn("r", ring)
     xs, ys = F.transform("r", lambda p: p[0]), F.transform("r", lambda p: p[1])
@@ -102,7 +105,6 @@ def outline_boxes(t):
 @query("outline_painted")
 def outline_painted(t):
     """Outlines of the painted mask of every slide, of which SQL cannot express the tracing."""
-    order = [F.col("score").desc(), F.col("det_id")]
-    runs = C.visible_runs(C.box_rows(t.detections.select("slide_id", "det_id", "score", "x1", "y1", "x2", "y2")), "slide_id", order)
-    cells = C.region_properties(runs, ["slide_id", "det_id"])
-    return outline_features(cells, outline_parts(runs, t.slides)).select("slide_id", "det_id", "part_index", "part_count", "exported_area", "mismatch")
+    objects = visible_objects(t.detections, "det_id")
+    cells = C.painted_properties(visible_sums(t.detections, "det_id"), ["slide_id", "det_id"])
+    return outline_features(cells, object_parts(objects, t.slides)).select("slide_id", "det_id", "part_index", "part_count", "exported_area", "mismatch")
