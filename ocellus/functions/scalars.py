@@ -42,6 +42,18 @@ def um2_to_px(um2: Column | float, mpp: Column) -> Column:
     return F.floor((um2 if isinstance(um2, Column) else F.lit(float(um2))) / (mpp * mpp)).cast("long")
 
 
+def quantile_cont(values: Column, p: float) -> Column:
+    """The quantile ``p`` of an ascending array without nulls, to the bit as DuckDB's quantile_cont; null if it is empty.
+
+    Between two values DuckDB rounds once, by a fused multiply-add, and F.percentile
+    twice: values on the border of a bin then fall on different sides of it.
+    """
+    at = (F.size(values) - 1) * F.lit(float(p))
+    low, high = F.get(values, F.floor(at).cast("int")).cast("double"), F.get(values, F.ceil(at).cast("int")).cast("double")
+    part = at - F.floor(at)
+    return F.when(F.size(values) > 0, F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double"))
+
+
 def valid_mpp(x: Column) -> Column:
     """x if it is a positive finite number, else null."""
     v = x.try_cast("double")

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ocellus.functions import scalars as S
 from ocellus.plans.registry import query
 
 _UM2 = "d AS (SELECT d.*, s.image_name, s.mpp, d.area_px * s.mpp * s.mpp AS um2, sqrt(d.x1 * d.x1 + d.y1 * d.y1) * s.mpp AS dist FROM {detections} d JOIN {slides} s USING (slide_id))"
 
 
+def _quantiles(d, **wanted):
+    """A row per slide with quantiles named by ``wanted``: (column, p)."""
+    columns = sorted({c for c, _ in wanted.values()})
+    values = d.groupBy("slide_id").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])
+    return values.select("slide_id", *[S.quantile_cont(F.col(c), p).alias(name) for name, (c, p) in wanted.items()])
+
+
 def _um2(t):
     q = t.detections.join(t.slides.select("slide_id", "image_name", "mpp"), "slide_id")
     return q.withColumn("um2", F.col("area_px") * F.col("mpp") * F.col("mpp")).withColumn("dist", F.sqrt(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1")) * F.col("mpp"))
@@ -55,7 +63,7 @@ def channel_histogram(t):
 @query("drop_outliers", f"""WITH {_UM2}, q AS (SELECT slide_id, quantile_cont(dist, 0.99) AS q99 FROM d GROUP BY 1) SELECT d.det_id, d.dist FROM d JOIN q USING (slide_id) WHERE d.dist <= q99 AND d.dist IS NOT NULL""")
 def drop_outliers(t):
     d = _um2(t).dropna(subset=["dist", "um2"])
-    q = d.groupBy("slide_id").agg(F.percentile("dist", F.lit(0.99)).alias("q99"))
+    q = _quantiles(d, q99=("dist", 0.99))
     return d.join(q, "slide_id").filter(F.col("dist") <= F.col("q99")).select("det_id", "dist")
 
 
@@ -64,14 +72,16 @@ def drop_outliers(t):
 def cohort_dist_size_hist(t):
     """Two-dimensional counts: eight distance bins up to the 99th percentile, 39 size bins between the 1st and 99th."""
     d = _um2(t)
-    q = d.groupBy("slide_id").agg(F.percentile("dist", F.lit(0.99)).alias("dq"), F.percentile("um2", F.lit(0.01)).alias("lo"), F.percentile("um2", F.lit(0.99)).alias("hi"))
+    q = _quantiles(d, dq=("dist", 0.99), lo=("um2", 0.01), hi=("um2", 0.99))
     at = d.join(q, "slide_id").filter((F.col("dist") <= F.col("dq")) & F.col("um2").between(F.col("lo"), F.col("hi")))
-    return at.groupBy("slide_id", F.least(F.floor(F.col("dist") / (F.col("dq") / 8)), F.lit(7)).alias("dist_bin"), F.least(F.floor((F.col("um2") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 39)), F.lit(38)).alias("size_bin")).agg(F.count("*").alias("n"))
+    # bins of no width hold what lies in the last one
+    bin_ = lambda v, width, last: F.least(F.floor(F.try_divide(v, width)), F.lit(last))
+    return at.groupBy("slide_id", bin_(F.col("dist"), F.col("dq") / 8, 7).alias("dist_bin"), bin_(F.col("um2") - F.col("lo"), (F.col("hi") - F.col("lo")) / 39, 38).alias("size_bin")).agg(F.count("*").alias("n"))
 
 
 @query("bin_edges", f"""WITH {_UM2}, q AS (SELECT slide_id, quantile_cont(dist, 0.99) AS dq FROM d GROUP BY 1) SELECT slide_id, i.i, i.i * dq / 8 AS edge FROM q, (SELECT unnest(range(0, 9)) AS i) i""")
 def bin_edges(t):
-    q = _um2(t).groupBy("slide_id").agg(F.percentile("dist", F.lit(0.99)).alias("dq"))
+    q = _quantiles(_um2(t), dq=("dist", 0.99))
     return q.select("slide_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i * F.col("dq") / 8)).alias("i", "edge"))
 
 

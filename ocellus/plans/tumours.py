@@ -97,8 +97,8 @@ def zone_counts(t):
 def distance_color_cap(t):
     """Upper end of the distance colour scale."""
     v = nearest(t.detections, t.tumors, "det_id", "tumor_key", 2000).filter("gap2 > 0").withColumn("d", F.sqrt("gap2"))
-    d = F.col("d")
-    return v.groupBy("slide_id").agg(F.when(F.max(d) - F.min(d) < 10, F.max(d) + 50).otherwise(F.greatest(F.least(F.percentile(d, F.lit(0.95)), F.lit(2000.0)), F.lit(100.0))).alias("cap"))
+    d = v.groupBy("slide_id").agg(F.sort_array(F.collect_list("d")).alias("d"), F.min("d").alias("lo"), F.max("d").alias("hi")).select("slide_id", "lo", "hi", S.quantile_cont(F.col("d"), 0.95).alias("q"))
+    return d.select("slide_id", F.when(F.col("hi") - F.col("lo") < 10, F.col("hi") + 50).otherwise(F.greatest(F.least("q", F.lit(2000.0)), F.lit(100.0))).alias("cap"))
 
 
 @query("distance_stats", f"""WITH {_NEAR} SELECT s.slide_id, coalesce(round(avg(sqrt(gap2) * mpp), 6), 0) AS mean_um, coalesce(min(sqrt(gap2) * mpp), 0) AS min_um, coalesce(max(sqrt(gap2) * mpp), 0) AS max_um FROM {{slides}} s LEFT JOIN n USING (slide_id) GROUP BY s.slide_id""")
