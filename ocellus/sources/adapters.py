@@ -62,6 +62,14 @@ ADAPTERS = {
 
 # Rows of one key meet before they are ranked: ranked where they are read, a whole input split is sorted at once, and spills.
 DEALT = {"detections": {"lineitem": ("l_orderkey", "l_linenumber")}}
+# Bytes of files that a partition of a dealt table stands for at most; about a million line items, which sort in 0.2 GB
+DEALT_BYTES = 16 << 20
+
+
+def dealt(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of equal ``keys`` in one partition. Where spark.sql.shuffle.partitions is too small for the table's size, the size gives the number."""
+    n = -(-df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // DEALT_BYTES)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
 
 
 class Tables:
@@ -76,7 +84,7 @@ class Tables:
         if name in ADAPTERS:
             needs = {n: getattr(self, n) for n in sorted(set(re.findall(r"\{(\w+)\}", ADAPTERS[name])))}
             for n, keys in DEALT.get(name, {}).items():
-                needs[n] = needs[n].repartition(*keys)
+                needs[n] = dealt(needs[n], keys)
             return self.spark.sql(ADAPTERS[name], **needs)
         raise AttributeError(name)
 
