@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch], schema: str, packed: bool = False) -> DataFrame:
     """``f`` over frames of whole groups of the long columns ``keys``, sorted by them; rows without a key belong to no group.
 
     A frame holds as many groups as an Arrow batch, so small groups cost no call of
-    their own; a group larger than a batch comes alone.
+    their own; a group larger than a batch comes alone. With ``packed``, ``f`` returns
+    Arrow batches of far more than it is given, so no partitions are joined for their small size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,9 +39,28 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.Data
             yield f(pd.concat(held, ignore_index=True))
 
     known = df.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    if packed:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept
+        return known.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: run(b.to_pandas() for b in batches), schema)
     return known.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def list_column(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of ``counts`` of the ``values`` each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
+
+def flat_lists(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """(counts, values of each column) of list columns of long whose lists are equally long."""
+    columns = [batch.column(n) for n in names]
+    return columns[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in columns)
+
+
+def within(counts: np.ndarray) -> np.ndarray:
+    """0 .. n-1 for each of the counts n."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def group_numbers(part: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """0, 0, 1 ... : which group a row of a sorted frame belongs to."""
     k = part[keys].to_numpy()

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.operators.grouped import box_pairs, by_group, group_numbers
+from ocellus.operators.grouped import box_pairs, by_group, flat_lists, group_numbers, list_column, within
 
 BOX = ["x1", "y1", "x2", "y2"]
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy", "x1", "y1", "x2", "y2"]
@@ -134,48 +135,100 @@ def visible_sums(boxes: DataFrame, key: str, tile: int = 1024, crowded: int = 20
     return got.groupBy("slide_id", key, *named).agg(*[ends.get(c, F.sum)(c).alias(c) for c in SUMS])
 
 
-def packed_runs(visible: np.ndarray, left: np.ndarray, top: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, c0, c1) of each mask of (k, rows, columns) whose first pixels stand at left, top."""
-    step = np.diff(np.pad(visible, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2)
-    k, row, c0 = np.nonzero(step == 1)
-    c1 = np.nonzero(step == -1)[2]
-    row, c0, c1 = row + top[k], c0 + left[k], c1 + left[k]
-    ends = np.searchsorted(k, np.arange(len(visible) + 1))
-    return [(row[a:b], c0[a:b], c1[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+def hidden_runs(x1, y1, x2, y2, over: np.ndarray, under: np.ndarray, room: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """(boxes, number of runs of each, row, c0, c1) of the boxes ``under`` others, about ``room`` of their rows and the hidden stretches at a time.
+
+    A row's hidden stretches in order of their begin leave a run wherever one begins behind the ends of all before it.
+    """
+    order = np.argsort(under, kind="stable")
+    over, under = over[order], under[order]
+    who, first = np.unique(under, return_index=True)
+    first = np.append(first, len(under))
+    top, low = np.maximum(y1[over], y1[under]), np.minimum(y2[over], y2[under])
+    load = np.cumsum(np.add.reduceat(low - top, first[:-1]) + 2 * (y2 - y1)[who]) if len(who) else np.empty(0, np.int64)
+    lo = 0
+    while lo < len(who):
+        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + room, "right")))
+        b, p = who[lo:hi], slice(first[lo], first[hi])
+        h = (y2 - y1)[b]
+        line0 = np.cumsum(h) - h  # lines count the rows of the block's boxes
+        o, u, t, n = over[p], under[p], top[p], (low - top)[p]
+        spot = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
+        lines = np.arange(int(h.sum()))
+        at = np.repeat(np.arange(hi - lo), h)
+        left, right, width = np.maximum(x1[o], x1[u]) - x1[u], np.minimum(x2[o], x2[u]) - x1[u], (x2 - x1)[b]
+        line = np.concatenate((lines, np.repeat(line0[spot] + t - y1[u], n) + within(n), lines))
+        begin = np.concatenate((np.zeros(len(lines), np.int64), np.repeat(left, n), width[at]))
+        stop = np.concatenate((np.zeros(len(lines), np.int64), np.repeat(right, n), width[at]))
+        wide = int(width.max()) + 1
+        key = line * wide + begin
+        order = np.argsort(key, kind="stable")
+        key, reach = key[order], np.maximum.accumulate((line * wide + stop)[order])  # later lines are larger, so a reach ends with its line
+        free = np.flatnonzero((key[1:] > reach[:-1]) & (key[1:] // wide == key[:-1] // wide))
+        found, c0 = np.divmod(reach[free], wide)
+        c1, k = key[free + 1] - found * wide, at[found]
+        yield b, np.bincount(k, minlength=hi - lo), found - line0[k] + y1[b][k], c0 + x1[b][k], c1 + x1[b][k]
+        lo = hi
 
 
 def visible_objects(boxes: DataFrame, key: str, tile: int = 1024) -> DataFrame:
-    """(slide_id, key, row, c0, c1): each box's visible runs as lists, painted as by ``visible_sums``; hidden boxes drop out.
+    """(slide_id, key, row, c0, c1): each box's visible runs as lists in order of rows, painted as by ``visible_sums``; hidden boxes drop out.
 
-    Only boxes cut by a tile are brought together again.
+    ``key`` stands once in a slide. Only boxes cut by a tile are brought together again, and only they are painted for that.
     """
     known = boxes.select("slide_id", key, "score", *BOX).filter(F.col(key).isNotNull())
     cut = (F.floor(F.col("x1") / tile) != F.floor((F.col("x2") - 1) / tile)) | (F.floor(F.col("y1") / tile) != F.floor((F.col("y2") - 1) / tile))
-
-    def paint(part: pd.DataFrame) -> pd.DataFrame:
-        x1, y1, x2, y2 = (part[c].to_numpy(np.int64) for c in BOX)
-        rank, group = ranks(part, key), group_numbers(part, ["slide_id", "tx", "ty"])
-        runs = [None] * len(part)
-        pairs = list(box_pairs(group, x1, y1, x2, y2))
-        i, j = (np.concatenate(p) for p in zip(*pairs))
-        first = rank[i] < rank[j]
-        for b, visible in hidden_masks(x1, y1, x2, y2, np.where(first, i, j), np.where(first, j, i)):
-            for at, r in zip(b, packed_runs(visible, x1[b], y1[b])):
-                runs[at] = r
-        for at in range(len(part)):
-            if runs[at] is None:
-                h = int(y2[at] - y1[at])
-                runs[at] = (np.arange(y1[at], y2[at]), np.full(h, x1[at]), np.full(h, x2[at]))
-        out = pd.DataFrame({"slide_id": part["slide_id"], key: part[key], "row": [r[0] for r in runs], "c0": [r[1] for r in runs], "c1": [r[2] for r in runs], "cut": part["cut"]})
-        return out[[len(r[0]) > 0 for r in runs]]
-
-    lists = ", ".join(f"{c} array<long>" for c in ("row", "c0", "c1"))
-    found = by_group(tiled(known.withColumn("cut", cut), tile), ["slide_id", "tx", "ty"], paint, f"slide_id long, {key} long, {lists}, cut boolean")
-    one = found.filter("NOT cut").drop("cut")
-    parts = found.filter("cut").groupBy("slide_id", key).agg(F.flatten(F.collect_list(F.arrays_zip("row", "c0", "c1"))).alias("r"))
-    return one.unionByName(parts.select("slide_id", key, F.col("r.row").alias("row"), F.col("r.c0").alias("c0"), F.col("r.c1").alias("c1")))
+    slim = tiled(known.withColumn("cut", cut), tile)
+    lists = ("row", "c0", "c1")
+
+    def painted(wanted: bool) -> DataFrame:
+        def paint(part: pd.DataFrame) -> pa.RecordBatch:
+            x1, y1, x2, y2 = (part[c].to_numpy(np.int64) for c in BOX)
+            rank, group, open_ = ranks(part, key), group_numbers(part, ["slide_id", "tx", "ty"]), part["cut"].to_numpy(bool) == wanted
+            over, under = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, j in box_pairs(group, x1, y1, x2, y2):
+                first = rank[i] < rank[j]
+                o, u = np.where(first, i, j), np.where(first, j, i)
+                over.append(o[open_[u]])
+                under.append(u[open_[u]])
+            over, under = np.concatenate(over), np.concatenate(under)
+            whole = open_.copy()
+            whole[under] = False
+            at = np.flatnonzero(whole)
+            h = (y2 - y1)[at]
+            who, runs = [at], [(h, np.repeat(y1[at], h) + within(h), np.repeat(x1[at], h), np.repeat(x2[at], h))]
+            for b, *found in hidden_runs(x1, y1, x2, y2, over, under):
+                who.append(b)
+                runs.append(found)
+            who, (counts, *values) = np.concatenate(who), (np.concatenate(r) for r in zip(*runs))
+            some = counts > 0
+            names = [part[c].to_numpy(np.int64)[who[some]] for c in ("slide_id", key)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, names), *(list_column(v, counts[some]) for v in values)], names=["slide_id", key, *lists])
+
+        return by_group(slim, ["slide_id", "tx", "ty"], paint, f"slide_id long, {key} long, " + ", ".join(f"{c} array<long>" for c in lists), packed=True)
+
+    parts = painted(True).groupBy("slide_id", key).agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*lists)))).alias("r"))
+    return painted(False).unionByName(parts.select("slide_id", key, *[F.col(f"r.{c}").alias(c) for c in lists]))
 
 
 def runs_of(objects: DataFrame) -> DataFrame:
     """A row per run (row, c0, c1) of packed objects."""
     return objects.select(*[c for c in objects.columns if c not in ("row", "c0", "c1")], F.explode(F.arrays_zip("row", "c0", "c1")).alias("r")).select("*", "r.row", "r.c0", "r.c1").drop("r")
+
+
+def row_pixels(objects: DataFrame, key: str = "det_id") -> DataFrame:
+    """(slide_id, row, key, px): pixels in each row of packed objects, whose runs are summed where the object is."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, row, c0, c1 = flat_lists(b, ("row", "c0", "c1"))
+            which = np.repeat(np.arange(len(counts)), counts)
+            if ((which[1:] == which[:-1]) & (row[1:] < row[:-1])).any():
+                order = np.lexsort((row, which))
+                which, row, c0, c1 = which[order], row[order], c0[order], c1[order]
+            begin = np.flatnonzero(np.concatenate(([len(row) > 0], (which[1:] != which[:-1]) | (row[1:] != row[:-1]))))
+            px = np.add.reduceat(c1 - c0, begin) if len(begin) else np.empty(0, np.int64)
+            of = lambda c: pa.array(b.column(c).to_numpy(zero_copy_only=False)[which[begin]])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([of("slide_id"), pa.array(row[begin]), of(key), pa.array(px)], names=["slide_id", "row", key, "px"])
+
+    return objects.select("slide_id", key, "row", "c0", "c1").mapInArrow(add, f"slide_id long, row long, {key} long, px long")

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ocellus.operators.painting import row_pixels, visible_objects
 from ocellus.operators.runs import results, run_batch
-from ocellus.plans.cells import CELLS, _EXACT, _visible
+from ocellus.plans.cells import CELLS, _EXACT
 from ocellus.plans.registry import query
 from ocellus.sources import records as R
 from ocellus.sources.scratch import _root
@@ -69,7 +70,7 @@ def pdf_font_problems(t):
 
 @query("full_mask", _EXACT + " SELECT slide_id, y AS row, det_id, CAST(sum(b - a) AS BIGINT) AS px FROM own GROUP BY ALL")
 def full_mask(t):
-    """The painted mask of every slide written as runs and read back; runs that touch may be one or several."""
+    """The painted mask of every slide written as packed objects and read back; runs that touch may be one or several."""
     path = _folder(t, "mask")
-    R.write_mask(_visible(t), path)
-    return R.read_mask(t.spark, path).groupBy("slide_id", "row", "det_id").agg(F.sum(F.col("c1") - F.col("c0")).alias("px"))
+    R.write_mask(visible_objects(t.detections, "det_id"), path)
+    return row_pixels(R.read_mask(t.spark, path))
