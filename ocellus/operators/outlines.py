@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.functions.scalars import ring_area
 from ocellus.operators.components import union_find
-from ocellus.operators.geometry import self_touching, simplified
-from ocellus.sources.scratch import written
+from ocellus.operators.geometry import simplified
+from ocellus.operators.grouped import box_pairs, flat_lists, within
 
 # Smoothing, the limits of the simplification in pixels, and the margin around an object
 SIGMA, LOOSE, TIGHTEST, LOOSEST, MARGIN = 0.5, 0.002, 0.5, 2.0, 2
@@ -20,15 +20,29 @@ SIGMA, LOOSE, TIGHTEST, LOOSEST, MARGIN = 0.5, 0.002, 0.5, 2.0, 2
 TOUCHES = "self-intersecting or self-touching contour"
 # The eight neighbours, clockwise from the east (rows run downwards)
 AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+# The first set neighbour from a direction on, by the bits of a pixel's neighbours; 8 without any
+NEXT = np.array([[next((d % 8 for d in range(f, f + 8) if code >> (d % 8) & 1), 8) for code in range(256)] for f in range(8)])
+# Ends of an image of unknown size
+HUGE = 1 << 60
+
+
+def kernel_of(sigma: float) -> np.ndarray:
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return kernel / kernel.sum()
+
+
+# The kernel, and its sum over every pattern of five pixels in a column, added up in the order of ``smoothed``
+KERNEL = kernel_of(SIGMA)
+SOFT = sum(k * (np.arange(32) >> i & 1) for i, k in enumerate(KERNEL))
 
 
 def smoothed(mask: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """The mask where a Gaussian blur of it, cut at four sigma, exceeds one half; masks of five pixels or fewer a side stay."""
     if min(mask.shape) <= 5:
         return mask
-    reach = int(4 * sigma + 0.5)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
+    kernel = kernel_of(sigma)
+    reach = len(kernel) // 2
     wide = np.pad(mask.astype(float), reach, mode="edge")
     wide = sum(k * wide[i : i + mask.shape[0]] for i, k in enumerate(kernel))
     return sum(k * wide[:, i : i + mask.shape[1]] for i, k in enumerate(kernel)) > 0.5
@@ -156,55 +170,296 @@ def crosses_itself(ring: np.ndarray, near: float = 1e-9) -> bool:
     return bool(np.where(np.abs(turn) > near, crossing, on_line).any())
 
 
-def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "slide_id", key: str = "det_id", longest: int = 512) -> DataFrame:
+def walks(codes: np.ndarray, stride: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which walks end, their lengths, their pixels) of walks as by ``walk``, all of them a step at a time.
+
+    ``codes`` say which of the eight neighbours of a pixel are set, in rows of ``stride``. A walk that meets a pixel before
+    its start, in order of rows, is given up: an outer border begins at its first pixel, and a hole's has pixels above.
+    """
+    ways = np.stack([dx + dy * stride for dx, dy in AROUND], axis=1)
+    who, at, first = np.arange(len(start)), start.copy(), np.full(len(start), 5)
+    length, begin = np.ones(len(start), np.int64), np.full(len(start), -1)
+    ended, steps = np.zeros(len(start), bool), [(who, at)]
+    while len(who):
+        d = NEXT[first, codes[at]]
+        over = (d == 8) | ((at == start[who]) & (d == begin[who]))
+        ended[who[over]] = True
+        who, at, d = who[~over], at[~over], d[~over]
+        begin[who] = np.where(begin[who] < 0, d, begin[who])
+        at = at + ways[who, d]
+        fine = at >= start[who]
+        who, at, d = who[fine], at[fine], d[fine]
+        length[who] += 1
+        first = (d + np.where(d % 2, 6, 7)) % 8
+        steps.append((who, at))
+    length -= ended & (begin >= 0)  # the last step is back at the start
+    whole = np.flatnonzero(ended)
+    room = np.where(ended, length, 0)
+    offset = np.cumsum(room) - room
+    pixels = np.empty(int(room.sum()), np.int64)
+    for i, (who, at) in enumerate(steps):
+        some = room[who] > i
+        pixels[offset[who[some]] + i] = at[some]
+    return whole, length[whole], pixels
+
+
+def masks_traced(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: np.ndarray, width: np.ndarray, room: int = 150_000) -> tuple[np.ndarray, ...]:
+    """(object, number of pixels, x, y) of ``borders(smoothed(mask))`` of many objects, by object and in its order, and which objects have a border in another's box.
+
+    Runs are relative to the object's box (height, width); masks have the whole margin, and x, y count from its corner.
+    """
+    edge = MARGIN + 1  # an empty frame beyond the margin
+    first = np.cumsum(counts) - counts
+    sized = np.lexsort((height, width))
+    base, stride = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    codes, begun, owner, done, lo = [], [], [], 0, 0
+    while lo < len(sized):
+        size = lambda hi: int(height[sized[lo:hi]].max() + 2 * edge) * int(width[sized[hi - 1]] + 2 * edge) * (hi - lo)  # noqa: E731, B023
+        hi = min(len(sized), lo + 256)
+        while hi - lo > 1 and size(hi) > room:
+            hi = lo + (hi - lo) // 2
+        obj = sized[lo:hi]
+        high, wide = int(height[obj].max()) + 2 * edge, int(width[obj[-1]]) + 2 * edge
+        n = counts[obj]
+        r = np.repeat(first[obj], n) + within(n)
+        line = (np.repeat(np.arange(hi - lo), n) * high + row[r] + edge) * wide + edge
+        ends = np.zeros((hi - lo) * high * wide, np.int8)
+        np.add.at(ends, line + c0[r], 1)
+        np.add.at(ends, line + c1[r], -1)
+        mask = np.cumsum(ends, dtype=np.int8).view(np.uint8)
+        soft = SOFT[_five(mask, wide)]
+        blur = KERNEL[0] * soft[:-4]
+        for i in range(1, 5):
+            blur += KERNEL[i] * soft[i : len(soft) - 4 + i]
+        smooth = np.zeros_like(mask)
+        smooth[2:-2] = blur > 0.5
+        thin = np.minimum(height, width)[obj] + 2 * MARGIN <= 5
+        if thin.any():
+            smooth.reshape(hi - lo, -1)[thin] = mask.reshape(hi - lo, -1)[thin]
+        code = np.zeros_like(mask)
+        for d, (dx, dy) in enumerate(AROUND):
+            w = dx + dy * wide
+            code[max(0, -w) : len(code) - max(0, w)] |= smooth[max(0, w) : len(code) - max(0, -w)] << d
+        turn = np.flatnonzero(smooth[1:] != smooth[:-1]) + 1
+        start, stop = turn[::2], turn[1::2]
+        total = np.concatenate(([0], np.cumsum(smooth, dtype=np.int32)))
+        top = start[total[stop + 1 - wide] == total[start - 1 - wide]]  # runs with nothing above them, corners included
+        codes.append(code)
+        begun.append(top + done)
+        owner.append(obj[top // (high * wide)])
+        base[obj], stride[obj] = done + np.arange(hi - lo) * high * wide, wide
+        done += len(code)
+        lo = hi
+    codes, begun, owner = np.concatenate(codes), np.concatenate(begun), np.concatenate(owner)
+    order = np.lexsort((begun, owner))
+    begun, owner = begun[order], owner[order]
+    whole, n, at = walks(codes, stride[owner], begun)
+    of = owner[whole]
+    point = np.repeat(of, n)
+    y, x = np.divmod(at - base[point], stride[point])
+    x, y = x - 1, y - 1
+    nested = np.zeros(len(counts), bool)
+    begin = np.cumsum(n) - n
+    many = np.flatnonzero(np.bincount(of, minlength=len(counts)) > 1)
+    if len(many):
+        l, t, e, b = (f.reduceat(v, begin) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y)))
+        for o, i, j in zip(many, np.searchsorted(of, many), np.searchsorted(of, many, "right")):
+            p = slice(i, j)
+            nested[o] = ((l[p] > l[p, None]) & (t[p] > t[p, None]) & (e[p] < e[p, None]) & (b[p] < b[p, None])).any()
+    return of, n, x, y, nested
+
+
+def _five(mask: np.ndarray, wide: int) -> np.ndarray:
+    """Five bits a pixel: the mask two rows above to two rows below it; flat rows of ``wide``, empty at both ends."""
+    out = np.zeros_like(mask)
+    for i in range(5):
+        w = (i - 2) * wide
+        out[max(0, -w) : len(out) - max(0, w)] |= mask[max(0, w) : len(out) - max(0, -w)] << i
+    return out
+
+
+def first_largest(values: np.ndarray, begin: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each stretch from ``begin``, and the first place where it stands; ``of`` numbers the stretch of a value."""
+    most = np.maximum.reduceat(values, begin)
+    at = np.flatnonzero(values == most[of])
+    return most, at[np.concatenate(([True], of[at[1:]] != of[at[:-1]]))]
+
+
+def rings_simplified(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``ring_simplified`` of many rings of n points each, all of them a cut at a time."""
+    if not len(n):
+        return n, x.astype(float), y.astype(float)
+    x, y = x.astype(float), y.astype(float)
+    begin, of, place = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), within(n)
+    after = begin[of] + (place + 1) % n[of]
+    step = np.hypot(x[after] - x, y[after] - y)
+    tolerance = np.full(len(n), TIGHTEST)
+    for r in np.flatnonzero(LOOSE * np.add.reduceat(step, begin) > TIGHTEST - 1e-6):
+        tolerance[r] = min(max(LOOSE * step[begin[r] : begin[r] + n[r]].sum(), TIGHTEST), LOOSEST)
+    far = lambda i: first_largest(np.hypot(x - x[i][of], y - y[i][of]), begin, of)[1]
+    few = n < 4
+    i = np.where(few, begin, far(begin))
+    k = (far(i) - i) % n
+    # every ring turned to begin, and closed, at i
+    n1 = n + 1
+    begin1, of1 = np.cumsum(n1) - n1, np.repeat(np.arange(len(n)), n1)
+    place1 = within(n1)
+    turned = begin[of1] + (i[of1] - begin[of1] + place1) % n[of1]
+    x, y = x[turned], y[turned]
+    keep = (place1 == 0) | (place1 == k[of1]) | few[of1]
+    s, e = np.concatenate((begin1, begin1 + k))[np.tile(~few, 2)], np.concatenate((begin1 + k, begin1 + n))[np.tile(~few, 2)]
+    while True:
+        some = e > s + 1
+        s, e = s[some], e[some]
+        if not len(s):
+            break
+        m = e - s - 1
+        seg, at = np.repeat(np.arange(len(s)), m), np.repeat(s + 1, m) + within(m)
+        dx, dy = x[e] - x[s], y[e] - y[s]
+        length = np.hypot(dx, dy)
+        ax, ay, long_ = x[at] - x[s][seg], y[at] - y[s][seg], length[seg]
+        gap = np.abs(dx[seg] * ay - dy[seg] * ax) / np.where(long_ > 0, long_, 1)
+        loop = long_ == 0
+        gap[loop] = np.hypot(ax[loop], ay[loop])
+        most, best = first_largest(gap, np.cumsum(m) - m, seg)
+        cut = most > tolerance[of1[s]]
+        middle = at[best][cut]
+        keep[middle] = True
+        s, e = np.concatenate((s[cut], middle)), np.concatenate((middle, e[cut]))
+    keep &= place1 < n[of1]
+    return np.bincount(of1[keep], minlength=len(n)), x[keep], y[keep]
+
+
+def ring_faults(n: np.ndarray, x: np.ndarray, y: np.ndarray, near: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unique vertices, area, whether it crosses itself as by ``crosses_itself``) of each of many rings; edges meet by their boxes in order of x."""
+    if not len(n):
+        return n, n.astype(float), n.astype(bool)
+    begin, of, place = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), within(n)
+    order = np.lexsort((y, x, of))
+    new = np.concatenate(([True], (of[order][1:] != of[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))
+    corners = np.bincount(of[order][new], minlength=len(n))
+    after = begin[of] + (place + 1) % n[of]
+    dx, dy = x[after] - x, y[after] - y
+    area = np.abs(np.add.reduceat(x * y[after] - x[after] * y, begin)) / 2
+    crossed = corners < n
+    low, high = lambda p, d: np.floor(np.minimum(p, p + d) - near).astype(np.int64), lambda p, d: (np.floor(np.maximum(p, p + d) + near) + 1).astype(np.int64)
+    for a, b in box_pairs(of, low(x, dx), low(y, dy), high(x, dx), high(y, dy)):
+        i, j = np.minimum(a, b), np.maximum(a, b)
+        far = (j > i + 1) & ~((place[i] == 0) & (place[j] == n[of[j]] - 1))
+        i, j = i[far], j[far]
+        wx, wy = x[j] - x[i], y[j] - y[i]
+        turn, offset = dx[i] * dy[j] - dy[i] * dx[j], wx * dy[i] - wy * dx[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            along = lambda u, v: (u * dx[i] + v * dy[i]) / (dx[i] * dx[i] + dy[i] * dy[i])  # noqa: E731, B023
+            first, last = along(wx, wy), along(wx + dx[j], wy + dy[j])
+            share = lambda v: (v >= -near) & (v <= 1 + near)
+            crossing = share((wx * dy[j] - wy * dx[j]) / turn) & share(offset / turn)
+        on_line = (np.abs(offset) <= near) & (np.minimum(first, last) <= 1 + near) & (np.maximum(first, last) >= -near)
+        crossed[of[i[np.where(np.abs(turn) > near, crossing, on_line)]]] = True
+    return corners, area, crossed
+
+
+def many_parts(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(object, part_area, points, x, y, reason) of the parts of many objects, by object and in the image's coordinates; ``height`` and ``width`` of the image, or a huge number."""
+    begin = np.cumsum(counts) - counts
+    top, low, left, right = np.minimum.reduceat(row, begin), np.maximum.reduceat(row, begin) + 1, np.minimum.reduceat(c0, begin), np.maximum.reduceat(c1, begin)
+    clipped = (top < MARGIN) | (left < MARGIN) | (low + MARGIN > height) | (right + MARGIN > width)
+    of = np.repeat(np.arange(len(counts)), counts)
+    row, c0, c1 = row - top[of], c0 - left[of], c1 - left[of]
+    h, w = low - top, right - left
+    # boxes of one size are traced once; every other object for itself
+    box = (counts == h) & (np.add.reduceat(c1 - c0, begin) == h * w) & ~clipped
+    form = np.where(box, h * (int(w.max()) + 1) + w, -1 - np.arange(len(counts)))
+    lead, to = np.unique(form, return_index=True, return_inverse=True)[1:]
+    at = np.flatnonzero(~clipped[lead])
+    o = lead[at]
+    rings: list[tuple] = []
+    apart = clipped[lead].copy()
+    if len(o):
+        r = np.repeat(begin[o], counts[o]) + within(counts[o])
+        who, n, x, y, nested = masks_traced(counts[o], row[r], c0[r], c1[r], h[o], w[o])
+        apart[at[nested]] = True
+        area = np.zeros(len(n)) if not len(n) else np.abs(_shoelace(n, x, y)) / 2
+        m, x, y = rings_simplified(n, x, y)
+        rings.append((at[who][~nested[who]], area[~nested[who]], m[~nested[who]], *(v[~np.repeat(nested[who], m)] - MARGIN for v in (x, y))))
+    for u in np.flatnonzero(apart):  # at the image's ends, or with parts that may lie in a hole
+        k = lead[u]
+        p = slice(begin[k], begin[k] + counts[k])
+        found = parts_of(row[p] + top[k], c0[p] + left[k], c1[p] + left[k], int(height[k]), int(width[k]))
+        for area, ring in found:
+            rings.append((np.array([u]), np.array([area]), np.array([len(ring)]), ring[:, 0] - left[k], ring[:, 1] - top[k]))
+    who, area, n, x, y = (np.concatenate(v) for v in zip(*rings)) if rings else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0))
+    first = np.cumsum(n) - n
+    corners, ring_area_, crossed = ring_faults(n, x, y)
+    fault = np.where(corners < 3, 1, np.where(ring_area_ <= 1e-6, 2, np.where(crossed, 3, 0)))
+    order = np.argsort(who, kind="stable")
+    parts = np.bincount(who, minlength=len(lead))
+    lo = np.cumsum(parts) - parts
+    to = to.ravel()
+    obj = np.repeat(np.arange(len(counts)), parts[to])
+    ring = order[np.repeat(lo[to], parts[to]) + within(parts[to])]
+    p = np.repeat(first[ring], n[ring]) + within(n[ring])
+    return obj, area[ring], n[ring], x[p] + np.repeat(left[obj], n[ring]), y[p] + np.repeat(top[obj], n[ring]), fault[ring], ring_area_[ring]
+
+
+def _shoelace(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    begin, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    after = begin[of] + (within(n) + 1) % n[of]
+    return np.add.reduceat(x * y[after] - x[after] * y, begin)
+
+
+def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "slide_id", key: str = "det_id") -> DataFrame:
     """``outline_parts`` of objects whose runs are lists (row, c0, c1).
 
-    Objects of one form, equally far from the image's ends, are traced once a task.
-    Rings of more than ``longest`` points are checked by their edges' grid cells.
+    A batch of objects is smoothed, walked around, simplified and checked together. Also of each object: area_px and
+    centroid cx, cy of its runs; of its valid parts: part_index by falling area, part_count, and exported_area, the sum of their rings.
     """
-    sizes = sizes.select(on, "width", "height") if sizes is not None else objects.select(on).distinct().select(on, F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"))
-    objects = objects.join(sizes, on, "left").select(on, key, "row", "c0", "c1", "height", "width")
+    named = [on, key, "row", "c0", "c1"]
+    objects = objects.select(*named) if sizes is None else objects.select(*named).join(sizes.select(on, "width", "height"), on, "left")
+    known = sizes is not None
+    reasons = pa.array([None, "fewer than 3 unique vertices", "zero-area contour", TOUCHES, "no contours"])
 
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for o, k, r, a, z, h, w in b.itertuples(index=False):
-                y, x, low, right = int(r.min()), int(a.min()), int(r.max()) + 1, int(z.max())
-                y, x = max(0, y - MARGIN), max(0, x - MARGIN)
-                h, w = (low + MARGIN if pd.isna(h) else min(int(h), low + MARGIN)), (right + MARGIN if pd.isna(w) else min(int(w), right + MARGIN))
-                r, a, z = r - y, a - x, z - x
-                form = (r.tobytes(), a.tobytes(), z.tobytes(), h - y, w - x)
-                if form not in seen:
-                    if len(seen) >= 20_000:
-                        seen.clear()
-                    found = parts_of(r, a, z, h - y, w - x, (0, 0))
-                    seen[form] = [(area, ring, len(ring) > longest, 0 < len(ring) <= longest and crosses_itself(ring)) for area, ring in found]
-                out += [(o, k, i, area, [{"x": u, "y": v} for u, v in (ring + (x, y)).tolist()], long_, touches) for i, (area, ring, long_, touches) in enumerate(seen[form])] or [(o, k, 0, 0.0, [], False, False)]
-            yield pd.DataFrame(out, columns=[on, key, "part", "part_area", "ring", "_long", "_touches"])
-
-    parts = objects.mapInPandas(trace, f"{on} long, {key} long, part long, part_area double, ring array<struct<x:double,y:double>>, _long boolean, _touches boolean")
-    corners = F.size(F.array_distinct("ring"))
-    reason = F.when(F.size("ring") == 0, "no contours").when(corners < 3, "fewer than 3 unique vertices").when(ring_area(F.col("ring")) <= 1e-6, "zero-area contour")
-    judged = written(parts.withColumn("reason", F.coalesce(reason, F.when(F.col("_touches"), TOUCHES))).drop("_touches"))  # traced once, read for its rings and for long ones
-    unsure = judged.filter("reason IS NULL AND _long")
-    if unsure.isEmpty():
-        return judged.drop("_long")
-    # keys of one part each, so a ring is never joined with another's edges
-    touching = self_touching(unsure.select(F.struct(on, key, "part").alias("_p"), "ring"), "_p").withColumn("_touches", F.lit(True))
-    out = judged.withColumn("_p", F.struct(on, key, "part")).join(touching, "_p", "left").drop("_p")
-    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("_touches"), TOUCHES))).drop("_touches", "_long")
-
-
-def outline_features(cells: DataFrame, parts: DataFrame, on: str = "slide_id", key: str = "det_id", name: str = "Cell", color: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:
-    """(on, key, part_index, part_count, ring, exported_area, mismatch, feature) of the valid parts of cells (on, key, area_px, cx, cy).
+            if not b.num_rows:
+                continue
+            counts, row, c0, c1 = flat_lists(b, ("row", "c0", "c1"))
+            limit = lambda c: pc.fill_null(b.column(c).cast(pa.int64()), HUGE).to_numpy(zero_copy_only=False) if known else np.full(len(counts), HUGE)  # noqa: E731, B023
+            obj, area, n, x, y, fault, ring = many_parts(counts, row, c0, c1, limit("height"), limit("width"))
+            begin = np.cumsum(counts) - counts
+            px = np.add.reduceat(c1 - c0, begin)
+            cx, cy = np.add.reduceat((c0 + c1 - 1) * (c1 - c0), begin) / (2.0 * px), np.add.reduceat(row * (c1 - c0), begin) / px
+            parts = np.bincount(obj, minlength=len(counts))
+            none = np.flatnonzero(parts == 0)
+            valid = fault == 0
+            count, total = np.bincount(obj[valid], minlength=len(counts)), np.bincount(obj[valid], weights=ring[valid], minlength=len(counts))
+            part = within(parts)
+            order = np.lexsort((part, -area, ~valid, obj))
+            index = np.empty(len(obj), np.int64)
+            index[order] = within(parts) + 1
+            who = np.concatenate((obj, none))
+            fill = lambda v, z: np.concatenate((v, np.full(len(none), z, v.dtype)))  # noqa: E731, B023
+            bad = fill(~valid, True)
+            points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+            ends = np.concatenate(([0], np.cumsum(fill(n, 0)))).astype(np.int32)
+            keys = [b.column(c).take(pa.array(who)) for c in (on, key)]
+            yield pa.RecordBatch.from_arrays([
+                *keys, pa.array(fill(part, 0)), pa.array(fill(area, 0.0)), pa.ListArray.from_arrays(pa.array(ends), points), reasons.take(pa.array(fill(fault, 4))),
+                pa.array(px[who]), pa.array(cx[who]), pa.array(cy[who]), pa.array(fill(index, 0), mask=bad), pa.array(count[who], mask=bad), pa.array(total[who], mask=bad),
+            ], names=[on, key, "part", "part_area", "ring", "reason", "area_px", "cx", "cy", "part_index", "part_count", "exported_area"])
+
+    schema = f"{on} long, {key} long, part long, part_area double, ring array<struct<x:double,y:double>>, reason string, area_px long, cx double, cy double, part_index long, part_count long, exported_area double"
+    return objects.filter(F.size("row") > 0).mapInArrow(trace, schema)
+
+
+def outline_features(cells: DataFrame | None, parts: DataFrame, on: str = "slide_id", key: str = "det_id", name: str = "Cell", color: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:
+    """(on, key, part_index, part_count, ring, exported_area, mismatch, feature) of the valid parts of cells (on, key, area_px, cx, cy), by default those of the parts' runs.
 
     Parts are numbered by falling area; names of several parts say which. ``mismatch``
     flags cells of which less than half of the area is in the rings.
     """
-    w = Window.partitionBy(on, key)
-    valid = parts.filter("reason IS NULL").withColumn("exported_area", F.sum(ring_area(F.col("ring"))).over(w))
-    valid = valid.withColumn("part_index", F.row_number().over(w.orderBy(F.desc("part_area"), "part")).cast("long")).withColumn("part_count", F.count("*").over(w))
+    valid = parts.filter("reason IS NULL")
+    joined = valid if cells is None else cells.select(on, key, "area_px", "cx", "cy").join(valid.drop("area_px", "cx", "cy"), [on, key])
     many = F.col("part_count") > 1
     points = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     feature = F.struct(
@@ -217,5 +472,4 @@ def outline_features(cells: DataFrame, parts: DataFrame, on: str = "slide_id", k
             F.when(many, F.col("part_index")).alias("part_index"), F.when(many, F.col("part_count")).alias("part_count"),
         ).alias("properties"),
     )
-    joined = cells.select(on, key, "area_px", "cx", "cy").join(valid, [on, key])
     return joined.select(on, key, "part_index", "part_count", "ring", "exported_area", (F.col("exported_area") < 0.5 * F.col("area_px")).alias("mismatch"), F.to_json(feature).alias("feature"))
