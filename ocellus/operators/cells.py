@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions.scalars import um2_to_px
 from ocellus.operators.components import components_by_slide
-from ocellus.operators.grouped import by_group, close_pairs, group_numbers, least_reachable
+from ocellus.operators.grouped import by_group, close_pairs, flat_lists, group_numbers, least_reachable, within
 from ocellus.operators.spatial import merge_edges, priority_paint
 from ocellus.sources.scratch import written
 
@@ -151,23 +153,73 @@ def painted_moments(sums: DataFrame, by: list[str]) -> DataFrame:
     return shape_of(sums.select(*by, *[d(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")], ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("box")), by)
 
 
-def convex_area(points: np.ndarray) -> float:
-    """Area of the convex hull of points (n, 2), by the monotone chain."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return 0.0
+def hull_areas(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Areas of the convex hulls of many objects' pixel squares: of each, n rows y in order with the first and the last end of their pixels.
 
-    def half(seq):
-        out: list = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
+    Both sides are lines of corners by height. Corners on or inside the line between their neighbours are dropped, everywhere at once, until none is.
+    """
 
-    hull = np.array(half(pts.tolist()) + half(pts[::-1].tolist()), dtype=float)
-    x, y = hull[:, 0], hull[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+    def side(x: np.ndarray) -> np.ndarray:
+        """Twice the area between the axis and the hull's side towards large x."""
+        of = np.repeat(np.arange(len(n)), 2 * n)
+        px, py = np.repeat(x, 2), np.repeat(y, 2)
+        py[1::2] += 1
+        same = np.flatnonzero((of[1:] == of[:-1]) & (py[1:] == py[:-1]))  # two corners of one height: the outer one counts
+        px[same] = px[same + 1] = np.maximum(px[same], px[same + 1])
+        alone = np.ones(len(px), bool)
+        alone[same + 1] = False
+        of, px, py = of[alone], px[alone], py[alone]
+        total, live = np.zeros(len(n), np.int64), np.ones(len(n), bool)
+        while len(of):
+            inner = np.concatenate(([False], (of[2:] == of[:-2]), [False]))
+            at = np.flatnonzero(inner)
+            turn = (px[at] - px[at - 1]) * (py[at + 1] - py[at - 1]) - (px[at + 1] - px[at - 1]) * (py[at] - py[at - 1])
+            drop = at[turn <= 0]
+            live[:] = False
+            live[of[drop]] = True
+            done = np.flatnonzero((of[1:] == of[:-1]) & ~live[of[1:]])
+            np.add.at(total, of[done], (px[done] + px[done + 1]) * (py[done + 1] - py[done]))
+            keep = live[of]
+            keep[drop] = False
+            of, px, py = of[keep], px[keep], py[keep]
+        return total
+
+    return (side(hi) + side(-lo)) / 2
+
+
+def batch_outlines(counts: np.ndarray, y: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(solidity, perimeter) of many objects of disjoint runs, at least one each."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    if ((of[1:] == of[:-1]) & ((y[1:] < y[:-1]) | (y[1:] == y[:-1]) & (c0[1:] < c0[:-1]))).any():
+        order = np.lexsort((c0, y, of))
+        y, c0, c1 = y[order], c0[order], c1[order]
+    left = np.minimum.reduceat(c0, np.cumsum(counts) - counts)
+    c0, c1 = c0 - left[of], c1 - left[of]
+    total = lambda v, at=of: np.bincount(at, weights=v, minlength=len(counts)).astype(np.int64)
+    area = total(c1 - c0)
+    again = (of[1:] == of[:-1]) & (y[1:] == y[:-1])
+    joined = total(c0[1:][again] == c1[:-1][again], of[1:][again])
+    begin = np.flatnonzero(np.concatenate(([True], ~again)))  # lines: an object's runs of one row
+    line = np.cumsum(np.concatenate(([True], ~again))) - 1
+    runs = np.diff(np.append(begin, len(y)))
+    below = np.flatnonzero((of[begin][1:] == of[begin][:-1]) & (y[begin][1:] == y[begin][:-1] + 1))
+    shared = np.zeros(len(counts), np.int64)
+    after = np.zeros(len(begin), bool)
+    after[below] = True
+    runs_after = np.append(runs[1:], 0)
+    pairs = np.where(after[line], runs_after[line], 0)
+    reach = np.cumsum(pairs)
+    lo = 0
+    while lo < len(y):  # runs above meet all runs of the row below, about a million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + 1_000_000, "right")))
+        i = np.repeat(np.arange(lo, hi), pairs[lo:hi])
+        j = begin[line[i] + 1] + within(pairs[lo:hi]) if len(i) else i
+        over = np.minimum(c1[i], c1[j]) - np.maximum(c0[i], c0[j])
+        np.add.at(shared, of[i], np.maximum(over, 0))
+        lo = hi
+    rows = np.bincount(of[begin], minlength=len(counts))
+    hull = hull_areas(rows, c0[begin], c1[np.append(begin[1:], len(y)) - 1], y[begin])
+    return area / hull, (2 * area + 2 * counts - 2 * joined - 2 * shared).astype(float)
 
 
 def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataFrame:
@@ -176,40 +228,12 @@ def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataF
 
 
 def outline_of(objects: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataFrame:
-    """``outline`` of cells whose runs are lists (row, c0, c1). Cells of one form are measured once a batch."""
-
-    def measure(r: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-        order = np.lexsort((a, r))
-        y, c0, c1 = r[order], a[order], b[order]
-        area = int((c1 - c0).sum())
-        # only a row's outermost ends can be corners of the hull
-        ends = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1], [True])))
-        left, right, rows = c0[ends[:-1]], c1[ends[1:] - 1], y[ends[:-1]]
-        corners = np.concatenate([np.stack((x, h), 1) for x in (left, right) for h in (rows, rows + 1)])
-        joined = int(((y[1:] == y[:-1]) & (c0[1:] == c1[:-1])).sum())
-        if len(rows) == len(y):  # one run a row: neighbours in order are neighbours in space
-            over = np.minimum(c1[1:], c1[:-1]) - np.maximum(c0[1:], c0[:-1])
-            shared = int(over[(over > 0) & (y[1:] == y[:-1] + 1)].sum())
-        else:
-            shared = 0
-            for i in np.flatnonzero(rows[1:] == rows[:-1] + 1):
-                u, v = slice(ends[i], ends[i + 1]), slice(ends[i + 1], ends[i + 2])
-                over = np.minimum(c1[u][:, None], c1[v]) - np.maximum(c0[u][:, None], c0[v])
-                shared += int(over[over > 0].sum())
-        return area / convex_area(corners), float(2 * area + 2 * len(y) - 2 * joined - 2 * shared)
-
-    def shapes(batches):
-        seen: dict = {}
-        for batch in batches:
-            out = []
-            for r, a, b in zip(batch["row"], batch["c0"], batch["c1"]):
-                r, a, b = r - r.min(), a - a.min(), b - a.min()
-                form = (r.tobytes(), a.tobytes(), b.tobytes())
-                if form not in seen:
-                    if len(seen) >= 20_000:
-                        seen.clear()
-                    seen[form] = measure(r, a, b)
-                out.append(seen[form])
-            yield pd.DataFrame({on: batch[on], key: batch[key], "solidity": [o[0] for o in out], "perimeter": [o[1] for o in out]})
-
-    return objects.select(on, key, "row", "c0", "c1").mapInPandas(shapes, f"{on} long, {key} long, solidity double, perimeter double")
+    """``outline`` of cells whose runs are lists (row, c0, c1), a batch of cells at a time."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                solidity, perimeter = batch_outlines(*flat_lists(b, ("row", "c0", "c1")))
+                yield pa.RecordBatch.from_arrays([b.column(on), b.column(key), pa.array(solidity), pa.array(perimeter)], names=[on, key, "solidity", "perimeter"])
+
+    return objects.select(on, key, "row", "c0", "c1").filter(F.size("row") > 0).mapInArrow(shapes, f"{on} long, {key} long, solidity double, perimeter double")
