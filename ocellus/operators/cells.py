@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ocellus.functions.scalars import um2_to_px
 from ocellus.operators.components import components_by_slide
 from ocellus.operators.grouped import by_group, close_pairs, flat_lists, group_numbers, least_reachable, within
+from ocellus.operators.painting import visible_objects
 from ocellus.operators.spatial import merge_edges, priority_paint
 from ocellus.sources.scratch import written
 
@@ -227,13 +228,23 @@ def outline(runs: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataF
     return outline_of(runs.groupBy(on, key).agg(F.collect_list(F.struct("row", "c0", "c1")).alias("r")).select(on, key, F.col("r.row").alias("row"), F.col("r.c0").alias("c0"), F.col("r.c1").alias("c1")), on, key)
 
 
+def shapes(on: str, key: str) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """``outline_of`` batches of objects, and its schema."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            solidity, perimeter = batch_outlines(*flat_lists(b, ("row", "c0", "c1"))) if b.num_rows else (np.empty(0), np.empty(0))
+            yield pa.RecordBatch.from_arrays([b.column(on), b.column(key), pa.array(solidity), pa.array(perimeter)], names=[on, key, "solidity", "perimeter"])
+
+    return measure, f"{on} long, {key} long, solidity double, perimeter double"
+
+
 def outline_of(objects: DataFrame, on: str = "slide_id", key: str = "det_id") -> DataFrame:
     """``outline`` of cells whose runs are lists (row, c0, c1), a batch of cells at a time."""
+    return objects.select(on, key, "row", "c0", "c1").filter(F.size("row") > 0).mapInArrow(*shapes(on, key))
 
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                solidity, perimeter = batch_outlines(*flat_lists(b, ("row", "c0", "c1")))
-                yield pa.RecordBatch.from_arrays([b.column(on), b.column(key), pa.array(solidity), pa.array(perimeter)], names=[on, key, "solidity", "perimeter"])
 
-    return objects.select(on, key, "row", "c0", "c1").filter(F.size("row") > 0).mapInArrow(shapes, f"{on} long, {key} long, solidity double, perimeter double")
+def painted_outlines(boxes: DataFrame, key: str = "det_id") -> DataFrame:
+    """``outline_of`` of ``painting.visible_objects``, measured where they are painted."""
+    then, schema = shapes("slide_id", key)
+    return visible_objects(boxes, key, then=then, schema=schema)

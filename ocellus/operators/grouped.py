@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch], schema: str, packed: bool = False) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch], schema: str, packed: bool = False, then: Callable | None = None) -> DataFrame:
     """``f`` over frames of whole groups of the long columns ``keys``, sorted by them; rows without a key belong to no group.
 
     A frame holds as many groups as an Arrow batch, so small groups cost no call of
     their own; a group larger than a batch comes alone. With ``packed``, ``f`` returns
-    Arrow batches of far more than it is given, so no partitions are joined for their small size.
+    Arrow batches of far more than it is given, so no partitions are joined for their small size; ``then`` goes on with a task's batches.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +41,7 @@ def by_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.Data
     known = df.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     if packed:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept
-        return known.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: run(b.to_pandas() for b in batches), schema)
+        return known.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: (then or iter)(run(b.to_pandas() for b in batches)), schema)
     return known.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ocellus.operators.components import union_find
 from ocellus.operators.geometry import simplified
 from ocellus.operators.grouped import box_pairs, flat_lists, within
+from ocellus.operators.painting import BOX, visible_objects
 
 # Smoothing, the limits of the simplification in pixels, and the margin around an object
 SIGMA, LOOSE, TIGHTEST, LOOSEST, MARGIN = 0.5, 0.002, 0.5, 2.0, 2
@@ -359,8 +360,11 @@ def ring_faults(n: np.ndarray, x: np.ndarray, y: np.ndarray, near: float = 1e-9)
     return corners, area, crossed
 
 
-def many_parts(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(object, part_area, points, x, y, reason) of the parts of many objects, by object and in the image's coordinates; ``height`` and ``width`` of the image, or a huge number."""
+def many_parts(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray, height: np.ndarray, width: np.ndarray, seen: dict | None = None) -> tuple[np.ndarray, ...]:
+    """(object, part_area, points, x, y, fault, area of the ring) of the parts of many objects, by object and in the image's coordinates; ``height`` and ``width`` of the image, or a huge number.
+
+    ``seen`` keeps the parts of boxes by their size.
+    """
     begin = np.cumsum(counts) - counts
     top, low, left, right = np.minimum.reduceat(row, begin), np.maximum.reduceat(row, begin) + 1, np.minimum.reduceat(c0, begin), np.maximum.reduceat(c1, begin)
     clipped = (top < MARGIN) | (left < MARGIN) | (low + MARGIN > height) | (right + MARGIN > width)
@@ -369,11 +373,15 @@ def many_parts(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarr
     h, w = low - top, right - left
     # boxes of one size are traced once; every other object for itself
     box = (counts == h) & (np.add.reduceat(c1 - c0, begin) == h * w) & ~clipped
-    form = np.where(box, h * (int(w.max()) + 1) + w, -1 - np.arange(len(counts)))
+    form = np.where(box, (h << 31) + w, -1 - np.arange(len(counts)))
     lead, to = np.unique(form, return_index=True, return_inverse=True)[1:]
-    at = np.flatnonzero(~clipped[lead])
+    seen = {} if seen is None else seen
+    old = [(u, seen[f]) for u, f in enumerate(form[lead].tolist()) if f in seen]
+    known = np.zeros(len(lead), bool)
+    known[[u for u, _ in old]] = True
+    at = np.flatnonzero(~clipped[lead] & ~known)
     o = lead[at]
-    rings: list[tuple] = []
+    rings: list[tuple] = [(np.array([u for u, _ in old]), *(np.concatenate([r[i] for _, r in old]) for i in range(4)))] if old else []
     apart = clipped[lead].copy()
     if len(o):
         r = np.repeat(begin[o], counts[o]) + within(counts[o])
@@ -382,6 +390,10 @@ def many_parts(counts: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarr
         area = np.zeros(len(n)) if not len(n) else np.abs(_shoelace(n, x, y)) / 2
         m, x, y = rings_simplified(n, x, y)
         rings.append((at[who][~nested[who]], area[~nested[who]], m[~nested[who]], *(v[~np.repeat(nested[who], m)] - MARGIN for v in (x, y))))
+        first = np.cumsum(m) - m
+        for i in np.flatnonzero(box[o][who]) if len(seen) < 20_000 else ():
+            p = slice(first[i], first[i] + m[i])
+            seen[int(form[o[who[i]]])] = (area[i : i + 1], m[i : i + 1], x[p] - MARGIN, y[p] - MARGIN)
     for u in np.flatnonzero(apart):  # at the image's ends, or with parts that may lie in a hole
         k = lead[u]
         p = slice(begin[k], begin[k] + counts[k])
@@ -408,24 +420,18 @@ def _shoelace(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x * y[after] - x[after] * y, begin)
 
 
-def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "slide_id", key: str = "det_id") -> DataFrame:
-    """``outline_parts`` of objects whose runs are lists (row, c0, c1).
-
-    A batch of objects is smoothed, walked around, simplified and checked together. Also of each object: area_px and
-    centroid cx, cy of its runs; of its valid parts: part_index by falling area, part_count, and exported_area, the sum of their rings.
-    """
-    named = [on, key, "row", "c0", "c1"]
-    objects = objects.select(*named) if sizes is None else objects.select(*named).join(sizes.select(on, "width", "height"), on, "left")
-    known = sizes is not None
+def traced(on: str, key: str, known: bool) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """``object_parts`` of batches of objects, and its schema; ``known`` tells whether they have the image's height and width."""
     reasons = pa.array([None, "fewer than 3 unique vertices", "zero-area contour", TOUCHES, "no contours"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for b in batches:
-            if not b.num_rows:
-                continue
             counts, row, c0, c1 = flat_lists(b, ("row", "c0", "c1"))
+            if not len(counts):
+                continue
             limit = lambda c: pc.fill_null(b.column(c).cast(pa.int64()), HUGE).to_numpy(zero_copy_only=False) if known else np.full(len(counts), HUGE)  # noqa: E731, B023
-            obj, area, n, x, y, fault, ring = many_parts(counts, row, c0, c1, limit("height"), limit("width"))
+            obj, area, n, x, y, fault, ring = many_parts(counts, row, c0, c1, limit("height"), limit("width"), seen)
             begin = np.cumsum(counts) - counts
             px = np.add.reduceat(c1 - c0, begin)
             cx, cy = np.add.reduceat((c0 + c1 - 1) * (c1 - c0), begin) / (2.0 * px), np.add.reduceat(row * (c1 - c0), begin) / px
@@ -449,7 +455,26 @@ def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "
             ], names=[on, key, "part", "part_area", "ring", "reason", "area_px", "cx", "cy", "part_index", "part_count", "exported_area"])
 
     schema = f"{on} long, {key} long, part long, part_area double, ring array<struct<x:double,y:double>>, reason string, area_px long, cx double, cy double, part_index long, part_count long, exported_area double"
-    return objects.filter(F.size("row") > 0).mapInArrow(trace, schema)
+    return trace, schema
+
+
+def object_parts(objects: DataFrame, sizes: DataFrame | None = None, on: str = "slide_id", key: str = "det_id") -> DataFrame:
+    """``outline_parts`` of objects whose runs are lists (row, c0, c1).
+
+    A batch of objects is smoothed, walked around, simplified and checked together. Also of each object: area_px and
+    centroid cx, cy of its runs; of its valid parts: part_index by falling area, part_count, and exported_area, the sum of their rings.
+    """
+    objects = objects.select(on, key, "row", "c0", "c1").filter(F.size("row") > 0)
+    objects = objects if sizes is None else objects.join(sizes.select(on, "width", "height"), on, "left")
+    return objects.mapInArrow(*traced(on, key, sizes is not None))
+
+
+def painted_parts(boxes: DataFrame, sizes: DataFrame, key: str = "det_id") -> DataFrame:
+    """``object_parts`` of ``painting.visible_objects``, traced where they are painted."""
+    end = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(HUGE)).alias(c)
+    sized = boxes.select("slide_id", key, "score", *BOX).join(sizes.select("slide_id", "width", "height"), "slide_id", "left")
+    then, schema = traced("slide_id", key, True)
+    return visible_objects(sized.select("slide_id", key, "score", *BOX, end("width"), end("height")), key, carried=("width", "height"), then=then, schema=schema)
 
 
 def outline_features(cells: DataFrame | None, parts: DataFrame, on: str = "slide_id", key: str = "det_id", name: str = "Cell", color: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -171,12 +171,14 @@ def hidden_runs(x1, y1, x2, y2, over: np.ndarray, under: np.ndarray, room: int =
         lo = hi
 
 
-def visible_objects(boxes: DataFrame, key: str, tile: int = 1024) -> DataFrame:
+def visible_objects(boxes: DataFrame, key: str, tile: int = 1024, carried: tuple[str, ...] = (), then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
     """(slide_id, key, row, c0, c1): each box's visible runs as lists in order of rows, painted as by ``visible_sums``; hidden boxes drop out.
 
     ``key`` stands once in a slide. Only boxes cut by a tile are brought together again, and only they are painted for that.
+    ``carried`` columns (long, without nulls) of the boxes stay. ``then`` turns batches of whole objects into ``schema``; it runs where
+    they are painted, so that runs do not leave Python before.
     """
-    known = boxes.select("slide_id", key, "score", *BOX).filter(F.col(key).isNotNull())
+    known = boxes.select("slide_id", key, "score", *BOX, *carried).filter(F.col(key).isNotNull())
     cut = (F.floor(F.col("x1") / tile) != F.floor((F.col("x2") - 1) / tile)) | (F.floor(F.col("y1") / tile) != F.floor((F.col("y2") - 1) / tile))
     slim = tiled(known.withColumn("cut", cut), tile)
     lists = ("row", "c0", "c1")
@@ -202,13 +204,16 @@ def visible_objects(boxes: DataFrame, key: str, tile: int = 1024) -> DataFrame:
                 runs.append(found)
             who, (counts, *values) = np.concatenate(who), (np.concatenate(r) for r in zip(*runs))
             some = counts > 0
-            names = [part[c].to_numpy(np.int64)[who[some]] for c in ("slide_id", key)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, names), *(list_column(v, counts[some]) for v in values)], names=["slide_id", key, *lists])
+            names = [part[c].to_numpy(np.int64)[who[some]] for c in ("slide_id", key, *carried)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, names), *(list_column(v, counts[some]) for v in values)], names=["slide_id", key, *carried, *lists])
 
-        return by_group(slim, ["slide_id", "tx", "ty"], paint, f"slide_id long, {key} long, " + ", ".join(f"{c} array<long>" for c in lists), packed=True)
+        objects = ", ".join(f"{c} long" for c in ("slide_id", key, *carried)) + "".join(f", {c} array<long>" for c in lists)
+        last, of = (None, objects) if wanted or then is None else (then, schema)
+        return by_group(slim, ["slide_id", "tx", "ty"], paint, of, packed=True, then=last)
 
-    parts = painted(True).groupBy("slide_id", key).agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*lists)))).alias("r"))
-    return painted(False).unionByName(parts.select("slide_id", key, *[F.col(f"r.{c}").alias(c) for c in lists]))
+    parts = painted(True).groupBy("slide_id", key, *carried).agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*lists)))).alias("r"))
+    parts = parts.select("slide_id", key, *carried, *[F.col(f"r.{c}").alias(c) for c in lists])
+    return painted(False).unionByName(parts if then is None else parts.mapInArrow(then, schema))
 
 
 def runs_of(objects: DataFrame) -> DataFrame:

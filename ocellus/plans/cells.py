@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ocellus.operators import cells as C
 from ocellus.operators.components import components, components_by_slide
 from ocellus.operators.nms import nms, nms_fold
-from ocellus.operators.painting import visible_objects, visible_sums
+from ocellus.operators.painting import visible_sums
 from ocellus.operators.spatial import box_join, dilate, erode, merge_edges, overlap_pairs, raster_cells, run_adjacency
 from ocellus.plans.registry import query
 
@@ -140,7 +140,7 @@ def extent_eqdiam_ecc(t):
 @query("outline_shapes")
 def outline_shapes(t):
     """Solidity and perimeter, which SQL cannot express."""
-    return C.outline_of(visible_objects(t.detections, "det_id"))
+    return C.painted_outlines(t.detections)
 
 
 @query("mask_out_invalid", """

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import scalars as S
 from ocellus.operators.geometry import feature_json, polygon_spans, self_touching, valid_rings
-from ocellus.operators.outlines import object_parts, outline_features
-from ocellus.operators.painting import visible_objects
+from ocellus.operators.outlines import object_parts, outline_features, painted_parts
 from ocellus.plans.registry import query
 
 # A quadrilateral per tissue box; every fifth has two corners exchanged and so crosses itself
@@ -104,4 +103,4 @@ def outline_boxes(t):
 @query("outline_painted")
 def outline_painted(t):
     """Outlines of the painted mask of every slide, of which SQL cannot express the tracing."""
-    return outline_features(None, object_parts(visible_objects(t.detections, "det_id"), t.slides)).select("slide_id", "det_id", "part_index", "part_count", "exported_area", "mismatch")
+    return outline_features(None, painted_parts(t.detections, t.slides)).select("slide_id", "det_id", "part_index", "part_count", "exported_area", "mismatch")
